@@ -47,8 +47,14 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return made.select("doc_id", "__lines.n_lines", "__lines.n_dropped", F.sha2("__lines.kept", 256).alias("kept_sha256"))
 
 
+def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelmill.llm.toxicity import toxicity
+
+    return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_secrets, op5_sharding, op9_line_dedup)}
+    return {f.__name__: f for f in (op2_simhash, op4_secrets, op5_sharding, op9_line_dedup, op10_toxicity)}
 
 
 #: Line dedup over the whole texts, as its contract says it.
