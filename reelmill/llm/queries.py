@@ -40,6 +40,12 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelmill.llm.bpe import encode
+
+    return encode(table(spark, sf_dir, "documents"), with_ids=False)
+
+
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reelmill.llm.linededup import dedup_lines
 
@@ -54,7 +60,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op2_simhash, op4_secrets, op5_sharding, op9_line_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op2_simhash, op4_secrets, op5_sharding, op8_bpe, op9_line_dedup, op10_toxicity)}
 
 
 #: Line dedup over the whole texts, as its contract says it.
