@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 import tempfile
+import uuid
 from collections.abc import Callable, Iterator
 
 import pyarrow as pa
@@ -11,18 +12,30 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
 
-def checkpoint(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the cluster's checkpoint folder, with its lineage cut.
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir.
 
-    The folder is the session's spark.checkpoint.dir; a folder of this machine is set
-    only where the session names none, as in tests.
+    A folder of this machine is set only where the session names none, as in tests.
     """
-    sc = df.sparkSession.sparkContext
+    sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(df.sparkSession.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoint"))
+        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoint"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the cluster's checkpoint folder, with its lineage cut."""
+    checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
 
 
+def written(df: DataFrame) -> DataFrame:
+    """df as Parquet in the shared folder, read again: for tables with whole texts, which checkpoints don't compress."""
+    path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
+    df.write.parquet(path)
+    return df.sparkSession.read.parquet(path)
+
+
 def empty_as_null_safe(col: str):
     """The text column as a string, null taken as empty."""
     return F.coalesce(F.col(col).cast("string"), F.lit(""))

@@ -58,6 +58,26 @@ def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
     )
 
 
+def domain_of(source):
+    """The corpus has no domains: sources are dealt over four by their number."""
+    return F.concat(F.lit("d"), F.pmod(F.regexp_extract(source, "([0-9]+)$", 1).try_cast("int"), F.lit(4)).cast("string"))
+
+
+def mix_settings():
+    """Domain d0, which holds the largest source, gets more than the others; English twice the other languages."""
+    from reelmill.llm.mixing import Mix
+
+    domains = (("d0", 3.0), ("d1", 2.0), ("d2", 2.0), ("d3", 1.0))
+    return Mix(weights=domains + tuple((f"{d}/en", 2.0) for d, _ in domains), budget=0.6, epochs=2, seed="mix-1")
+
+
+def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    from reelmill.llm.mixing import mixed
+
+    docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
+    return mixed(docs.withColumn("domain", domain_of(F.col("source"))), mix_settings())
+
+
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
     from reelmill.llm.topk import exact_top_k
 
@@ -84,7 +104,7 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_simhash, op3_pii, op4_secrets, op5_sharding, op7_topk, op8_bpe, op9_line_dedup, op10_toxicity)}
+    return {f.__name__: f for f in (op1_ann, op2_simhash, op3_pii, op4_secrets, op5_sharding, op6_mixing, op7_topk, op8_bpe, op9_line_dedup, op10_toxicity)}
 
 
 #: Line dedup over the whole texts, as its contract says it.
@@ -111,5 +131,36 @@ select query_id, rank, vec_id, score from t where rank <= 5
 """
 
 
+def _level(name: str, above: str, depth: int) -> str:
+    """One level of op6's budgets: siblings by what they can take for their weight, the full ones first."""
+    node, parent = f"array_to_string(string_split(leaf, '/')[1:{depth}], '/')", f"array_to_string(string_split(leaf, '/')[1:{depth - 1}], '/')" if depth > 1 else "''"
+    return f"""
+{name}_n as (select *, (share - before) / after as rate from (
+  select n.*, coalesce(w.weight, 1.0::double) as weight, p.share,
+    coalesce(sum(most) over (partition by n.parent order by most / coalesce(w.weight, 1.0::double), n.node rows between unbounded preceding and 1 preceding), 0) as before,
+    sum(coalesce(w.weight, 1.0::double)) over (partition by n.parent order by most / coalesce(w.weight, 1.0::double), n.node rows between current row and unbounded following) as after
+  from (select {parent} as parent, {node} as node, (sum(tokens) * 2)::double as most from leaves group by 1, 2) n
+  left join weights w on w.node = n.node join {above} p on p.parent = n.parent)),
+{name} as (select node as parent, case when most <= rate * weight then most else least(most, greatest(0, o) * weight) end as share from (
+  select *, first_value(case when most > rate * weight then rate end ignore nulls) over (partition by parent order by most / weight, node rows between unbounded preceding and unbounded following) as o from {name}_n))"""
+
+
+OP6 = f"""
+with docs as (select doc_id, concat('d', regexp_extract(source, '([0-9]+)$', 1)::int % 4, '/', lang, '/', source) as leaf,
+  len(regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+'))::bigint as n_tokens from documents),
+leaves as (select leaf, sum(n_tokens)::bigint as tokens from docs group by leaf),
+weights(node, weight) as (values ('d0', 3.0::double), ('d1', 2.0), ('d2', 2.0), ('d3', 1.0), ('d0/en', 2.0), ('d1/en', 2.0), ('d2/en', 2.0), ('d3/en', 2.0)),
+root as (select '' as parent, floor(sum(tokens)::double * 0.6::double) as share from leaves),
+{_level("a", "root", 1)},
+{_level("b", "a", 2)},
+{_level("c", "b", 3)},
+plan as (select leaf, tokens, floor(share)::bigint as budget, least(2, floor(share)::bigint // tokens)::int as whole from leaves join c on c.parent = leaf where tokens > 0),
+runs as (select d.*, p.whole, p.budget, p.tokens, sum(n_tokens) over (partition by d.leaf order by sha256(concat('mix-1:', whole + 1, ':', doc_id))) as upto from docs d join plan p on p.leaf = d.leaf)
+select doc_id, leaf, n_tokens, unnest(generate_series(1, whole))::int as epoch from runs
+union all
+select doc_id, leaf, n_tokens, whole + 1 as epoch from runs where whole < 2 and upto <= budget - whole * tokens and budget > whole * tokens
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op7_topk": OP7, "op9_line_dedup": OP9}
+    return {"op6_mixing": OP6, "op7_topk": OP7, "op9_line_dedup": OP9}
