@@ -6,7 +6,7 @@ from importlib import import_module
 
 from reelmill.plans.registry import ORACLE, QUERIES, Query
 
-MODULES = ("evaluation",)
+MODULES = ("evaluation", "timeline", "planning")
 
 
 def queries() -> dict[str, Query]:
