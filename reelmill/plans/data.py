@@ -230,8 +230,8 @@ pc as (select *, coalesce(max(case when kind = 'T' then rn end) over w, 0) as lt
 q as (select a.*, (select count(*) from pc b where b.dataset = a.dataset and b.sequence = a.sequence and b.rn <= a.rn and b.rn > a.lt and b.kind = 'A') as absent_duration,
   (select count(*) from pc b where b.dataset = a.dataset and b.sequence = a.sequence and b.rn <= a.rn and b.rn > a.lta and b.kind in ('U', 'E')) as uncertain_duration,
   (select count(*) from pc b where b.dataset = a.dataset and b.sequence = a.sequence and b.rn <= a.rn and b.rn > a.ltau and b.kind = 'E') as error_duration from pc a),
-z as (select *, case kind when 'T' then 'confirmed' when 'A' then 'searching' when 'U' then case when uncertain_duration >= 3 then 'searching' else 'uncertain' end when 'E' then 'uncertain' end as ph from q),
-st as (select *, last_value(ph ignore nulls) over (partition by dataset, sequence order by frame_id) as phase from z)"""
+z as (select *, case kind when 'T' then 'confirmed' when 'A' then 'searching' when 'U' then case when uncertain_duration >= 3 then 'searching' else 'uncertain' end when 'E' then 'uncertain' end as phs from q),
+st as (select *, last_value(phs ignore nulls) over (partition by dataset, sequence order by frame_id) as phase from z)"""
 
 
 @query(f"{STATE} select dataset, sequence, frame_id, phase, absent_duration, uncertain_duration, error_duration from st")
