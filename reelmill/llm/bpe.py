@@ -16,23 +16,22 @@ import re
 import sys
 import tempfile
 import unicodedata
-import uuid
 from collections import Counter
 from collections.abc import Iterator
 from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
-from pyspark import SparkFiles
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import _arrow, texts
+from reelmill.llm.common import _arrow, checkpoint, texts
 
 #: Words in the lexicon at most, and how often one must occur.
-LEXICON, LEAST = 1 << 17, 3
+LEXICON, LEAST = 1 << 18, 3
 #: Characters of text that are worked on at once, and of a piece of a very long text.
-CHUNK, PIECE = 6 << 20, 1 << 20
+CHUNK, PIECE = 8 << 20, 1 << 20
+NO_MERGE, ID_MASK = 1 << 62, (1 << 32) - 1
 #: Unseen words whose ids a worker remembers.
 REMEMBERED = 1 << 18
 
@@ -76,19 +75,22 @@ class Merges:
         vocab = {raw(t): i for t, i in data["model"]["vocab"].items()}
         self.id_of_byte = [vocab.get(bytes([b]), -1) for b in range(256)]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"])
-        self.pairs = {(vocab[a], vocab[b]): (rank, vocab[a + b]) for rank, (a, b) in enumerate((raw(a), raw(b)) for a, b in pairs)}
+        self.merges = {(vocab[a], vocab[b]): rank << 32 | vocab[a + b] for rank, (a, b) in enumerate((raw(a), raw(b)) for a, b in pairs)}
         self.specials = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.bytes_of = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in self.specials.items()}
         longest = sorted(self.specials, key=len, reverse=True)
         self.special = re.compile("(" + "|".join(map(re.escape, longest)) + ")") if longest else None
 
     def ids(self, word: bytes) -> list[int]:
-        """The ids of a word: the pair of the lowest rank merges first, the leftmost of equal ones."""
-        parts, pairs, last = [self.id_of_byte[b] for b in word], self.pairs, (1 << 60, -1)
-        while len(parts) > 1:
-            (rank, new), at = min((pairs.get(p, last), k) for k, p in enumerate(zip(parts, parts[1:])))
-            if new < 0:
-                break
+        """The ids of a word: the pair of the lowest rank merges first, the leftmost of equal ones.
+
+        A merge's number holds its rank above the id that it makes, so that the least
+        number is the first merge.
+        """
+        parts, get = [self.id_of_byte[b] for b in word], self.merges.get
+        ranks = [get(p, NO_MERGE) for p in zip(parts, parts[1:])]
+        while ranks and (least := min(ranks)) != NO_MERGE:
+            at, new = ranks.index(least), least & ID_MASK
             if len(parts) > 64:  # long words: all places of this pair in one sweep
                 a, b, out, k = parts[at], parts[at + 1], parts[:at], at
                 while k < len(parts):
@@ -99,8 +101,14 @@ class Merges:
                         out.append(parts[k])
                         k += 1
                 parts = out
-            else:
-                parts[at : at + 2] = [new]
+                ranks = [get(p, NO_MERGE) for p in zip(parts, parts[1:])]
+                continue
+            parts[at : at + 2] = [new]
+            del ranks[at]
+            if at < len(ranks):
+                ranks[at] = get((new, parts[at + 1]), NO_MERGE)
+            if at:
+                ranks[at - 1] = get((parts[at - 1], new), NO_MERGE)
         return parts
 
     def words(self, text: str) -> list[str]:
@@ -115,7 +123,7 @@ class Lexicon:
     """A transducer in one array: (state, byte) keys with target and words passed by, then states' ends, then ids.
 
     The words' ids lie in the order of the words' bytes; a path's place among them is
-    the sum of what its steps pass by.
+    the sum of what its steps pass by. All numbers have 32 bits: 2**23 states at most.
     """
 
     def __init__(self, flat: np.ndarray) -> None:
@@ -167,7 +175,14 @@ class Lexicon:
         ends = [final[root], *final[:root]]
         offsets = np.cumsum([0, *map(len, ids)])
         flat = [i for x in ids for i in x]
-        return np.concatenate([np.array([len(keys), len(ends), len(words), len(flat)], np.int64), keys, targets, passed, np.array(ends, np.int64), offsets, np.array(flat, np.int64)])
+        return np.concatenate([np.array([len(keys), len(ends), len(words), len(flat)], np.int64), keys, targets, passed, np.array(ends, np.int64), offsets, np.array(flat, np.int64)]).astype(np.int32)
+
+    def ids_at(self, places: np.ndarray) -> Iterator[list[int]]:
+        """The ids of the words at places."""
+        starts, sizes = self.offsets[places].astype(np.int64), np.diff(self.offsets)[places].astype(np.int64)
+        ends = np.cumsum(sizes)
+        flat = self.ids[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tolist()
+        return (flat[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True))
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Each word's place in the lexicon, or -1; all words step through the automaton together."""
@@ -182,7 +197,7 @@ class Lexicon:
             live, state, place = live[~done], state[~done], place[~done]
             if not len(live):
                 break
-            key = state * 256 + data[starts[live] + depth]
+            key = state.astype(np.int32) * np.int32(256) + data[starts[live] + depth]
             at = np.searchsorted(self.keys, key).clip(max=len(self.keys) - 1)
             known = self.keys[at] == key
             live, at = live[known], at[known]
@@ -234,20 +249,28 @@ def _merges(held) -> Merges:
 
 
 def build_lexicon(df: DataFrame, file: bytes, most: int = LEXICON, least: int = LEAST) -> np.ndarray:
-    """The transducer of df's most frequent words; ties go to the lesser word."""
-    rows = word_counts(df, file).where(F.col("n") >= least).orderBy(F.desc("n"), "word").limit(most).collect()
+    """The transducer of df's most frequent words: all that occur as often as the least one taken, most at most."""
+    counts = checkpoint(word_counts(df, file).where(F.col("n") >= least))
+    # the least count that leaves no more words than fit, by eighths of a doubling: few rows, however many words
+    step = F.floor(F.log2("n") * 8).cast("int")
+    sizes = counts.groupBy(step.alias("step")).agg(F.count(F.lit(1)).alias("words")).orderBy(F.desc("step")).collect()
+    total, lowest = 0, None
+    for row in sizes:
+        if (total := total + row.words) > most:
+            break
+        lowest = row.step
+    rows = counts.where(step >= lowest).select("word").collect() if lowest is not None else []
     merges = Merges(file)
     words = sorted({r.word.encode() for r in rows if r.word not in merges.specials})
     return Lexicon.build(words, [merges.ids(w) for w in words])
 
 
-def publish(spark: SparkSession, flat: np.ndarray) -> str:
-    """Gives every executor the lexicon's file; returns the name that SparkFiles knows it by."""
-    name = f"lexicon-{uuid.uuid4().hex}.npy"
-    with tempfile.TemporaryDirectory() as folder:
-        np.save(os.path.join(folder, name), flat)
-        spark.sparkContext.addFile(os.path.join(folder, name))
-    return name
+def mapped(data: bytes) -> np.ndarray:
+    """A lexicon's array, mapped from a file that goes when the worker does."""
+    with tempfile.NamedTemporaryFile(suffix=".lexicon") as f:
+        f.write(data)
+        f.flush()
+        return np.memmap(f.name, np.int32, "r")
 
 
 def encode(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, most: int = LEXICON) -> DataFrame:
@@ -262,32 +285,41 @@ def encode(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
     with open(tokenizer or default_path(), "rb") as f:
         file = f.read()
     docs = texts(df, id_col, text_col)
-    name = publish(df.sparkSession, build_lexicon(docs, file, most))
+    # a lexicon has most words at most, whatever the input's size
+    lexicon_held = df.sparkSession.sparkContext.broadcast(build_lexicon(docs, file, most).tobytes())
     held = df.sparkSession.sparkContext.broadcast(file)
     schema = "doc_id long, n_tokens long, ids_sha256 string, decoded_sha256 string" + ", ids array<int>" * with_ids
     arrow = _arrow(df.sparkSession, schema)
 
     def run(batches):
-        merges, lexicon = _merges(held), Lexicon(np.load(SparkFiles.get(name), mmap_mode="r"))
-        remembered: dict[str, str] = {s: str(i) for s, i in merges.specials.items()}
-
-        def known(words: set[str]) -> dict[str, str]:
-            """The ids of each word, joined by commas."""
-            ids = {w: remembered[w] for w in words & remembered.keys()}
-            new = list(words - ids.keys())
-            raw = [w.encode() for w in new]
-            for w, r, place in zip(new, raw, lexicon.places(raw).tolist(), strict=True):
-                if place >= 0:
-                    own = lexicon.ids[lexicon.offsets[place] : lexicon.offsets[place + 1]].tolist()
-                else:
-                    own = merges.ids(r)
-                ids[w] = joined = ",".join(map(str, own))
-                if place < 0:
-                    if len(remembered) > REMEMBERED:
-                        remembered.clear()
-                        remembered.update((s, str(i)) for s, i in merges.specials.items())
-                    remembered[w] = joined
-            return ids
+        merges, lexicon = _merges(held), Lexicon(mapped(lexicon_held.value))
+        text_of = [str(i) for i in range(max(merges.bytes_of) + 1)]
+        special = {w: (str(i), w.encode()) for w, i in merges.specials.items()}
+        remembered: dict[str, tuple[str, bytes]] = {}
+
+        def known(words: set[str]) -> tuple[dict[str, str], dict[str, bytes]]:
+            """By word, its ids joined by commas and the bytes that they decode to."""
+            joined, decoded, of = {}, {}, merges.bytes_of
+
+            def add(w: str, own: list[int]) -> None:
+                joined[w], decoded[w] = ",".join([text_of[i] for i in own]), b"".join([of[i] for i in own])
+
+            words = list(words)
+            raw = [w.encode() for w in words]
+            places = lexicon.places(raw)
+            found = np.flatnonzero(places >= 0)
+            for k, own in zip(found.tolist(), lexicon.ids_at(places[found]), strict=True):
+                add(words[k], own)
+            for k in np.flatnonzero(places < 0).tolist():
+                w = words[k]
+                if (before := special.get(w) or remembered.get(w)) is not None:
+                    joined[w], decoded[w] = before
+                    continue
+                add(w, merges.ids(raw[k]))
+                if len(remembered) >= REMEMBERED:
+                    remembered.clear()
+                remembered[w] = (joined[w], decoded[w])
+            return joined, decoded
 
         def groups(rows: list[str]) -> Iterator[list[tuple[int, list[str]]]]:
             """(row, words) of pieces, so many that they hold about CHUNK characters."""
@@ -301,14 +333,12 @@ def encode(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
                         some, size = [], 0
             yield some
 
-        token = lambda i, b=merges.bytes_of: b[int(i)]
         for batch in batches:
             n = batch.num_rows
             counts, ids = [0] * n, [[] for _ in range(n)] if with_ids else None
             of_ids, of_text = [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
             for some in groups(batch.column("text").to_pylist()):
-                joined = known(set().union(*(words for _, words in some)))
-                decoded = {w: b"".join(map(token, x.split(","))) for w, x in joined.items()}
+                joined, decoded = known(set().union(*(words for _, words in some)))
                 for k, words in some:
                     if not words:
                         continue
