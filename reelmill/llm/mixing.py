@@ -23,6 +23,8 @@ from reelmill.llm.common import checkpoint
 
 #: Documents in a bucket, about; a leaf has a power of 16 buckets.
 BUCKET = 256
+#: Leaves whose plan is broadcast; with more, documents meet it by leaf and salt, so that no task gets a whole leaf.
+BROADCAST_LEAVES, SALTS = 1 << 16, 64
 
 
 @dataclass(frozen=True)
@@ -96,7 +98,11 @@ def mixed(df: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text
     whole = F.when(F.col("tokens") > 0, F.least(F.lit(mix.epochs), F.floor(F.col("budget") / F.col("tokens")))).otherwise(1)
     digits = F.greatest(F.lit(0), F.ceil(F.log(16.0, F.greatest(F.lit(1.0), F.col("n") / BUCKET)))).cast("int")
     plan = checkpoint(budgets.select("leaf", whole.cast("int").alias("whole"), (F.col("budget") - whole * F.col("tokens")).alias("rest"), digits.alias("digits")))
-    known = docs.join(plan, "leaf")
+    if plan.count() <= BROADCAST_LEAVES:
+        known = docs.join(F.broadcast(plan), "leaf")
+    else:
+        salted = plan.withColumn("salt", F.explode(F.sequence(F.lit(0), F.lit(SALTS - 1))))
+        known = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["leaf", "salt"]).drop("salt")
     full = known.where("whole > 0").select("doc_id", "leaf", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("whole"))).alias("epoch"))
     rank = F.sha2(F.concat_ws(":", F.lit(mix.seed), (F.col("whole") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
     last = known.where((F.col("rest") > 0) & (F.col("whole") < mix.epochs)).withColumn("rank", rank).withColumn("bucket", F.left("rank", F.col("digits")))
