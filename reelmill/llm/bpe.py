@@ -22,18 +22,19 @@ from functools import lru_cache
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from reelmill.llm.common import _arrow, checkpoint, texts
 
-#: Words in the lexicon at most, and how often one must occur.
-LEXICON, LEAST = 1 << 18, 3
+#: Words in the lexicon at most, how often one must occur, and its characters at most.
+LEXICON, LEAST, LONGEST = 1 << 18, 3, 64
 #: Characters of text that are worked on at once, and of a piece of a very long text.
-CHUNK, PIECE = 8 << 20, 1 << 20
+CHUNK, PIECE = 4 << 20, 1 << 20
 NO_MERGE, ID_MASK = 1 << 62, (1 << 32) - 1
 #: Unseen words whose ids a worker remembers.
-REMEMBERED = 1 << 18
+REMEMBERED = 1 << 17
 
 
 def default_path() -> str:
@@ -111,12 +112,34 @@ class Merges:
                 ranks[at - 1] = get((parts[at - 1], new), NO_MERGE)
         return parts
 
-    def words(self, text: str) -> list[str]:
-        """A text's words and special tokens, in order."""
-        find = word_pattern().findall
-        if self.special is None or not any(s in text for s in self.specials):
-            return find(text)
-        return [w for k, part in enumerate(self.special.split(text)) for w in ([part] if k % 2 else find(part))]
+    def unit_ids(self, unit: str) -> list[int]:
+        """The ids of a unit, which is a special token or a run of whole words."""
+        if unit in self.specials:
+            return [self.specials[unit]]
+        return [i for w in word_pattern().findall(unit) for i in self.ids(w.encode())]
+
+    def units(self, text: str) -> list[str]:
+        """A text in pieces between which words end for sure, in order: mostly a word with its marks and the blank before it.
+
+        A blank or a line end between marks always begins a word, and a line end is one
+        of its own. Texts with other white space are split by the pattern.
+        """
+        parts = [text]
+        if self.special is not None and any(s in text for s in self.specials):
+            parts = self.special.split(text)
+        found = []
+        for k, part in enumerate(parts):
+            if k % 2:
+                found.append(part)
+            elif _RUN.search(part) or SPLIT in part:
+                found += word_pattern().findall(part)
+            else:
+                found += filter(None, part.replace("\n", f"{SPLIT}\n{SPLIT}").replace(" ", f"{SPLIT} ").split(SPLIT))
+        return found
+
+
+#: White space beside a blank or a line end, where words may hold several of them; a mark that is not for use in texts.
+_RUN, SPLIT = re.compile(r"\s[ \n]|\n\s"), "\ue000"
 
 
 class Lexicon:
@@ -217,7 +240,7 @@ _CUT = re.compile(r"(?<=[0-9A-Za-z]) (?=[A-Za-z])")
 
 
 def word_counts(df: DataFrame, file: bytes, text_col: str = "text") -> DataFrame:
-    """(word, n) over all texts of df."""
+    """(word, n) over all texts of df; a word goes with the marks and the blank at it, as units() gives it."""
     held, arrow = df.sparkSession.sparkContext.broadcast(file), _arrow(df.sparkSession, "word string, n long")
 
     def run(batches):
@@ -226,7 +249,7 @@ def word_counts(df: DataFrame, file: bytes, text_col: str = "text") -> DataFrame
         for batch in batches:
             for text in batch.column("text").to_pylist():
                 for piece in _pieces(text):
-                    seen.update(merges.words(piece))
+                    seen.update(merges.units(piece))
                     size += len(piece)
                 if size > CHUNK:
                     yield flush()
@@ -261,8 +284,8 @@ def build_lexicon(df: DataFrame, file: bytes, most: int = LEXICON, least: int =
         lowest = row.step
     rows = counts.where(step >= lowest).select("word").collect() if lowest is not None else []
     merges = Merges(file)
-    words = sorted({r.word.encode() for r in rows if r.word not in merges.specials})
-    return Lexicon.build(words, [merges.ids(w) for w in words])
+    words = sorted({r.word.encode() for r in rows if r.word not in merges.specials and len(r.word) <= LONGEST})
+    return Lexicon.build(words, [merges.unit_ids(w.decode()) for w in words])
 
 
 def mapped(data: bytes) -> np.ndarray:
@@ -294,39 +317,42 @@ def encode(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
     def run(batches):
         merges, lexicon = _merges(held), Lexicon(mapped(lexicon_held.value))
         text_of = [str(i) for i in range(max(merges.bytes_of) + 1)]
-        special = {w: (str(i), w.encode()) for w, i in merges.specials.items()}
-        remembered: dict[str, tuple[str, bytes]] = {}
-
-        def known(words: set[str]) -> tuple[dict[str, str], dict[str, bytes]]:
-            """By word, its ids joined by commas and the bytes that they decode to."""
-            joined, decoded, of = {}, {}, merges.bytes_of
-
-            def add(w: str, own: list[int]) -> None:
-                joined[w], decoded[w] = ",".join([text_of[i] for i in own]), b"".join([of[i] for i in own])
+        find, remembered = word_pattern().findall, {}
 
-            words = list(words)
-            raw = [w.encode() for w in words]
-            places = lexicon.places(raw)
+        def looked_up(words: list[str]) -> tuple[dict[str, list[int]], list[str]]:
+            """The ids of the words that the lexicon holds, and the words that it doesn't."""
+            places = lexicon.places([w.encode() for w in words])
             found = np.flatnonzero(places >= 0)
-            for k, own in zip(found.tolist(), lexicon.ids_at(places[found]), strict=True):
-                add(words[k], own)
-            for k in np.flatnonzero(places < 0).tolist():
-                w = words[k]
-                if (before := special.get(w) or remembered.get(w)) is not None:
-                    joined[w], decoded[w] = before
-                    continue
-                add(w, merges.ids(raw[k]))
-                if len(remembered) >= REMEMBERED:
-                    remembered.clear()
-                remembered[w] = (joined[w], decoded[w])
-            return joined, decoded
+            ids = {words[k]: own for k, own in zip(found.tolist(), lexicon.ids_at(places[found]), strict=True)}
+            return ids, [words[k] for k in np.flatnonzero(places < 0).tolist()]
+
+        def known(units: set[str]) -> tuple[dict[str, str], dict[str, bytes]]:
+            """By unit, its ids joined by commas and the bytes that they decode to.
+
+            Units that the lexicon lacks are split into words, which it may hold; only
+            words that it lacks too are merged.
+            """
+            of, (ids, unseen) = merges.bytes_of, looked_up(list(units))
+            parts = {u: find(u) for u in unseen if u not in merges.specials}
+            own, rare = looked_up(list({w for words in parts.values() for w in words} - ids.keys()))
+            own |= ids
+            for w in rare:
+                if (found := remembered.get(w)) is None:
+                    if len(remembered) >= REMEMBERED:
+                        remembered.clear()
+                    found = remembered[w] = merges.ids(w.encode())
+                own[w] = found
+            for u in unseen:
+                ids[u] = [i for w in parts[u] for i in own[w]] if u in parts else [merges.specials[u]]
+            joined = {u: ",".join([text_of[i] for i in x]) for u, x in ids.items()}
+            return joined, {u: b"".join([of[i] for i in x]) for u, x in ids.items()}
 
         def groups(rows: list[str]) -> Iterator[list[tuple[int, list[str]]]]:
             """(row, words) of pieces, so many that they hold about CHUNK characters."""
             some, size = [], 0
             for k, text in enumerate(rows):
                 for piece in _pieces(text):
-                    some.append((k, merges.words(piece)))
+                    some.append((k, merges.units(piece)))
                     size += len(piece)
                     if size >= CHUNK:
                         yield some
@@ -334,22 +360,32 @@ def encode(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
             yield some
 
         for batch in batches:
-            n = batch.num_rows
-            counts, ids = [0] * n, [[] for _ in range(n)] if with_ids else None
-            of_ids, of_text = [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
-            for some in groups(batch.column("text").to_pylist()):
-                joined, decoded = known(set().union(*(words for _, words in some)))
-                for k, words in some:
-                    if not words:
-                        continue
-                    line = ",".join(map(joined.__getitem__, words))
-                    of_ids[k].update((b"," if counts[k] else b"") + line.encode())
-                    counts[k] += line.count(",") + 1
-                    of_text[k].update(b"".join(map(decoded.__getitem__, words)).decode("utf-8", "replace").encode())
-                    if with_ids:
-                        ids[k] += map(int, line.split(","))
-            columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array([h.hexdigest() for h in of_ids]), pa.array([h.hexdigest() for h in of_text])]
-            yield pa.RecordBatch.from_arrays([*columns, *([pa.array(ids, pa.list_(pa.int32()))] if with_ids else [])], schema=arrow)
+            size = np.cumsum(np.frombuffer(pc.binary_length(batch.column("text")).cast(pa.int64()).buffers()[1], np.int64)[: batch.num_rows]) // CHUNK
+            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
+            for lo, hi in zip(cuts, cuts[1:], strict=False):
+                if hi > lo:
+                    yield encoded(batch.slice(lo, hi - lo), groups, known)
+
+    def encoded(batch: pa.RecordBatch, groups, known) -> pa.RecordBatch:
+        n = batch.num_rows
+        counts, ids = [0] * n, [[] for _ in range(n)]
+        of_ids, of_text = [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
+        for some in groups(batch.column("text").to_pylist()):
+            joined, decoded = known(set().union(*(words for _, words in some)))
+            for k, words in some:
+                if not words:
+                    continue
+                line = ",".join(map(joined.__getitem__, words))
+                of_ids[k].update((b"," if counts[k] else b"") + line.encode())
+                counts[k] += line.count(",") + 1
+                of_text[k].update(b"".join(map(decoded.__getitem__, words)).decode("utf-8", "replace").encode())
+                if with_ids:
+                    ids[k].append(np.fromstring(line, np.int32, sep=","))
+        columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array([h.hexdigest() for h in of_ids]), pa.array([h.hexdigest() for h in of_text])]
+        if with_ids:
+            flat = np.concatenate([np.zeros(0, np.int32), *(x for own in ids for x in own)])
+            columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(flat)))
+        return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
     return docs.mapInArrow(run, schema)
 
