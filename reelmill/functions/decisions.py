@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from reelmill.functions import text as tx
@@ -23,14 +23,21 @@ def _get(record: Column, name: str) -> Column:
     return F.coalesce(F.try_variant_get(record, f"$.{name}", "string"), F.lit(""))
 
 
-def teacher(raw: Column) -> Column:
-    """struct<changed, reason_code, new_state, rejection>: rejection says which gate failed, null if none did."""
-    r = tx.json_in_prose(raw)
-    changed, reason = _flag(r, "state_changed"), F.lower(F.trim(_get(r, "reason_code")))
-    state = tx.sentence(_get(r, "new_state"))
+def with_teacher(df: DataFrame, raw: Column, out: str) -> DataFrame:
+    """df with out, struct<changed, reason_code, new_state, rejection> of a raw answer: rejection says which gate failed, null if none did.
+
+    The answer is parsed once, into a column of its own.
+    """
+    r = F.col("__r")
+    fields = F.struct(
+        r.isNotNull().alias("parsed"), F.try_variant_get(r, "$.state_changed", "variant").isNotNull().alias("has_changed"), _flag(r, "state_changed").alias("changed"),
+        F.lower(F.trim(_get(r, "reason_code"))).alias("reason"), tx.sentence(_get(r, "new_state")).alias("state"),
+    )
+    f = F.col("__f")
+    changed, reason, state = f["changed"], f["reason"], f["state"]
     rejection = (
-        F.when(r.isNull(), "unparseable_json")
-        .when(F.try_variant_get(r, "$.state_changed", "variant").isNull(), "missing_state_changed")
+        F.when(~f["parsed"], "unparseable_json")
+        .when(~f["has_changed"], "missing_state_changed")
         .when(changed.isNull(), "non_boolean_state_changed")
         .when(~reason.isin(*KEEP_REASONS, *UPDATE_REASONS), "unknown_reason_code")
         .when(~changed & ~reason.isin(*KEEP_REASONS), "keep_with_change_reason")
@@ -38,24 +45,24 @@ def teacher(raw: Column) -> Column:
         .when(changed & (state == ""), "empty_new_state")
         .when(changed, F.coalesce(tx.word_gate(state, MIN_WORDS, MAX_WORDS), F.when(tx.is_ungrounded(state), "ungrounded_or_relative_phrasing")))
     )
-    fine = rejection.isNull()
-    return F.struct(
+    fine = F.col("__x").isNull()
+    made = F.struct(
         F.when(fine, changed).alias("changed"), F.when(fine, reason).alias("reason_code"),
-        F.when(fine, F.when(changed, state).otherwise("")).alias("new_state"), rejection.alias("rejection"),
+        F.when(fine, F.when(changed, state).otherwise("")).alias("new_state"), F.col("__x").alias("rejection"),
     )
+    staged = df.withColumn("__r", tx.json_in_prose(raw)).withColumn("__f", fields).withColumn("__x", rejection)
+    return staged.withColumn(out, made).drop("__r", "__f", "__x")
 
 
-def verifier(raw: Column) -> Column:
-    """struct<accept, reason> of a verifier's answer; accept is null where the answer contradicts itself."""
-    r = tx.json_in_prose(raw)
+def verifier(r: Column) -> Column:
+    """struct<accept, reason> of a verifier's parsed answer; accept is null where the answer contradicts itself."""
     accept, mode = _flag(r, "accept"), F.coalesce(F.nullif(F.lower(F.trim(_get(r, "failure_mode"))), F.lit("")), F.lit("unspecified"))
     bad = F.when(r.isNull(), "unparseable_json").when(accept.isNull(), "non_boolean_accept").when(accept & (mode != "none"), "accept_with_failure_mode")
     return F.struct(F.when(bad.isNull(), accept).alias("accept"), F.coalesce(bad, F.when(accept, "none").otherwise(mode)).alias("reason"))
 
 
-def keep_verifier(raw: Column) -> Column:
-    """struct<accept, reason> of a verifier of kept states."""
-    r = tx.json_in_prose(raw)
+def keep_verifier(r: Column) -> Column:
+    """struct<accept, reason> of the parsed answer of a verifier of kept states."""
     accept, mode = _flag(r, "accept_keep"), F.coalesce(F.nullif(F.lower(F.trim(_get(r, "failure_mode"))), F.lit("")), F.lit("unspecified"))
     bad = (
         F.when(r.isNull(), "unparseable_json")

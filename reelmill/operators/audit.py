@@ -99,3 +99,40 @@ def fingerprint(rows: DataFrame, key: tuple[str, ...], order: str, content: Colu
     place = F.floor((F.row_number().over(Window.partitionBy(*key).orderBy("o", "h")) - 1) / block)
     blocks = hashed.withColumn("b", place).groupBy(*key, "b").agg(F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("o", "h"))), lambda x: x["h"]), ""), 256).alias("hb"), F.count(F.lit(1)).alias("nb"))
     return blocks.groupBy(*key).agg(F.sum("nb").alias("n"), F.sha2(F.array_join(F.transform(F.sort_array(F.collect_list(F.struct("b", "hb"))), lambda x: x["hb"]), ""), 256).alias("sha256"))
+
+
+def inspection(frames: DataFrame, texts: DataFrame) -> DataFrame:
+    """(dataset, sequence, frames, boxes, visible, keyframes, has_text): what a data set's sequences hold; visible is null if no frame says."""
+    from reelmill.operators.evaluation import KEY
+
+    rows = frames.groupBy(*KEY).agg(
+        F.count(F.lit(1)).alias("frames"), F.count("gt").alias("boxes"),
+        F.when(F.count("gt_presence") > 0, F.count_if(F.col("gt_presence") == "present")).alias("visible"), F.count_if("is_observation_frame").alias("keyframes"),
+    )
+    named = texts.where("text is not null").select(*KEY).distinct().withColumn("__t", F.lit(True))
+    return rows.join(named, list(KEY), "left").withColumn("has_text", F.coalesce("__t", F.lit(False))).drop("__t")
+
+
+def bundle(rows: DataFrame, case: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
+    """Clean rows once a case, the first by order, in the order of a manifest."""
+    from pyspark.sql import Window
+
+    nth = F.row_number().over(Window.partitionBy(*case).orderBy(*order))
+    return rows.where("clean").withColumn("__n", nth).where("__n = 1").drop("__n")
+
+
+def report_gate(reports: DataFrame, least: int = 1200, policy: str = "strict") -> DataFrame:
+    """reports with verified: no dry run, a demanded minimum that is high enough and reached, under the policy."""
+    ok = ~F.col("dry_run") & (F.col("minimum") >= least) & (F.col("written") >= F.col("minimum")) & (F.col("policy") == policy)
+    return reports.withColumn("verified", F.coalesce(ok, F.lit(False)))
+
+
+def not_training(sources: DataFrame) -> DataFrame:
+    """Sources of a training build that aren't of the train split; must be empty."""
+    return sources.where(~F.coalesce(F.lower(F.trim("split")) == "train", F.lit(False)))
+
+
+def mixed_families(records: DataFrame, family: str = "family") -> DataFrame:
+    """The families of a data set's records if there is more than one; must be empty."""
+    seen = records.groupBy(family).agg(F.count(F.lit(1)).alias("n"))
+    return seen.where(F.lit(seen.count() > 1)) if seen.count() > 1 else seen.limit(0)

@@ -78,17 +78,6 @@ def memory_bank(records: DataFrame, capacity: dict[str, int]) -> DataFrame:
     return first.withColumn("place", F.row_number().over(latest)).where(F.col("place") <= room).drop("__n")
 
 
-def commit_gate(presence: Column, identity: Column, localizable: Column, box: Column, status: Column) -> Column:
-    """Why a candidate box is not committed; null if it is."""
-    return (
-        F.when(status != "ok", "execution_not_ok")
-        .when(F.coalesce(presence != "present", F.lit(True)), "not_present")
-        .when(F.coalesce(identity != "same", F.lit(True)), "identity_not_same")
-        .when(~F.coalesce(localizable, F.lit(True)), "not_localizable")
-        .when(box.isNull(), "no_box")
-    )
-
-
 def fusion(initial: Column, observed_: Column, vlm_status: Column, vlm_box: Column, committed: Column, base_box: Column, base_status: Column, presence: Column, identity: Column, on_rejection: str = "suppress", on_uncommitted: str = "fallback") -> Column:
     """struct<source, presence, reason>: whose box a frame publishes, and what it claims about the target."""
     base_ok = (base_status == "ok") & base_box.isNotNull()

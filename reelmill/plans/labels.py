@@ -159,13 +159,13 @@ ANSWER = """case event_id % 9 when 0 then 'no json here' when 1 then concat('Sur
   case k when 0 then 'unparseable_json' when 3 then 'keep_with_change_reason' when 4 then 'update_with_keep_reason' when 5 then 'missing_state_changed' when 6 then 'state_too_short'
     when 7 then 'ungrounded_or_relative_phrasing' when 8 then 'unknown_reason_code' end as rejection from k""")
 def teacher_decisions(spark, sf_dir):
-    made = table(spark, sf_dir, "events").select("event_id", dc.teacher(F.expr(ANSWER)).alias("d"))
+    made = dc.with_teacher(table(spark, sf_dir, "events"), F.expr(ANSWER), "d")
     return made.select("event_id", "d.*")
 
 
 @query("""with k as (select user_id, event_type, count(*) filter (event_id % 9 = 1) as updates, count(*) filter (event_id % 9 = 2) as keeps, count(*) as n from events group by all) select * from k""")
 def decision_counters(spark, sf_dir):
-    made = table(spark, sf_dir, "events").select("user_id", "event_type", dc.teacher(F.expr(ANSWER)).alias("d"))
+    made = dc.with_teacher(table(spark, sf_dir, "events"), F.expr(ANSWER), "d")
     return made.groupBy("user_id", "event_type").agg(F.count_if("d.changed").alias("updates"), F.count_if(~F.col("d.changed")).alias("keeps"), F.count(F.lit(1)).alias("n"))
 
 
@@ -173,13 +173,13 @@ def decision_counters(spark, sf_dir):
   case when k = 1 and p = 0 then concat('a man rides a red bike number ', event_id % 7) when k = 1 and p = 1 then 'man rides red bike number' when k = 2 and p <> 2 then '' end as new_state,
   case when k not in (1, 2) then 'dual_pass_parse_failure' when k = 2 and p = 2 then 'dual_pass_decision_conflict' when k = 2 then 'dual_pass_keep' when p = 2 then 'dual_pass_wording_conflict' else 'dual_pass_agreed' end as reason from k""")
 def dual_pass(spark, sf_dir):
-    first = dc.teacher(F.expr(ANSWER))
+    events = dc.with_teacher(table(spark, sf_dir, "events"), F.expr(ANSWER), "a")
     state = F.when(F.expr("event_id div 9 % 3 = 0"), F.lit("")).when(F.expr("event_id div 9 % 3 = 1"), "man rides red bike number").otherwise("some dog sleeps under tables")
     second = F.when(
         F.expr("event_id div 9 % 3 > 0 and event_id % 9 = 1 or event_id div 9 % 3 = 2 and event_id % 9 = 2"),
         F.struct(F.lit(True).alias("changed"), F.lit("action_changed").alias("reason_code"), state.alias("new_state"), F.lit(None).cast("string").alias("rejection")),
-    ).otherwise(first)
-    made = table(spark, sf_dir, "events").select("event_id", dc.reconciled(first, second).alias("d"))
+    ).otherwise(F.col("a"))
+    made = events.withColumn("b", second).select("event_id", dc.reconciled(F.col("a"), F.col("b")).alias("d"))
     return made.select("event_id", "d.*")
 
 

@@ -72,11 +72,14 @@ def first_value(record: Column, paths: tuple[str, ...], kind: str = "string") ->
     return F.coalesce(*[path_value(record, p, kind) for p in paths])
 
 
-def _numbers(record: Column, path: str) -> Column:
-    """Four numbers at a path: a list, or a struct in one of three namings."""
-    named = [F.array(*[path_value(record, f"{path}.{k}", "double") for k in keys]) for keys in (("x", "y", "w", "h"), ("x", "y", "width", "height"), ("x1", "y1", "x2", "y2"))]
-    full = [F.when(F.forall(n, lambda v: v.isNotNull()), n) for n in named]
-    four = F.coalesce(path_value(record, path, "array<double>"), *full)
+def _numbers(raw: Column) -> Column:
+    """Four numbers of a VARIANT: a list, or a struct in one of three namings."""
+    named = [F.array(*[F.try_variant_get(raw, f"$.{k}", "double") for k in keys]) for keys in (("x", "y", "w", "h"), ("x", "y", "width", "height"), ("x1", "y1", "x2", "y2"))]
+    return F.coalesce(F.try_variant_get(raw, "$", "array<double>"), *[F.when(F.forall(n, lambda v: v.isNotNull()), n) for n in named])
+
+
+def _finite(four: Column) -> Column:
+    """The first four of some numbers, null if they are fewer or not all finite."""
     fine = (F.size(four) >= 4) & F.forall(F.slice(four, 1, 4), lambda v: v.isNotNull() & ~F.isnan(v) & (F.abs(v) < float("inf")))
     return F.when(fine, F.slice(four, 1, 4))
 
@@ -96,30 +99,27 @@ def as_xywh(four: Column, form: Column, width: Column, height: Column) -> Column
     return F.when(four.isNotNull() & is_valid(made), made)
 
 
-def _box(record: Column, paths, formats, committed=()) -> Column:
-    width, height = _size(record, 0, IMAGE_WIDTH), _size(record, 1, IMAGE_HEIGHT)
-    declared = first_value(record, formats)
-    none = F.lit(None).cast("struct<x:double,y:double,w:double,h:double>")
-    found = none
-    for path, form in reversed(paths):
-        own = as_xywh(_numbers(record, path), F.lit(form) if form else declared, width, height)
-        found = F.when(holds(record, path), own).otherwise(found)
-    for path in reversed(committed):
-        # a committed box counts even where it is null: what was not committed is no prediction
-        found = F.when(has_path(record, path), as_xywh(_numbers(record, path), F.lit("xywh"), width, height)).otherwise(found)
-    return found
+def _raw(record: Column, paths: tuple[str, ...]) -> Column:
+    """The first VARIANT at the paths that holds something."""
+    return F.coalesce(*[F.when(holds(record, p), F.try_variant_get(record, f"$.{p}", "variant")) for p in paths])
+
 
+def _form(record: Column, paths, formats: tuple[str, ...]) -> Column:
+    """The format that goes with the first path that holds something: its own, or the one declared."""
+    form, declared = F.lit(None).cast("string"), first_value(record, formats)
+    for path, own in reversed(paths):
+        form = F.when(holds(record, path), F.lit(own) if own else declared).otherwise(form)
+    return form
 
-def _presence(record: Column, paths: tuple[str, ...]) -> Column:
-    raw = F.coalesce(*[F.when(holds(record, p), F.try_variant_get(record, f"$.{p}", "variant")) for p in paths])
+
+def _presence(raw: Column) -> Column:
     kind, text = F.schema_of_variant(raw), F.try_variant_get(raw, "$", "string")
     number = F.try_variant_get(raw, "$", "double")
     yes_no = F.when(number == 1.0, "present").when(number == 0.0, "absent")
     return F.when(kind == "BOOLEAN", normalise.flag(F.try_variant_get(raw, "$", "boolean"), "present", "absent")).when(kind == "STRING", normalise.presence(text)).otherwise(yes_no)
 
 
-def _identity(record: Column, paths: tuple[str, ...]) -> Column:
-    raw = F.coalesce(*[F.when(holds(record, p), F.try_variant_get(record, f"$.{p}", "variant")) for p in paths])
+def _identity(raw: Column) -> Column:
     same = normalise.flag(F.try_variant_get(raw, "$", "boolean"), "same", "different")
     return F.when(F.schema_of_variant(raw) == "BOOLEAN", same).otherwise(normalise.identity(F.try_variant_get(raw, "$", "string")))
 
@@ -152,23 +152,33 @@ def canonical_frames(lines: DataFrame) -> DataFrame:
     r = F.col("record")
     stem = F.regexp_replace(F.regexp_replace(F.element_at(F.split(F.coalesce("file", F.lit("")), "/"), -1), r"\.jsonl$", ""), r"[_.]frames$", "")
     status = normalise.execution_status([path_value(r, p) for p in STATUS], first_value(r, SKIPPED, "boolean"), F.nullif(first_value(r, ERROR_TYPE), F.lit("")))
-    base = lines.select(
+    # what paths hold is found first, a column each: an expression that others repeat would be worked out for each of them
+    committed = F.array_max(F.array(*[has_path(r, p) for p in COMMITTED_BOX]))
+    found = lines.select(
         F.coalesce(first_value(r, SEQUENCE), stem).alias("sequence"),
         F.coalesce(first_value(r, DATASET), F.lit("default")).alias("dataset"),
         F.coalesce(first_value(r, FRAME, "int"), F.col("line_no") - 1).cast("int").alias("frame_id"),
-        _box(r, GT_BOX, GT_FORMAT).alias("gt"),
-        _box(r, PRED_BOX, PRED_FORMAT, COMMITTED_BOX).alias("pred"),
-        _presence(r, GT_PRESENCE).alias("gt_said"),
-        _presence(r, PRED_PRESENCE).alias("pred_said"),
-        _identity(r, GT_IDENTITY).alias("gt_identity"),
-        _identity(r, PRED_IDENTITY).alias("pred_identity"),
+        _raw(r, tuple(p for p, _ in GT_BOX)).alias("gt_raw"), _form(r, GT_BOX, GT_FORMAT).alias("gt_form"),
+        F.when(committed, F.coalesce(*[F.try_variant_get(r, f"$.{p}", "variant") for p in COMMITTED_BOX])).otherwise(_raw(r, tuple(p for p, _ in PRED_BOX))).alias("pred_raw"),
+        F.when(committed, "xywh").otherwise(_form(r, PRED_BOX, PRED_FORMAT)).alias("pred_form"),
+        _size(r, 0, IMAGE_WIDTH).alias("width"), _size(r, 1, IMAGE_HEIGHT).alias("height"),
+        _raw(r, GT_PRESENCE).alias("gt_said"), _raw(r, PRED_PRESENCE).alias("pred_said"),
+        _raw(r, GT_IDENTITY).alias("gt_same"), _raw(r, PRED_IDENTITY).alias("pred_same"),
         status.alias("execution_status"),
         first_value(r, OBSERVED, "boolean").alias("is_observation_frame"),
         F.array_max(F.array(*[has_path(r, p) for p, _ in GT_BOX])).alias("has_gt_path"),
-    )
+    )
+    read = found.withColumns({
+        "gt_raw": _numbers(F.col("gt_raw")), "pred_raw": _numbers(F.col("pred_raw")),
+        "gt_said": _presence(F.col("gt_said")), "pred_said": _presence(F.col("pred_said")),
+        "gt_identity": _identity(F.col("gt_same")), "pred_identity": _identity(F.col("pred_same")),
+    }).withColumns({"gt_raw": _finite(F.col("gt_raw")), "pred_raw": _finite(F.col("pred_raw"))})
+    base = read.withColumns({k: as_xywh(F.col(f"{k}_raw"), F.col(f"{k}_form"), F.col("width"), F.col("height")) for k in ("gt", "pred")})
     gt_presence = F.coalesce("gt_said", F.when(F.col("has_gt_path"), F.when(F.col("gt").isNotNull(), "present").otherwise("absent")))
     well = F.col("execution_status").isin("ok", "initialized")
     pred_presence = F.coalesce(
         "pred_said", F.when(F.col("pred").isNotNull() & ~normalise.is_error(F.col("execution_status")), "present").when(well, "absent")
     )
-    return base.withColumns({"gt_presence": gt_presence, "pred_presence": pred_presence}).drop("gt_said", "pred_said", "has_gt_path")
+    return base.withColumns({"gt_presence": gt_presence, "pred_presence": pred_presence}).select(
+        "sequence", "dataset", "frame_id", "gt", "pred", "gt_presence", "pred_presence", "gt_identity", "pred_identity", "execution_status", "is_observation_frame"
+    )
