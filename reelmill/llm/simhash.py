@@ -89,14 +89,13 @@ def near_duplicates(
     return docs.join(classes, "fp").select("doc_id", F.lpad(F.lower(F.hex("fp")), 16, "0").alias("fingerprint"), "component_id")
 
 
-def keep_one(df: DataFrame, radius: int = 2, words: int = 3, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
-    """df with one row of each group of near-duplicates: that of the smallest id (of rows that share it, the least text).
+def keep_one(df: DataFrame, classes: DataFrame, id_col: str = "doc_id", text_col: str = "text") -> DataFrame:
+    """df with one row of each class of classes (doc_id, component_id): that of the smallest id (of rows that share it, the least text).
 
     Rows with a null id can't be told apart by it and stay.
     """
-    kept = near_duplicates(df, id_col, text_col, radius, words).where("doc_id = component_id").select("doc_id").distinct()
     own = df.columns
-    kept = kept.select(F.col("doc_id").alias("__kept_id"))
+    kept = classes.where("doc_id = component_id").select(F.col("doc_id").alias("__kept_id")).distinct()
     ranked = df.where(F.col(id_col).isNotNull()).join(kept, F.col(id_col) == F.col("__kept_id"), "left_semi")
     ranked = ranked.withColumn("__rank", F.row_number().over(Window.partitionBy(id_col).orderBy(text_col))).where("__rank = 1")
     return ranked.select(*own).unionByName(df.where(F.col(id_col).isNull()))
