@@ -16,25 +16,26 @@ import re
 import sys
 import tempfile
 import unicodedata
+from array import array
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Iterable, Iterator
 from functools import lru_cache
+from struct import iter_unpack
 
 import numpy as np
 import pyarrow as pa
-import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import _arrow, checkpoint, texts
+from reelmill.llm.common import _arrow, checkpoint, sliced, texts
 
 #: Words in the lexicon at most, how often one must occur, and its characters at most.
 LEXICON, LEAST, LONGEST = 1 << 18, 3, 64
 #: Characters of text that are worked on at once, and of a piece of a very long text.
-CHUNK, PIECE = 4 << 20, 1 << 20
+CHUNK, PIECE = 1 << 20, 1 << 20
 NO_MERGE, ID_MASK = 1 << 62, (1 << 32) - 1
-#: Unseen words whose ids a worker remembers.
-REMEMBERED = 1 << 17
+#: Unseen words whose ids a task remembers, and units; only one chunk may hold more.
+REMEMBERED, REMEMBERED_UNITS = 1 << 16, 1 << 17
 
 
 def default_path() -> str:
@@ -155,50 +156,47 @@ class Lexicon:
         self.keys, self.targets, self.passed, self.final, self.offsets, self.ids = (flat[a:b] for a, b in zip(cuts, cuts[1:], strict=False))
 
     @staticmethod
-    def build(words: list[bytes], ids: list[list[int]]) -> np.ndarray:
-        """The flat array for distinct words in order of their bytes; equal suffixes share their states."""
-        register: dict[tuple, int] = {}
-        final, steps_of, counts = [], [], []  # by state of the minimal automaton
-        path: list[tuple[list, bool]] = [([], False)]  # the open states of the last word: steps and whether a word ends
+    def build(words: list[bytes], ids: Iterable[list[int]]) -> np.ndarray:
+        """The flat array for distinct words in order of their bytes; equal suffixes share their states.
+
+        A state is written as bytes: whether a word ends, then each step's byte and
+        target. What is written alike is one state, numbered when it is first closed.
+        """
+        register: dict[bytes, int] = {}
+        counts = array("q")  # words from a state on
+        path = [bytearray(1)]  # the open states of the last word; the last step of each still lacks its target
 
         def close(depth: int) -> None:
             while len(path) > depth + 1:
-                steps, ends = path.pop()
-                known = (ends, *steps)
-                if known not in register:
-                    register[known] = len(final)
-                    final.append(ends)
-                    steps_of.append(steps)
-                    counts.append(ends + sum(counts[t] for _, t in steps))
-                parent = path[-1][0]
-                parent[-1] = (parent[-1][0], register[known])
+                state = bytes(path.pop())
+                if (number := register.get(state)) is None:
+                    number = register[state] = len(register)
+                    counts.append(state[0] + sum(counts[to] for _, to in iter_unpack("<Bi", state[1:])))
+                path[-1] += number.to_bytes(4, "little")
 
         before = b""
         for word in words:
             shared = len(os.path.commonprefix([before, word]))
             close(shared)
             for byte in word[shared:]:
-                path[-1][0].append((byte, -1))
-                path.append(([], False))
-            path[-1] = (path[-1][0], True)
+                path[-1].append(byte)
+                path.append(bytearray(1))
+            path[-1][0] = 1
             before = word
         close(0)
-        steps_of.append(path[0][0])
-        final.append(path[0][1])
-        root = len(final) - 1
-        number = lambda s: 0 if s == root else s + 1  # noqa: E731  the start is state 0
-        rows = []
-        for s, steps in enumerate(steps_of):
-            passed = int(final[s])
-            for byte, t in steps:
-                rows.append((number(s) * 256 + byte, number(t), passed))
-                passed += counts[t]
-        rows.sort()
-        keys, targets, passed = np.array(rows, np.int64).reshape(-1, 3).T
-        ends = [final[root], *final[:root]]
-        offsets = np.cumsum([0, *map(len, ids)])
-        flat = [i for x in ids for i in x]
-        return np.concatenate([np.array([len(keys), len(ends), len(words), len(flat)], np.int64), keys, targets, passed, np.array(ends, np.int64), offsets, np.array(flat, np.int64)]).astype(np.int32)
+        states = [bytes(path[0]), *register]  # the start is state 0, and so the steps are in order of their keys
+        sizes, final = np.array([len(s) // 5 for s in states]), np.array([s[0] for s in states])
+        steps = np.frombuffer(b"".join([s[1:] for s in states]), np.dtype([("byte", "u1"), ("to", "<i4")]))
+        owner = np.repeat(np.arange(len(states)), sizes)
+        after = np.array(counts, np.int64)[steps["to"]]
+        ahead = np.cumsum(after) - after
+        passed = final[owner] + ahead - ahead[np.repeat(np.cumsum(sizes) - sizes, sizes)]
+        flat, offsets = array("i"), array("i", [0])
+        for own in ids:
+            flat.extend(own)
+            offsets.append(len(flat))
+        head = [len(steps), len(states), len(words), len(flat)]
+        return np.concatenate([np.asarray(x, np.int32) for x in (head, owner * 256 + steps["byte"], steps["to"] + 1, passed, final, offsets, flat)])
 
     def ids_at(self, places: np.ndarray) -> Iterator[list[int]]:
         """The ids of the words at places."""
@@ -246,7 +244,7 @@ def word_counts(df: DataFrame, file: bytes, text_col: str = "text") -> DataFrame
     def run(batches):
         merges, seen, size = _merges(held), Counter(), 0
         flush = lambda: pa.RecordBatch.from_arrays([pa.array(seen.keys(), pa.string()), pa.array(seen.values(), pa.int64())], schema=arrow)
-        for batch in batches:
+        for batch in sliced(batches):
             for text in batch.column("text").to_pylist():
                 for piece in _pieces(text):
                     seen.update(merges.units(piece))
@@ -282,10 +280,10 @@ def build_lexicon(df: DataFrame, file: bytes, most: int = LEXICON, least: int =
         if (total := total + row.words) > most:
             break
         lowest = row.step
-    rows = counts.where(step >= lowest).select("word").collect() if lowest is not None else []
+    rows = counts.where(step >= lowest).select("word").toArrow().column("word").to_pylist() if lowest is not None else []
     merges = Merges(file)
-    words = sorted({r.word.encode() for r in rows if r.word not in merges.specials and len(r.word) <= LONGEST})
-    return Lexicon.build(words, [merges.unit_ids(w.decode()) for w in words])
+    words = sorted([w.encode() for w in rows if w not in merges.specials and len(w) <= LONGEST])
+    return Lexicon.build(words, (merges.unit_ids(w.decode()) for w in words))
 
 
 def mapped(data: bytes) -> np.ndarray:
@@ -359,19 +357,28 @@ def encode(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
                         some, size = [], 0
             yield some
 
-        for batch in batches:
-            size = np.cumsum(np.frombuffer(pc.binary_length(batch.column("text")).cast(pa.int64()).buffers()[1], np.int64)[: batch.num_rows]) // CHUNK
-            cuts = [0, *(np.flatnonzero(np.diff(size)) + 1).tolist(), batch.num_rows]
-            for lo, hi in zip(cuts, cuts[1:], strict=False):
-                if hi > lo:
-                    yield encoded(batch.slice(lo, hi - lo), groups, known)
+        joined, decoded = {}, {}
+
+        def answers(units: set[str]) -> tuple[dict[str, str], dict[str, bytes]]:
+            """What known() says of units, and of those asked before while they are not too many."""
+            new = units - joined.keys()
+            if len(joined) + len(new) > REMEMBERED_UNITS:
+                joined.clear()
+                decoded.clear()
+                new = units
+            for all_of, of in zip((joined, decoded), known(new), strict=True):
+                all_of.update(of)
+            return joined, decoded
+
+        for batch in sliced(batches, most=CHUNK):
+            yield encoded(batch, groups, answers)
 
-    def encoded(batch: pa.RecordBatch, groups, known) -> pa.RecordBatch:
+    def encoded(batch: pa.RecordBatch, groups, answers) -> pa.RecordBatch:
         n = batch.num_rows
         counts, ids = [0] * n, [[] for _ in range(n)]
         of_ids, of_text = [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
         for some in groups(batch.column("text").to_pylist()):
-            joined, decoded = known(set().union(*(words for _, words in some)))
+            joined, decoded = answers(set().union(*(words for _, words in some)))
             for k, words in some:
                 if not words:
                     continue

@@ -6,11 +6,16 @@ import tempfile
 import uuid
 from collections.abc import Callable, Iterator
 
+import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+#: Bytes of text that a Python task turns into objects at once, unless one row has more.
+SLICE = 2 << 20
+
 
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir.
@@ -46,12 +51,22 @@ def texts(df: DataFrame, id_col: str, text_col: str) -> DataFrame:
     return df.select(F.col(id_col).cast("long").alias("doc_id"), empty_as_null_safe(text_col).alias("text"))
 
 
+def sliced(batches: Iterator[pa.RecordBatch], col: str | int = "text", most: int = SLICE) -> Iterator[pa.RecordBatch]:
+    """The batches in runs of rows of about most bytes of text, so that a task's memory doesn't follow the size of batches."""
+    for batch in batches:
+        sizes = pc.fill_null(pc.binary_length(batch.column(col)), 0).to_numpy(zero_copy_only=False).astype(np.int64)
+        cuts = [0, *(np.flatnonzero(np.diff(np.cumsum(sizes) // most)) + 1).tolist(), batch.num_rows]
+        for lo, hi in zip(cuts, cuts[1:], strict=False):
+            if hi > lo:
+                yield batch.slice(lo, hi - lo)
+
+
 def map_texts(df: DataFrame, each: Callable[[str], tuple], schema: str) -> DataFrame:
     """Rows of (doc_id, *each(text)) for every row of df, which texts() has made."""
     arrow = _arrow(df.sparkSession, schema)
 
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        for batch in batches:
+        for batch in sliced(batches):
             rows = [each(t) for t in batch.column("text").to_pylist()]
             columns = [pa.array([r[i] for r in rows], arrow.field(i + 1).type) for i in range(len(arrow) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], schema=arrow)

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import _arrow, checkpoint, texts
+from reelmill.llm.common import _arrow, checkpoint, sliced, texts
 
 #: What is stripped from both ends of a line, and a bucket's places.
 BLANK = b" \t\n\x0b\x0c\r"
@@ -124,7 +124,7 @@ def references(df: DataFrame, rule: LineRule = LineRule(), id_col: str = "doc_id
     arrow = _arrow(df.sparkSession, schema)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches):
             keys, ids = [], []
             for i, t in zip(batch.column("doc_id").to_pylist(), batch.column("text").cast(pa.binary()).to_pylist(), strict=True):
                 own = {line_key(x, rule.least_points) for x in t.split(b"\n")} - {None}
@@ -220,7 +220,7 @@ def without_lines(df: DataFrame, lost: DataFrame, rule: LineRule = LineRule(), i
     arrow = to_arrow_schema(out)
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, "__text"):
             made = []
             for t, keys in zip(batch.column("__text").cast(pa.binary()).to_pylist(), batch.column("__keys").to_pylist(), strict=True):
                 lines = t.split(b"\n")

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from reelmill.llm.automaton import Automaton, compile_rules
-from reelmill.llm.common import _arrow, texts
+from reelmill.llm.common import _arrow, sliced, texts
 
 
 @dataclass(frozen=True)
@@ -102,7 +102,7 @@ def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
             yield at, many[at:]
 
     def run(batches):
-        for batch in batches:
+        for batch in sliced(batches, most=CHUNK):
             spans: list[list] = [[] for _ in range(batch.num_rows)]
             many = batch.column("text").cast(pa.binary()).to_pylist()
             for at, some in chunks(many):

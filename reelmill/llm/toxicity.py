@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import _arrow, texts
+from reelmill.llm.common import _arrow, sliced, texts
 
 #: ASCII but letters parts words; text is lower-cased before.
 _PARTS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -124,23 +124,24 @@ def fit(docs: DataFrame, labels: DataFrame, s: ToxicitySettings = ToxicitySettin
 
     def featured(batches):
         hashes = _Hashes()
-        for b in batches:
+        for b in sliced(batches):
             at = [features(t, s.bits, hashes).tobytes() for t in b.column("text").to_pylist()]
             yield pa.RecordBatch.from_arrays([b.column("order"), b.column("toxic"), pa.array(at, pa.binary())], ["order", "toxic", "at"])
 
     def learned(batches):
         seen = []
-        for b in batches:
-            seen += zip(b.column("order").to_pylist(), b.column("toxic").to_pylist(), (np.frombuffer(x, np.uint32) for x in b.column("at").to_pylist()), strict=True)
-        seen.sort(key=lambda x: (x[0], x[1], x[2].tobytes()))
+        for b in sliced(batches, "at"):
+            seen += zip(b.column("toxic").to_pylist(), (np.frombuffer(x, np.uint32) for x in b.column("at").to_pylist()), strict=True)
         model = Ftrl(s)
         for epoch in range(s.epochs):
             for k in np.random.default_rng(epoch).permutation(len(seen)):
-                model.learn(seen[k][2], seen[k][1])
+                model.learn(seen[k][1], seen[k][0])
         bias, at, weight = model.model()
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()]), pa.array([bias, *weight.tolist()])], schema=made)
 
-    rows = sample.mapInArrow(featured, "order long, toxic int, at binary").repartition(1).mapInArrow(learned, "at long, weight double").collect()
+    # the order of learning is the sort's, whatever order the rows come in
+    drawn = sample.mapInArrow(featured, "order long, toxic int, at binary").repartition(1).sortWithinPartitions("order", "toxic", "at")
+    rows = drawn.mapInArrow(learned, "at long, weight double").collect()
     if not rows:
         return 0.0, np.zeros(0, np.uint32), np.zeros(0)
     rows.sort()
@@ -163,7 +164,7 @@ def score_texts(df: DataFrame, model: tuple, s: ToxicitySettings = ToxicitySetti
         bias, at, weight = held.value
         dense, hashes = np.zeros(2**s.bits), _Hashes()
         dense[at] = weight
-        for b in batches:
+        for b in sliced(batches, place):
             scores = [sigmoid(bias + weight_of(t or "", s.bits, hashes, dense)) for t in b.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], schema=arrow)
 
