@@ -92,3 +92,53 @@ def answer_text(presence: Column, corners: Column, memory: Column) -> Column:
     box = F.when(corners.isNull(), "null").otherwise(F.concat(F.lit("["), F.concat_ws(",", *[number(corners[n]) for n in ("x1", "y1", "x2", "y2")]), F.lit("]")))
     quoted = F.when(memory.isNull(), "null").otherwise(F.concat(F.lit('"'), F.replace(F.replace(memory, F.lit("\\"), F.lit("\\\\")), F.lit('"'), F.lit('\\"')), F.lit('"')))
     return F.concat(F.lit('{"target_status":"'), presence, F.lit('","bbox_2d":'), box, F.lit(',"memory_update":'), quoted, F.lit("}"))
+
+
+def _with_reward_box(df: DataFrame, v: str, out: str) -> DataFrame:
+    """df with out, struct<box, given> of an answer's box: under the first of its names that is there, in that name's format."""
+    get = lambda k, kind="variant": F.try_variant_get(F.col(v), f"$.{k}", kind)
+    names = (("bbox_xywh", "xywh"), ("bbox_xyxy", "xyxy"), ("bbox_2d", "norm1000_xyxy"), ("bbox_norm1000_xyxy", "norm1000_xyxy"))
+    each = [F.when(get(k).isNotNull(), F.struct(get(k).alias("v"), F.lit(form).alias("form"))) for k, form in names]
+    last = F.struct(get("bbox").alias("v"), F.lower(F.coalesce(get("bbox_format", "string"), F.lit("norm1000_xyxy"))).alias("form"))
+    staged = df.withColumn("__b", F.coalesce(*each, last)).withColumn("__four", F.slice(F.try_variant_get(F.col("__b.v"), "$", "array<double>"), 1, 4))
+    four, form = F.col("__four"), F.col("__b.form")
+    x, y, a, b = [F.get(four, F.lit(i)) for i in range(4)]
+    sized = form.contains("xywh")
+    finite = F.forall(four, lambda c: c.isNotNull() & ~F.isnan(c) & (F.abs(c) < float("inf")))
+    inside = sized | ~form.contains("norm1000") | F.forall(four, lambda c: (c >= 0) & (c <= 1000))
+    fine = (F.size(four) == 4) & finite & inside & F.when(sized, (a > 0) & (b > 0)).otherwise((a > x) & (b > y))
+    made = F.struct(*[c.alias(n) for c, n in ((x, "x"), (y, "y"), (F.when(sized, a).otherwise(a - x), "w"), (F.when(sized, b).otherwise(b - y), "h"))])
+    given = F.coalesce(F.col("__b.v").isNotNull() & ~F.is_variant_null(F.col("__b.v")), F.lit(False))
+    return staged.withColumn(out, F.struct(F.when(fine, made).alias("box"), given.alias("given"))).drop("__b", "__four")
+
+
+def with_rewards(df: DataFrame, completion: Column, reference: Column, out: str) -> DataFrame:
+    """df with out, struct<format, presence, bbox, consistency:double>: what a completion earns against its reference, both JSON texts.
+
+    A fenced completion is read but has no format reward. An absent target earns its box
+    reward by no box, a present one by intersection over union. Consistent is an answer
+    that with_tracking_output takes; a memory may be left out, but not be a bad one.
+    """
+    fence, space = r"(?is)^```(?:json)?\s*(.*?)\s*```$", r"^\s+|\s+$"
+    text = lambda c: F.regexp_replace(c, space, "")
+    bare = lambda c: F.when(text(c).rlike(fence), F.regexp_replace(F.regexp_extract(text(c), fence, 1), space, "")).otherwise(text(c))
+    staged = df.withColumns({"__c": bare(completion), "__strict": ~text(completion).startswith("```")})
+    staged = staged.withColumns({"__p": strict_json(F.col("__c")), "__q": strict_json(bare(reference))})
+    staged = with_tracking_output(staged, F.col("__c"), F.lit(1000.0), F.lit(1000.0), "__o")
+
+    def presence(v: Column) -> Column:
+        first = F.lit(None).cast("string")
+        for k in ("target_status", "status", "target_presence"):
+            first = F.when(F.try_variant_get(v, f"$.{k}", "variant").isNotNull(), F.try_variant_get(v, f"$.{k}", "string")).otherwise(first)
+        value = F.lower(F.trim(first))
+        return F.when(value.isin("present", "absent", "uncertain"), value)
+
+    p, q = presence(F.col("__p")), presence(F.col("__q"))
+    staged = _with_reward_box(_with_reward_box(staged, "__p", "__pb"), "__q", "__qb")
+    staged = staged.withColumns({"__ps": p, "__qs": q})
+    p, q, own, given, want = (F.col(c) for c in ("__ps", "__qs", "__pb.box", "__pb.given", "__qb.box"))
+    one = lambda c: F.coalesce(c, F.lit(False)).cast("double")
+    consistent = F.col("__o.reason").isNull() & F.coalesce(F.col("__o.memory_problem") == "memory_missing", F.lit(True))
+    box = F.when(q == "absent", one((p == "absent") & ~given)).when((q == "present") & (p == "present"), F.coalesce(bx.iou(own, want), F.lit(0.0))).otherwise(F.lit(0.0))
+    made = F.struct(one(F.col("__strict") & consistent).alias("format"), one(p == q).alias("presence"), box.alias("bbox"), one(consistent).alias("consistency"))
+    return staged.withColumn(out, made).drop("__c", "__strict", "__p", "__q", "__o", "__pb", "__qb", "__ps", "__qs")

@@ -263,3 +263,18 @@ def page_hosts(spark, sf_dir):
 @query("select c1.conv_id from (select conv_id, count(*) as n from conversations group by conv_id having count(*) > 3) c1")
 def long_conversations(spark, sf_dir):
     return mixture.duplicates(table(spark, sf_dir, "conversations"), ("conv_id",)).where("n > 3").select("conv_id")
+
+
+@query(f"""{FR} select dataset, sequence, frame_id, case when pred_presence in ('present', 'absent') and (pred_presence = 'present') = (px is not null) and frame_id % 4 <> 1 then 1.0 else 0.0 end::double as format,
+  case when pred_presence = gt_presence then 1.0 else 0.0 end::double as presence,
+  round(case when gt_presence = 'absent' then case when pred_presence = 'absent' and px is null then 1.0 else 0.0 end when pred_presence = 'present' and px is not null then
+    greatest(0, least(px + pw, gx + gw) - greatest(px, gx)) * greatest(0, least(py + ph, gy + gh) - greatest(py, gy))
+    / (pw * ph + gw * gh - greatest(0, least(px + pw, gx + gw) - greatest(px, gx)) * greatest(0, least(py + ph, gy + gh) - greatest(py, gy))) else 0.0 end::double, 9) as bbox,
+  case when pred_presence in ('present', 'absent') and (pred_presence = 'present') = (px is not null) then 1.0 else 0.0 end::double as consistency from frames""")
+def tracking_rewards(spark, sf_dir):
+    corners = lambda b: F.when(b.isNotNull(), F.array(b["x"], b["y"], b["x"] + b["w"], b["y"] + b["h"]))
+    answer = lambda p, b: F.to_json(F.struct(p.alias("target_status"), corners(b).alias("bbox_2d")), {"ignoreNullFields": "false"})
+    own = answer(F.col("pred_presence"), F.col("pred"))
+    own = F.when(F.col("frame_id") % 4 == 1, F.concat(F.lit("```json\n"), own, F.lit("\n```"))).otherwise(own)
+    made = pr.with_rewards(frames(spark, sf_dir), own, answer(F.col("gt_presence"), F.col("gt")), "r")
+    return made.select(*KEY, "frame_id", "r.format", "r.presence", r9(F.col("r.bbox")).alias("bbox"), "r.consistency")
