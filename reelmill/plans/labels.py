@@ -92,15 +92,21 @@ n as (select doc_id, line, lead(line) over (order by doc_id) as nxt from d)"""
 
 
 def _lines(spark, sf_dir):
+    d = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1).alias("line"))
+    return _with_next(d)
+
+
+def _with_next(d):
+    """(doc_id, line, nxt) of d (doc_id, line): the line of the next id that is there, nulls last."""
     from pyspark.sql import Window
 
-    d = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1).alias("line"))
-    # neighbours within blocks of ids, so that no one task orders all documents; the block's last looks into the next one
-    block = F.floor(F.col("doc_id") / 1024)
-    both = d.withColumn("block", block).withColumn("own", F.lit(True)).unionByName(
-        d.where(F.col("doc_id") % 1024 == 0).withColumn("block", block - 1).withColumn("own", F.lit(False))
-    )
-    return both.withColumn("nxt", F.lead("line").over(Window.partitionBy("block").orderBy("doc_id"))).where("own").select("doc_id", "line", "nxt")
+    # neighbours within blocks of ids, so that no one task orders all documents; a block's last looks at the least row of the next block that has any
+    rows = d.withColumn("block", F.floor(F.col("doc_id") / 1024)).withColumn("own", F.lit(True))
+    least = rows.groupBy("block").agg(F.min(F.struct("doc_id", "line")).alias("least"))
+    before = least.withColumn("to", F.lag("block").over(Window.orderBy(F.asc_nulls_last("block")))).where("to is not null")
+    ahead = before.select("least.doc_id", "least.line", F.col("to").alias("block"), F.lit(False).alias("own"))
+    nxt = F.lead("line").over(Window.partitionBy("block").orderBy(F.desc("own"), "doc_id", "line"))
+    return rows.unionByName(ahead).withColumn("nxt", nxt).where("own").select("doc_id", "line", "nxt")
 
 
 TOK = "list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda t: length(t) > 2))"
