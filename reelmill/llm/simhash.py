@@ -12,7 +12,7 @@ from itertools import combinations
 
 import numpy as np
 import xxhash
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.llm.common import checkpoint, map_texts, texts
@@ -41,6 +41,14 @@ def fingerprint(text: str, words: int = 3, seed: int = 42) -> int:
     return int(np.packbits(2 * ones > n, bitorder="little").view("<i8")[0])
 
 
+def majority(hashes: np.ndarray) -> int:
+    """The signed SimHash of 64-bit hashes: the bits that over half of them have; 0 of none."""
+    ones = np.zeros(BITS, np.int64)
+    for at in range(0, len(hashes), STEP):
+        ones += np.unpackbits(hashes[at : at + STEP].view(np.uint8).reshape(-1, 8), axis=1, bitorder="little").sum(0, dtype=np.int64)
+    return int(np.packbits(2 * ones > len(hashes), bitorder="little").view("<i8")[0])
+
+
 def fingerprints(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", words: int = 3, seed: int = 42) -> DataFrame:
     """(doc_id, fp long) for every row of df."""
     return map_texts(texts(df, id_col, text_col), lambda t: (fingerprint(t, words, seed),), "doc_id long, fp long")
@@ -52,6 +60,16 @@ def ball(radius: int) -> list[int]:
     return [m - (1 << BITS) if m >> (BITS - 1) else m for m in masks]
 
 
+def half_variants(fp: Column) -> Column:
+    """The variants within one bit of each half of fp, a half's number above its 32 bits.
+
+    Fingerprints within five bits of each other have a half within two, and so share a
+    variant: 66 of them do what the ball of 64 bits would need 43,745 for.
+    """
+    words = [F.shiftrightunsigned(fp, 32 * half).bitwiseAND(F.lit(0xFFFFFFFF)).bitwiseOR(F.lit(half << 32)) for half in (0, 1)]
+    return F.array(*[w.bitwiseXOR(F.lit(m)) for w in words for m in (0, *(1 << b for b in range(32)))])
+
+
 def links(fps: DataFrame, radius: int = 2) -> DataFrame:
     """fps (fp, distinct) -> verified links (a, b) that join all fingerprints within radius bits, directly or over others.
 
