@@ -20,11 +20,15 @@ SLICE = 2 << 20
 def checkpoint_dir(spark: SparkSession) -> str:
     """The folder that all executors share: the session's spark.checkpoint.dir.
 
-    A folder of this machine is set only where the session names none, as in tests.
+    Where the session names none, a folder of this machine does for a local master, as
+    in tests; on a cluster that is an error.
     """
     sc = spark.sparkContext
     if not sc._jsc.sc().getCheckpointDir().isDefined():
-        sc.setCheckpointDir(spark.conf.get("spark.checkpoint.dir", None) or tempfile.mkdtemp("-checkpoint"))
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp("-checkpoint"))
     return sc._jsc.sc().getCheckpointDir().get()
 
 
@@ -34,6 +38,21 @@ def checkpoint(df: DataFrame) -> DataFrame:
     return df.checkpoint(eager=True)
 
 
+#: Rows of a few numbers that a task gets at least, where a table's size is known.
+TASK_ROWS = 1 << 17
+
+
+def fitted(df: DataFrame, n: int) -> DataFrame:
+    """df in no more tasks than n rows need: a small table in hundreds of tasks costs more in files than in work."""
+    return df.coalesce(n // TASK_ROWS + 1)
+
+
+def settled(df: DataFrame) -> DataFrame:
+    """df checkpointed, in as many tasks as it has rows for."""
+    held = checkpoint(df)
+    return fitted(held, held.count())
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as Parquet in the shared folder, read again: for tables with whole texts, which checkpoints don't compress."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
