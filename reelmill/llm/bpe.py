@@ -34,8 +34,8 @@ LEXICON, LEAST, LONGEST = 1 << 18, 3, 64
 #: Characters of text that are worked on at once, and of a piece of a very long text.
 CHUNK, PIECE = 1 << 20, 1 << 20
 NO_MERGE, ID_MASK = 1 << 62, (1 << 32) - 1
-#: Unseen words whose ids a task remembers, and units; only one chunk may hold more.
-REMEMBERED, REMEMBERED_UNITS = 1 << 16, 1 << 17
+#: Bytes of a word at most that is merged together with others of its length, and how many of them at once.
+TOGETHER, ROWS = 32, 1 << 14
 
 
 def default_path() -> str:
@@ -78,6 +78,9 @@ class Merges:
         self.id_of_byte = [vocab.get(bytes([b]), -1) for b in range(256)]
         pairs = (m.split(" ") if isinstance(m, str) else m for m in data["model"]["merges"])
         self.merges = {(vocab[a], vocab[b]): rank << 32 | vocab[a + b] for rank, (a, b) in enumerate((raw(a), raw(b)) for a, b in pairs)}
+        pairs_of = np.array([a << 20 | b for a, b in self.merges], np.int64)
+        order = np.argsort(pairs_of)
+        self.pairs, self.made = pairs_of[order], np.array(list(self.merges.values()), np.int64)[order]
         self.specials = {t["content"]: t["id"] for t in data["added_tokens"]}
         self.bytes_of = {i: t for t, i in vocab.items()} | {i: t.encode() for t, i in self.specials.items()}
         longest = sorted(self.specials, key=len, reverse=True)
@@ -113,6 +116,60 @@ class Merges:
                 ranks[at - 1] = get((parts[at - 1], new), NO_MERGE)
         return parts
 
+    def _ranks(self, left: np.ndarray, right: np.ndarray) -> np.ndarray:
+        """The numbers of the merges of pairs, or NO_MERGE."""
+        if not len(self.pairs):
+            return np.full(left.shape, NO_MERGE, np.int64)
+        key = left * (1 << 20) + right
+        at = np.searchsorted(self.pairs, key).clip(max=len(self.pairs) - 1)
+        return np.where(self.pairs[at] == key, self.made[at], NO_MERGE)
+
+    def ids_of(self, words: list[bytes]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one after another, how many each word has): words of one length are merged together, a step each at a time."""
+        size, of_byte, done = np.fromiter(map(len, words), np.int64, len(words)), np.array(self.id_of_byte, np.int64), []
+        for length in np.unique(size).tolist():
+            alike = np.flatnonzero(size == length)
+            if length > TOGETHER:
+                done += [(alike[i : i + 1], np.array([self.ids(words[k])], np.int64)) for i, k in enumerate(alike.tolist())]
+                continue
+            for at in range(0, len(alike), ROWS):
+                some = alike[at : at + ROWS]
+                parts = of_byte[np.frombuffer(b"".join([words[k] for k in some.tolist()]), np.uint8).reshape(len(some), length)]
+                done += self._merged(some, parts)
+        count = np.zeros(len(words), np.int64)
+        for some, parts in done:
+            count[some] = parts.shape[1]
+        starts = np.cumsum(count) - count
+        flat = np.zeros(int(count.sum()), np.int32)
+        for some, parts in done:
+            flat[starts[some][:, None] + np.arange(parts.shape[1])] = parts
+        return flat, count
+
+    def _merged(self, words: np.ndarray, parts: np.ndarray) -> Iterator[tuple[np.ndarray, np.ndarray]]:
+        """Rows of words' parts, merged by rank until none fits: each round takes one merge in every row, so that rows stay equally long."""
+        ranks = self._ranks(parts[:, :-1], parts[:, 1:])
+        while ranks.shape[1]:
+            at = ranks.argmin(1)
+            least = ranks[np.arange(len(at)), at]
+            if (stop := least == NO_MERGE).any():
+                yield words[stop], parts[stop]
+                words, parts, ranks, at, least = words[~stop], parts[~stop], ranks[~stop], at[~stop], least[~stop]
+            if not len(words):
+                return
+            rows, width, new = np.arange(len(words)), parts.shape[1], least & ID_MASK
+            parts[rows, at] = new
+            stay = np.ones(parts.shape, bool)
+            stay[rows, at + 1] = False
+            parts = parts[stay].reshape(len(words), width - 1)
+            stay = np.ones(ranks.shape, bool)
+            stay[rows, at] = False
+            ranks = ranks[stay].reshape(len(words), width - 2)
+            for own, place, side in ((at < width - 2, at, 1), (at > 0, at - 1, 0)):
+                own = np.flatnonzero(own)
+                place = place[own]
+                ranks[own, place] = self._ranks(new[own], parts[own, place + 1]) if side else self._ranks(parts[own, place], new[own])
+        yield words, parts
+
     def unit_ids(self, unit: str) -> list[int]:
         """The ids of a unit, which is a special token or a run of whole words."""
         if unit in self.specials:
@@ -200,10 +257,15 @@ class Lexicon:
 
     def ids_at(self, places: np.ndarray) -> Iterator[list[int]]:
         """The ids of the words at places."""
-        starts, sizes = self.offsets[places].astype(np.int64), np.diff(self.offsets)[places].astype(np.int64)
-        ends = np.cumsum(sizes)
-        flat = self.ids[np.repeat(starts - ends + sizes, sizes) + np.arange(ends[-1] if len(ends) else 0)].tolist()
-        return (flat[a:b] for a, b in zip((ends - sizes).tolist(), ends.tolist(), strict=True))
+        flat, count = self.runs_at(places)
+        ends = np.cumsum(count)
+        return (flat[a:b].tolist() for a, b in zip((ends - count).tolist(), ends.tolist(), strict=True))
+
+    def runs_at(self, places: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one after another, how many each word has) of the words at places."""
+        starts = self.offsets[places].astype(np.int64)
+        count = self.offsets[places + 1] - starts
+        return self.ids[_runs(starts, count)], count
 
     def places(self, words: list[bytes]) -> np.ndarray:
         """Each word's place in the lexicon, or -1; all words step through the automaton together."""
@@ -226,6 +288,12 @@ class Lexicon:
         return out
 
 
+def _runs(starts: np.ndarray, count: np.ndarray) -> np.ndarray:
+    """The places start, start + 1, ... of each run, one run after another."""
+    ends = np.cumsum(count)
+    return np.repeat(starts - ends + count, count) + np.arange(ends[-1] if len(ends) else 0)
+
+
 def _pieces(text: str) -> Iterator[str]:
     """A long text, cut where a word ends for sure: between a mark and one blank before another mark."""
     while len(text) > PIECE and (cut := _CUT.search(text, PIECE)):
@@ -286,12 +354,72 @@ def build_lexicon(df: DataFrame, file: bytes, most: int = LEXICON, least: int =
     return Lexicon.build(words, (merges.unit_ids(w.decode()) for w in words))
 
 
+_MAPPED: dict[bytes, np.ndarray] = {}
+
+
 def mapped(data: bytes) -> np.ndarray:
-    """A lexicon's array, mapped from a file that goes when the worker does."""
-    with tempfile.NamedTemporaryFile(suffix=".lexicon") as f:
-        f.write(data)
-        f.flush()
-        return np.memmap(f.name, np.int32, "r")
+    """A lexicon's array, mapped once a worker from a file that goes when the worker does or reads another lexicon."""
+    key = hashlib.sha256(data).digest()
+    if key not in _MAPPED:
+        _MAPPED.clear()
+        with tempfile.NamedTemporaryFile(suffix=".lexicon") as f:
+            f.write(data)
+            f.flush()
+            _MAPPED[key] = np.memmap(f.name, np.int32, "r")
+    return _MAPPED[key]
+
+
+class Encoder:
+    """Ids of texts by a lexicon, and by merges where it has none; and texts of ids."""
+
+    def __init__(self, merges: Merges, lexicon: Lexicon) -> None:
+        self.merges, self.lexicon = merges, lexicon
+        self.text_of = [str(i) for i in range(max(merges.bytes_of) + 1)]
+        self.bytes_of = [merges.bytes_of.get(i, b"") for i in range(len(self.text_of))]
+
+    def _looked_up(self, words: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """(places, ids of the words that the lexicon holds, how many each of those has); places are -1 where it holds none."""
+        places = self.lexicon.places([w.encode() for w in words])
+        return places, *self.lexicon.runs_at(places[places >= 0])
+
+    def _words(self, words: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one after another, how many each word has) of single words and special tokens."""
+        places, flat, count = self._looked_up(words)
+        rare = np.flatnonzero(places < 0)
+        merged, own = self.merges.ids_of([b"" if words[k] in self.merges.specials else words[k].encode() for k in rare.tolist()])
+        special = [k for k in np.flatnonzero(own == 0).tolist() if words[rare[k]] in self.merges.specials]
+        merged = np.insert(merged, (np.cumsum(own) - own)[special], [self.merges.specials[words[rare[k]]] for k in special])
+        own[special] = 1
+        return _woven(places >= 0, (flat, count), (merged, own))
+
+    def unit_ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one after another, how many each unit has): units that the lexicon lacks are split into words, which it may hold."""
+        places, flat, count = self._looked_up(units)
+        find = word_pattern().findall
+        parts = [[units[k]] if units[k] in self.merges.specials else find(units[k]) for k in np.flatnonzero(places < 0).tolist()]
+        index = {w: i for i, w in enumerate(dict.fromkeys(w for words in parts for w in words))}
+        ids, each = self._words(list(index))
+        code = np.array([index[w] for words in parts for w in words], np.int64)
+        unit = np.repeat(np.arange(len(parts)), [len(words) for words in parts])
+        starts = np.cumsum(each) - each
+        rest = ids[_runs(starts[code], each[code])], np.bincount(unit, each[code], len(parts)).astype(np.int64)
+        return _woven(places >= 0, (flat, count), rest)
+
+    def ids(self, units: list[str]) -> tuple[np.ndarray, np.ndarray]:
+        """(all ids one after another, how many each unit has) of units as they follow in texts; each is looked up once."""
+        index = {u: i for i, u in enumerate(dict.fromkeys(units))}
+        ids, each = self.unit_ids(list(index))
+        code = np.fromiter(map(index.__getitem__, units), np.int64, len(units))
+        starts = np.cumsum(each) - each
+        return ids[_runs(starts[code], each[code])], each[code]
+
+
+def _woven(first: np.ndarray, a: tuple[np.ndarray, np.ndarray], b: tuple[np.ndarray, np.ndarray]) -> tuple[np.ndarray, np.ndarray]:
+    """The runs (flat, count) of a where first is true and those of b where it isn't, in order."""
+    count, starts = np.zeros(len(first), np.int64), np.zeros(len(first), np.int64)
+    for which, (_, own), base in ((first, a, 0), (~first, b, len(a[0]))):
+        count[which], starts[which] = own, base + np.cumsum(own) - own
+    return np.concatenate([a[0], b[0]]).astype(np.int32)[_runs(starts, count)], count
 
 
 def encode(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id", text_col: str = "text", with_ids: bool = True, most: int = LEXICON) -> DataFrame:
@@ -313,81 +441,41 @@ def encode(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
     arrow = _arrow(df.sparkSession, schema)
 
     def run(batches):
-        merges, lexicon = _merges(held), Lexicon(mapped(lexicon_held.value))
-        text_of = [str(i) for i in range(max(merges.bytes_of) + 1)]
-        find, remembered = word_pattern().findall, {}
-
-        def looked_up(words: list[str]) -> tuple[dict[str, list[int]], list[str]]:
-            """The ids of the words that the lexicon holds, and the words that it doesn't."""
-            places = lexicon.places([w.encode() for w in words])
-            found = np.flatnonzero(places >= 0)
-            ids = {words[k]: own for k, own in zip(found.tolist(), lexicon.ids_at(places[found]), strict=True)}
-            return ids, [words[k] for k in np.flatnonzero(places < 0).tolist()]
-
-        def known(units: set[str]) -> tuple[dict[str, str], dict[str, bytes]]:
-            """By unit, its ids joined by commas and the bytes that they decode to.
-
-            Units that the lexicon lacks are split into words, which it may hold; only
-            words that it lacks too are merged.
-            """
-            of, (ids, unseen) = merges.bytes_of, looked_up(list(units))
-            parts = {u: find(u) for u in unseen if u not in merges.specials}
-            own, rare = looked_up(list({w for words in parts.values() for w in words} - ids.keys()))
-            own |= ids
-            for w in rare:
-                if (found := remembered.get(w)) is None:
-                    if len(remembered) >= REMEMBERED:
-                        remembered.clear()
-                    found = remembered[w] = merges.ids(w.encode())
-                own[w] = found
-            for u in unseen:
-                ids[u] = [i for w in parts[u] for i in own[w]] if u in parts else [merges.specials[u]]
-            joined = {u: ",".join([text_of[i] for i in x]) for u, x in ids.items()}
-            return joined, {u: b"".join([of[i] for i in x]) for u, x in ids.items()}
-
-        def groups(rows: list[str]) -> Iterator[list[tuple[int, list[str]]]]:
-            """(row, words) of pieces, so many that they hold about CHUNK characters."""
-            some, size = [], 0
-            for k, text in enumerate(rows):
-                for piece in _pieces(text):
-                    some.append((k, merges.units(piece)))
-                    size += len(piece)
-                    if size >= CHUNK:
-                        yield some
-                        some, size = [], 0
-            yield some
-
-        joined, decoded = {}, {}
-
-        def answers(units: set[str]) -> tuple[dict[str, str], dict[str, bytes]]:
-            """What known() says of units, and of those asked before while they are not too many."""
-            new = units - joined.keys()
-            if len(joined) + len(new) > REMEMBERED_UNITS:
-                joined.clear()
-                decoded.clear()
-                new = units
-            for all_of, of in zip((joined, decoded), known(new), strict=True):
-                all_of.update(of)
-            return joined, decoded
-
+        encoder = Encoder(_merges(held), Lexicon(mapped(lexicon_held.value)))
         for batch in sliced(batches, most=CHUNK):
-            yield encoded(batch, groups, answers)
-
-    def encoded(batch: pa.RecordBatch, groups, answers) -> pa.RecordBatch:
-        n = batch.num_rows
+            yield encoded(batch, encoder)
+
+    def groups(rows: list[str], merges: Merges) -> Iterator[tuple[list[int], list[int], list[str]]]:
+        """(row of each piece, units of each piece, all units) of pieces, so many that they hold about CHUNK characters."""
+        of, many, units, size = [], [], [], 0
+        for k, text in enumerate(rows):
+            for piece in _pieces(text):
+                before = len(units)
+                units += merges.units(piece)
+                of.append(k)
+                many.append(len(units) - before)
+                size += len(piece)
+                if size >= CHUNK:
+                    yield of, many, units
+                    of, many, units, size = [], [], [], 0
+        yield of, many, units
+
+    def encoded(batch: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
+        n, text_of, bytes_of = batch.num_rows, encoder.text_of.__getitem__, encoder.bytes_of.__getitem__
         counts, ids = [0] * n, [[] for _ in range(n)]
         of_ids, of_text = [hashlib.sha256() for _ in range(n)], [hashlib.sha256() for _ in range(n)]
-        for some in groups(batch.column("text").to_pylist()):
-            joined, decoded = answers(set().union(*(words for _, words in some)))
-            for k, words in some:
-                if not words:
+        for of, many, units in groups(batch.column("text").to_pylist(), encoder.merges):
+            flat, each = encoder.ids(units)
+            cuts = np.append(0, np.cumsum(each))[np.append(0, np.cumsum(many))].tolist()
+            for k, lo, hi in zip(of, cuts, cuts[1:], strict=False):
+                if lo == hi:
                     continue
-                line = ",".join(map(joined.__getitem__, words))
-                of_ids[k].update((b"," if counts[k] else b"") + line.encode())
-                counts[k] += line.count(",") + 1
-                of_text[k].update(b"".join(map(decoded.__getitem__, words)).decode("utf-8", "replace").encode())
+                own = flat[lo:hi].tolist()
+                of_ids[k].update((("," if counts[k] else "") + ",".join(map(text_of, own))).encode())
+                of_text[k].update(b"".join(map(bytes_of, own)).decode("utf-8", "replace").encode())
+                counts[k] += hi - lo
                 if with_ids:
-                    ids[k].append(np.fromstring(line, np.int32, sep=","))
+                    ids[k].append(flat[lo:hi])
         columns = [batch.column("doc_id"), pa.array(counts, pa.int64()), pa.array([h.hexdigest() for h in of_ids]), pa.array([h.hexdigest() for h in of_text])]
         if with_ids:
             flat = np.concatenate([np.zeros(0, np.int32), *(x for own in ids for x in own)])
