@@ -15,6 +15,7 @@ from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -27,20 +28,32 @@ BLOCK, STRIPE, MOST_STRIPES, TILE = 1024, 1 << 14, 256, 1 << 12
 def usable(df: DataFrame, id_col: str, vec_col: str) -> DataFrame:
     """(vec_id, vec array<double>) of the rows whose vector is neither null nor empty, zero or holding null or non-finite components."""
     vec = F.col(vec_col).cast("array<double>")
-    fine = ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
+    fine = (F.size(vec) > 0) & ~F.exists(vec, lambda x: x.isNull() | F.isnan(x) | (F.abs(x) == float("inf")))
     return df.where(F.col(id_col).isNotNull() & vec.isNotNull()).where(fine).select(F.col(id_col).cast("long").alias("vec_id"), vec.alias("vec"))
 
 
 def matrix(column: pa.ChunkedArray | pa.Array) -> np.ndarray:
-    """Vectors of one length as rows of a double matrix."""
+    """Vectors of one length as rows of a double matrix; other lengths are an error."""
+    lengths = np.unique(pa.compute.list_value_length(column).to_numpy(zero_copy_only=False))
+    if len(lengths) > 1:
+        raise ValueError(f"vectors must share one length, and these have {lengths.tolist()}")
     flat = column.flatten().to_numpy(zero_copy_only=False)
     return flat.reshape(len(column), -1).astype(np.float64) if len(column) else np.zeros((0, 0))
 
 
 class Quantised:
-    """Vectors as int8 with a scale each, and what the rounding leaves of them."""
+    """Vectors as int8 with a scale each, and what the rounding leaves of them.
+
+    Vectors whose squares could leave the range of doubles are taken times a power of
+    two, which products give back in the end.
+    """
 
     def __init__(self, x: np.ndarray) -> None:
+        power = np.frexp(np.abs(x).max(1, initial=0.0))[1]
+        self.power = np.where(np.abs(power) > 400, power, 0)
+        self.wide = bool(self.power.any())
+        if self.wide:
+            x = np.ldexp(x, -self.power[:, None])
         top = np.abs(x).max(1, initial=0.0)
         self.scale = np.where(top > 0, top / 127.0, 1.0)
         self.codes = np.rint(x / self.scale[:, None]).astype(np.int8)
@@ -60,7 +73,13 @@ class Quantised:
             total += a[:, d : d + 1024].astype(np.float32) @ b[:, d : d + 1024].astype(np.float32).T
         # <x, y> - <x', y'> = <x - x', y> + <x', y - y'>; the last factor pays for the rounding of this very sum
         error = self.rest[:, None] * other.norm + (self.norm + self.rest)[:, None] * other.rest
-        return total * self.scale[:, None] * other.scale, error + 1e-12 * (self.norm[:, None] * other.norm)
+        about, error = total * self.scale[:, None] * other.scale, error + 1e-12 * (self.norm[:, None] * other.norm)
+        if self.wide or other.wide:
+            power = self.power[:, None] + other.power
+            with np.errstate(over="ignore"):
+                # what the doubles below the normal ones lose, once a component
+                return np.ldexp(about, power), np.ldexp(error, power) + a.shape[1] * 5e-324
+        return about, error
 
 
 def exact(q: np.ndarray, x: np.ndarray) -> np.ndarray:
@@ -93,11 +112,16 @@ class Heaps:
 
 def search_tile(q: np.ndarray, held: Quantised, heaps: Heaps, x: np.ndarray, ids: np.ndarray) -> None:
     """Merges a tile's rows into the heaps of a query block; a query is no candidate of its own."""
-    about, error = held.products(Quantised(x))
-    about[np.asarray(heaps.ids)[:, None] == ids] = -np.inf
-    low, k = about - error, heaps.k
+    tile, k = Quantised(x), heaps.k
+    about, error = held.products(tile)
+    own = np.asarray(heaps.ids)[:, None] == ids
+    about[own] = -np.inf
+    with np.errstate(invalid="ignore"):
+        low, high = about - error, about + error
+    if held.wide or tile.wide:
+        low = np.where(np.isnan(low), -np.inf, low)  # no bound, and so no reason to leave others out
     best = np.partition(low, -k, axis=1)[:, -k] if low.shape[1] > k else np.full(len(q), -np.inf)
-    rows, at = np.nonzero((about + error >= np.maximum(best, heaps.floor())[:, None]) & (about > -np.inf))
+    rows, at = np.nonzero(~(high < np.maximum(best, heaps.floor())[:, None]) & ~own)
     for some in np.array_split(np.arange(len(rows)), len(rows) // (1 << 16) + 1):
         heaps.add(rows[some], exact(q[rows[some]], x[at[some]]), ids[at[some]])
 
