@@ -50,25 +50,31 @@ def token_count(text: Column) -> Column:
 
 
 def _node(levels: tuple[str, ...], depth: int) -> Column:
-    """A node's path as text; a null value is written as \\N."""
-    return F.concat_ws("/", *[F.coalesce(F.col(c).cast("string"), F.lit("\\N")) for c in levels[:depth]])
+    """A node's path as text; a null value is written as \\N, and %, / and \\ in a value as %25, %2F and %5C."""
+    plain = lambda c: F.replace(F.replace(F.replace(F.col(c).cast("string"), F.lit("%"), F.lit("%25")), F.lit("/"), F.lit("%2F")), F.lit("\\"), F.lit("%5C"))
+    return F.concat_ws("/", *[F.coalesce(plain(c), F.lit("\\N")) for c in levels[:depth]])
 
 
 def leaf_budgets(leaves: DataFrame, mix: Mix) -> DataFrame:
     """leaves (leaf, tokens) -> (leaf, tokens, budget): each leaf's tokens to take, a whole number.
 
-    leaf is a path with "/" between levels. Per level, siblings are in order of what
-    they can take by weight; the first ones are full, and the others share the rest.
+    leaf is a path with "/" between levels. What a node can take is what its leaves can,
+    but for those that a weight of zero shuts off. Per level, siblings are in order of
+    that by weight; the first ones are full, and the others share the rest.
     """
     spark, depth = leaves.sparkSession, len(mix.levels)
     weights = spark.createDataFrame(list(mix.weights) or [("", 0.0)], "node string, weight double")
     total = leaves.agg(F.coalesce(F.sum("tokens"), F.lit(0)).alias("all"))
     parents = total.select(F.lit("").alias("parent"), F.floor(F.col("all") * F.lit(mix.budget)).cast("double").alias("share"))
+    open_below = F.lit(True)  # whether no weight of zero lies between a node and a leaf
+    for d in range(depth, 0, -1):
+        leaves = leaves.withColumn(f"open{d}", open_below).withColumn("node", F.substring_index("leaf", "/", d)).join(F.broadcast(weights), "node", "left")
+        leaves = leaves.withColumn(f"weight{d}", F.coalesce("weight", F.lit(mix.default_weight))).drop("node", "weight")
+        open_below = F.col(f"open{d}") & (F.col(f"weight{d}") > 0)
     for d in range(1, depth + 1):
         node = F.substring_index("leaf", "/", d)
         parent = F.substring_index("leaf", "/", d - 1) if d > 1 else F.lit("")
-        nodes = leaves.groupBy(parent.alias("parent"), node.alias("node")).agg((F.sum("tokens") * mix.epochs).cast("double").alias("most"))
-        nodes = nodes.join(F.broadcast(weights), "node", "left").withColumn("weight", F.coalesce("weight", F.lit(mix.default_weight)))
+        nodes = leaves.groupBy(parent.alias("parent"), node.alias("node")).agg((F.sum(F.when(F.col(f"open{d}"), F.col("tokens")).otherwise(0)) * mix.epochs).cast("double").alias("most"), F.min(f"weight{d}").alias("weight"))
         nodes = nodes.join(parents, "parent")
         order = Window.partitionBy("parent").orderBy(F.when(F.col("weight") > 0, F.col("most") / F.col("weight")).otherwise(F.lit(float("inf"))), "node")
         before = F.coalesce(F.sum("most").over(order.rowsBetween(Window.unboundedPreceding, -1)), F.lit(0.0))
@@ -105,10 +111,14 @@ def mixed(df: DataFrame, mix: Mix, id_col: str = "doc_id", text_col: str = "text
         known = docs.withColumn("salt", F.pmod(F.xxhash64("doc_id"), F.lit(SALTS)).cast("int")).join(salted, ["leaf", "salt"]).drop("salt")
     full = known.where("whole > 0").select("doc_id", "leaf", "n_tokens", F.explode(F.sequence(F.lit(1), F.col("whole"))).alias("epoch"))
     rank = F.sha2(F.concat_ws(":", F.lit(mix.seed), (F.col("whole") + 1).cast("string"), F.coalesce(F.col("doc_id").cast("string"), F.lit(""))), 256)
-    last = known.where((F.col("rest") > 0) & (F.col("whole") < mix.epochs)).withColumn("rank", rank).withColumn("bucket", F.left("rank", F.col("digits")))
-    buckets = last.groupBy("leaf", "bucket").agg(F.sum("n_tokens").alias("size"), F.first("rest").alias("rest"))
-    up_to = F.sum("size").over(Window.partitionBy("leaf").orderBy("bucket"))
-    buckets = checkpoint(buckets.withColumn("upto", up_to).select("leaf", "bucket", (F.col("upto") - F.col("size")).alias("before"), F.col("upto")).where(F.col("before") <= F.col("rest")))
+    last = known.where((F.col("rest") > 0) & (F.col("whole") < mix.epochs)).withColumn("rank", rank)
+    last = last.withColumns({"bucket": F.left("rank", F.col("digits")), "part": F.left("rank", F.floor(F.col("digits") / 2).cast("int"))})
+    buckets = last.groupBy("leaf", "part", "bucket").agg(F.sum("n_tokens").alias("size"), F.first("rest").alias("rest"))
+    # first the parts of a leaf, then the buckets of a part are put in order: a task has the root of a leaf's buckets
+    parts = buckets.groupBy("leaf", "part").agg(F.sum("size").alias("part_size"))
+    parts = parts.withColumn("ahead", F.sum("part_size").over(Window.partitionBy("leaf").orderBy("part")) - F.col("part_size"))
+    up_to = F.col("ahead") + F.sum("size").over(Window.partitionBy("leaf", "part").orderBy("bucket"))
+    buckets = checkpoint(buckets.join(parts.drop("part_size"), ["leaf", "part"]).withColumn("upto", up_to).select("leaf", "bucket", (F.col("upto") - F.col("size")).alias("before"), F.col("upto")).where(F.col("before") <= F.col("rest")))
     inside = last.join(buckets, ["leaf", "bucket"])
     taken = inside.where("upto <= rest")
     edge = inside.where("upto > rest")
