@@ -20,7 +20,8 @@ STEP = 1 << 18
 
 @dataclass(frozen=True)
 class ToxicitySettings:
-    """bits: hashed features are 2**bits. most_rows: the bound of the labelled sample that is fitted.
+    """bits: hashed features are 2**bits. most_rows and most_bytes: the bounds of the labelled sample
+    that is fitted, in rows and, on average over ids, in bytes of text.
 
     alpha and beta set the per-coordinate rates, l1 and l2 the penalties. lift counts
     toxic rows so many times. Rows at threshold or above are predicted toxic.
@@ -28,6 +29,7 @@ class ToxicitySettings:
 
     bits: int = 20
     most_rows: int = 24_000
+    most_bytes: int = 128 << 20
     epochs: int = 6
     alpha: float = 4.0
     beta: float = 1.0
@@ -105,7 +107,7 @@ def held_out(id_col):
 
 
 def fit(docs: DataFrame, labels: DataFrame, s: ToxicitySettings = ToxicitySettings()) -> tuple[float, np.ndarray, np.ndarray]:
-    """The sparse weights learned from a sample of at most s.most_rows labelled rows that are not held out.
+    """The sparse weights learned from a sample of at most s.most_rows labelled rows that are not held out, with about s.most_bytes of text at most.
 
     The sample takes ids by their hash, so that it is the same on every run. Features
     are made in parallel; one task reads the bounded sample and learns. No usable
@@ -113,11 +115,13 @@ def fit(docs: DataFrame, labels: DataFrame, s: ToxicitySettings = ToxicitySettin
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
     known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
-    rows = known.count()
+    # rows that repeat an id count, too; no text leaves its task here
+    sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("bytes")).join(known, "doc_id")
+    rows, size = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
     if not rows:
         return 0.0, np.zeros(0, np.uint32), np.zeros(0)
-    # a share whose sample stays under the bound by six deviations
-    share = min(1.0, max(0.0, s.most_rows - 6 * s.most_rows**0.5) / rows)
+    # a share whose sample stays under the bound of rows by six deviations, and under that of bytes on average
+    share = min(1.0, max(0.0, s.most_rows - 6 * s.most_rows**0.5) / rows, s.most_bytes / max(size, 1))
     known = known.withColumn("order", F.xxhash64("doc_id")).where(F.col("order") < -(2**63) + int(share * 2**64) if share < 1 else F.lit(True))
     sample = texts(docs, "doc_id", "text").join(F.broadcast(known), "doc_id")
     made = _arrow(docs.sparkSession, "at long, weight double")
@@ -182,5 +186,9 @@ def toxicity(docs: DataFrame, labels: DataFrame, s: ToxicitySettings = ToxicityS
 
 
 def without_toxic(docs: DataFrame, labels: DataFrame, s: ToxicitySettings = ToxicitySettings()) -> DataFrame:
-    """docs without the rows whose text is predicted toxic."""
+    """docs without the rows whose text is predicted toxic.
+
+    Null and empty texts have the bias' score and stay unless that is predicted toxic;
+    null ids and repeated rows are judged like any other. An empty table stays empty.
+    """
     return score_texts(docs, fit(docs, labels, s), s, score_col="__score").where(F.col("__score") < s.threshold).drop("__score")
