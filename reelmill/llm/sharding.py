@@ -43,9 +43,10 @@ def load_map(spark: SparkSession, path: str, version: int) -> ShardMap:
     return ShardMap(version, rows[0].shards, tuple(r.shard for r in rows))
 
 
-def virtual_slot(id_col, slots: int = SLOTS):
-    """The virtual slot of an id; a null id has slot 0."""
-    return F.when(id_col.isNull(), F.lit(0)).otherwise(F.pmod(F.xxhash64(id_col), F.lit(slots))).cast("int")
+def virtual_slot(id_col, text=None, slots: int = SLOTS):
+    """The virtual slot of an id; a null id has that of its text, so that rows without one don't share a slot, or slot 0 without a text."""
+    other = F.lit(0) if text is None else F.pmod(F.xxhash64(text), F.lit(slots))
+    return F.when(id_col.isNull(), other).otherwise(F.pmod(F.xxhash64(id_col), F.lit(slots))).cast("int")
 
 
 def slot_bytes(records: DataFrame) -> list[tuple[int, int]]:
@@ -100,7 +101,7 @@ def shard_records(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_
 
     size is the text's UTF-8 bytes (null: none) plus 1. slot is the row's place in its
     shard, gapless from 0: by virtual slot, then id, CRC and size; repeated rows take
-    places of their own in any order. Null ids share a virtual slot. Without a map
+    places of their own in any order. Null ids are dealt by their text. Without a map
     given, the map is version 1 of these sizes. An empty df gives no rows; other
     columns of df play no part.
     """
@@ -109,7 +110,7 @@ def shard_records(df: DataFrame, shards: int = 16, id_col: str = "doc_id", text_
         F.col(id_col).cast("long").alias("doc_id"),
         (F.octet_length(text).cast("long") + 1).alias("size"),
         F.crc32(text.cast("binary")).alias("text_crc32"),
-        virtual_slot(F.col(id_col).cast("long")).alias("virtual_slot"),
+        virtual_slot(F.col(id_col).cast("long"), text).alias("virtual_slot"),
     )
     counted = slot_bytes(records)
     shard_map = shard_map or first_map([b for b, _ in counted], shards)
