@@ -6,11 +6,12 @@ import re
 from collections import Counter
 
 import numpy as np
+import pyarrow as pa
 import pytest
 import xxhash
 from pyspark.sql import functions as F
 
-from reelmill.llm import bpe, linededup, mixing, nearcopies, pii, secret_scan, sharding, simhash, topk, toxicity
+from reelmill.llm import ann, bpe, linededup, mixing, nearcopies, pii, secret_scan, sharding, shingles, simhash, topk, toxicity
 from reelmill.llm.ann import Quantised, nearest
 from reelmill.llm.components import connected_components
 
@@ -480,3 +481,50 @@ def test_toxicity_edges(spark, edges, empty):
     assert len(rows) == len(EDGES) and {r.score for r in rows} == {0.5}
     assert toxicity.toxicity(empty, labels).count() == 0
     assert toxicity.without_toxic(edges, labels).columns == edges.columns
+
+
+def test_nearest_of_vectors_whose_squares_overflow(spark):
+    rows = [(0, [1e160, 0.0]), (1, [1e160, 1e150]), (2, [-1e160, 1.0]), (3, [1e-200, 1e-200]), (20, [1e-170, 2e-170]), (40, [3.0, 4.0])]
+    got = ann.nearest(spark.createDataFrame(rows, "vec_id long, embedding array<double>"), k=3, every=20).collect()
+    for q, x in ((i, np.array(v)) for i, v in rows if i % 20 == 0):
+        want = sorted(((-float(ann.exact(x[None], np.array(v)[None])[0]), i) for i, v in rows if i != q))[:3]
+        assert [(r.score, r.vec_id) for r in sorted(got, key=lambda r: r.rank) if r.query_id == q] == [(-s, i) for s, i in want]
+
+
+def test_searches_skip_empty_vectors_and_refuse_unequal_ones(spark):
+    rows = [(0, [1.0, 2.0]), (50, []), (100, [2.0, 1.0]), (1, None)]
+    df = spark.createDataFrame(rows, "vec_id long, embedding array<double>")
+    assert {(r.query_id, r.vec_id) for r in topk.exact_top_k(df).collect()} == {(0, 100), (100, 0)}
+    assert {(r.query_id, r.vec_id) for r in ann.nearest(df).collect()} == {(0, 100), (100, 0)}
+    with pytest.raises(ValueError, match="share one length"):
+        ann.matrix(pa.array([[1.0, 2.0], [3.0, 4.0, 5.0, 6.0]]))
+
+
+def test_shortage_under_a_weight_of_zero_goes_to_the_ancestors_siblings(spark):
+    leaves = spark.createDataFrame([("a/x/1", 1000), ("a/y/1", 10), ("b/z/1", 1000)], "leaf string, tokens long")
+    mix = mixing.Mix(weights=(("a/x", 0.0),), budget=0.5, epochs=1)
+    assert {r.leaf: r.budget for r in mixing.leaf_budgets(leaves, mix).collect()} == {"a/x/1": 0, "a/y/1": 10, "b/z/1": 995}
+
+
+def test_values_with_slashes_are_leaves_of_their_own(spark):
+    rows = [(1, "w " * 50, "d", "en/us", "s"), (2, "w " * 50, "d", "en", "us/s"), (3, "w " * 50, "d", "en", None)]
+    taken = mixing.mixed(spark.createDataFrame(rows, "doc_id long, text string, domain string, lang string, source string"), mixing.Mix(budget=1.0, epochs=1)).collect()
+    assert {r.leaf for r in taken} == {"d/en%2Fus/s", "d/en/us%2Fs", "d/en/\\N"}
+
+
+def test_merges_of_many_words_are_those_of_each(tmp_path):
+    with open(bpe.default_path(), "rb") as f:
+        merges = bpe.Merges(f.read())
+    rng = np.random.default_rng(5)
+    words = ["".join(rng.choice(list("aeinrst hlé世-1"), rng.integers(1, 50))).encode() for _ in range(2000)] + [b"", b"a"]
+    flat, count = merges.ids_of(words)
+    ends = np.cumsum(count)
+    assert [flat[e - n : e].tolist() for e, n in zip(ends, count)] == [merges.ids(w) for w in words]
+
+
+def test_words_of_a_batch_are_cut_like_those_of_each_text():
+    texts = ["", " ", "One two\tTHREE four five six", "é " * 9, "x" * 700 + " y", "a b", "same words here and there " * 3] * 3
+    sets = list(shingles.shingle_sets(pa.array(texts).slice(2)))
+    assert [s.tolist() for s in sets] == [shingles.shingle_set(t).tolist() for t in texts[2:]]
+    words = [t.encode().lower().split() for t in texts[2:]]
+    assert [len(s) for s in sets] == [len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) if w else 0 for w in words]
