@@ -458,7 +458,8 @@ def encode(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
                 if size >= CHUNK:
                     yield of, many, units
                     of, many, units, size = [], [], [], 0
-        yield of, many, units
+        if of:
+            yield of, many, units
 
     def encoded(batch: pa.RecordBatch, encoder: Encoder) -> pa.RecordBatch:
         n, text_of, bytes_of = batch.num_rows, encoder.text_of.__getitem__, encoder.bytes_of.__getitem__
