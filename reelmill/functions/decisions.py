@@ -11,6 +11,11 @@ from reelmill.functions import text as tx
 KEEP_REASONS = ("no_significant_change", "insufficient_evidence")
 UPDATE_REASONS = ("appearance_changed", "action_changed", "pose_changed", "scene_or_background_changed", "viewpoint_changed", "carried_object_changed")
 MIN_WORDS, MAX_WORDS = 4, 40
+#: The keys of an API teacher's answer, what it may say, and the length of its updates in words and characters.
+API_KEYS = ("decision", "changed_elements", "memory_update", "confidence", "evidence_sufficiency", "significant_change", "identity_consistent", "standalone_complete", "evidence")
+API_DECISIONS, API_EVIDENCE = ("update", "keep", "uncertain"), ("sufficient", "insufficient")
+API_ELEMENTS = ("action", "pose", "appearance", "viewpoint", "scale", "visibility", "interaction", "scene", "other")
+API_FEWEST, API_MOST, API_LONGEST = 5, 30, 256
 KEEP_MODES = ("none", "clear_state_change", "previous_state_unsupported", "insufficient_evidence")
 
 
@@ -43,7 +48,7 @@ def with_teacher(df: DataFrame, raw: Column, out: str) -> DataFrame:
         .when(~changed & ~reason.isin(*KEEP_REASONS), "keep_with_change_reason")
         .when(changed & reason.isin(*KEEP_REASONS), "update_with_keep_reason")
         .when(changed & (state == ""), "empty_new_state")
-        .when(changed, F.coalesce(tx.word_gate(state, MIN_WORDS, MAX_WORDS), F.when(tx.is_ungrounded(state), "ungrounded_or_relative_phrasing")))
+        .when(changed, F.coalesce(tx.word_gate(state, MIN_WORDS, MAX_WORDS), F.when(tx.is_ungrounded(state), "ungrounded_or_relative_phrasing"), F.when(tx.is_observation(state), "observation_not_state")))
     )
     fine = F.col("__x").isNull()
     made = F.struct(
@@ -54,6 +59,66 @@ def with_teacher(df: DataFrame, raw: Column, out: str) -> DataFrame:
     return staged.withColumn(out, made).drop("__r", "__f", "__x")
 
 
+def with_api_decision(df: DataFrame, raw: Column, out: str) -> DataFrame:
+    """df with out, struct<decision, changed_elements, memory_update, confidence, identity_consistent, evidence, rejection> of an API teacher's raw answer.
+
+    rejection says which rule the answer breaks first and is null if it breaks none; the
+    other fields are null then. The answer is parsed once, into a column of its own.
+    """
+    r = F.col("__r")
+    get = lambda k, kind="variant": F.try_variant_get(r, f"$.{k}", kind)
+    word = lambda k: F.lower(F.btrim(F.coalesce(get(k, "string"), F.lit(""))))
+    is_ = lambda k, kind: F.coalesce(F.schema_of_variant(get(k)).startswith(kind), F.lit(False))
+    flags = ("significant_change", "identity_consistent", "standalone_complete")
+    items = get("changed_elements", "array<variant>")
+    fields = F.struct(
+        r.isNotNull().alias("parsed"), F.array_sort(F.map_keys(F.try_variant_get(r, "$", "map<string,variant>"))).alias("keys"),
+        word("decision").alias("decision"), word("evidence_sufficiency").alias("sufficiency"), get("confidence", "double").alias("confidence"),
+        (is_("changed_elements", "ARRAY") & F.forall(items, lambda x: F.coalesce(F.schema_of_variant(x) == "STRING", F.lit(False)))).alias("texts"),
+        F.array_distinct(F.transform(get("changed_elements", "array<string>"), lambda x: F.lower(F.btrim(x)))).alias("elements"),
+        F.forall(F.array(*[is_(k, "BOOLEAN") for k in flags]), lambda x: x).alias("flagged"), *[get(k, "boolean").alias(k) for k in flags],
+        tx.sentence(get("evidence", "string")).alias("evidence"), (F.is_variant_null(get("memory_update")) | is_("memory_update", "STRING")).alias("update_is_text"),
+        F.nullif(tx.sentence(F.when(~F.is_variant_null(get("memory_update")), get("memory_update", "string"))), F.lit("")).alias("update"),
+    )
+    f = F.col("__f")
+    decision, update, elements, sufficient = f["decision"], f["update"], f["elements"], f["sufficiency"] == "sufficient"
+    none = F.size(elements) == 0
+    rejection = (
+        F.when(~f["parsed"], "unparseable_json")
+        .when(~f["keys"].eqNullSafe(F.array(*[F.lit(k) for k in sorted(API_KEYS)])), "schema_keys_mismatch")
+        .when(~decision.isin(*API_DECISIONS), "invalid_decision")
+        .when(~f["texts"] | F.exists(elements, lambda x: ~x.isin(*API_ELEMENTS)), "invalid_changed_elements")
+        .when(~f["sufficiency"].isin(*API_EVIDENCE), "invalid_evidence_sufficiency")
+        .when(~F.coalesce((f["confidence"] >= 0) & (f["confidence"] <= 1), F.lit(False)), "invalid_confidence")
+        .when(~f["flagged"], "non_boolean_audit_field")
+        .when(f["evidence"] == "", "empty_evidence")
+        .when(~F.lower(f["evidence"]).startswith("image 3 shows"), "invalid_current_evidence")
+        .when(~f["update_is_text"], "invalid_memory_update_type")
+        .when((decision == "uncertain") & (update.isNotNull() | ~none | sufficient), "inconsistent_uncertain")
+        .when((decision == "keep") & (update.isNotNull() | ~none), "inconsistent_keep")
+        .when((decision == "keep") & (~sufficient | f["significant_change"]), "unverified_keep")
+        .when((decision == "update") & (update.isNull() | none), "inconsistent_update")
+        .when((decision == "update") & ~(sufficient & f["significant_change"] & f["identity_consistent"] & f["standalone_complete"]), "unverified_update")
+        .when((decision == "update") & (~tx.n_words(update).between(API_FEWEST, API_MOST) | (F.length(update) > API_LONGEST)), "invalid_update_length")
+    )
+    kept = {"decision": decision, "changed_elements": elements, "memory_update": update, "confidence": f["confidence"], "identity_consistent": f["identity_consistent"], "evidence": f["evidence"]}
+    made = F.struct(*[F.when(F.col("__x").isNull(), c).alias(k) for k, c in kept.items()], F.col("__x").alias("rejection"))
+    staged = df.withColumn("__r", tx.json_in_prose(raw)).withColumn("__f", fields).withColumn("__x", rejection)
+    return staged.withColumn(out, made).drop("__r", "__f", "__x")
+
+
+def api_gate(d: Column, input_state: Column, threshold: float) -> Column:
+    """struct<accept, reason> of a decision of with_api_decision, whatever it says of itself; null where the answer was rejected."""
+    refused = (
+        F.when(d["decision"] == "uncertain", "model_uncertain")
+        .when(d["confidence"] < threshold, "low_confidence")
+        .when(~d["identity_consistent"], "identity_inconsistent")
+        .when((d["decision"] == "update") & tx.is_vacuous(d["memory_update"], input_state), "vacuous_update")
+    )
+    passed = F.when(d["decision"] == "keep", "verified_hard_null").otherwise("verified_update")
+    return F.when(d["rejection"].isNull(), F.struct(refused.isNull().alias("accept"), F.coalesce(refused, passed).alias("reason")))
+
+
 def verifier(r: Column) -> Column:
     """struct<accept, reason> of a verifier's parsed answer; accept is null where the answer contradicts itself."""
     accept, mode = _flag(r, "accept"), F.coalesce(F.nullif(F.lower(F.trim(_get(r, "failure_mode"))), F.lit("")), F.lit("unspecified"))

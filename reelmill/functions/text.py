@@ -8,6 +8,15 @@ from pyspark.sql import functions as F
 #: Overlaps above which two states count as one, and phrases that say nothing changed.
 MAX_INPUT_OVERLAP, MAX_REVISIT_OVERLAP, MIN_SELF_AGREEMENT = 0.9, 0.85, 0.5
 NO_CHANGE = r"(?i)\bno\s+(?:material(?:ly)?\s+|significant\s+|meaningful\s+)?change\b|\b(?:nothing\s+changed|unchanged|no\s+update|none)\b"
+NO_CHANGE_ZH = r"(?:没有|无|未见)(?:明显|显著|重大|实质)?(?:外观|视角|构型|配置|状态)?变化|(?:无需|不用|不需要)更新"
+#: Phrases that say how a target is seen, not what it does.
+OBSERVATION = (
+    r"\bview(?:ed|ing)? from\b", r"\bseen from\b", r"\bfrom (?:below|behind|above|the side|a side|the front)\b",
+    r"\b(?:side|front|rear|top|bottom|aerial|low|high)[- ]angle\b", r"\bcamera (?:angle|view|perspective)\b",
+    r"\b(?:side|frontal|rear|profile) (?:view|perspective|orientation)\b", r"\bdifferent (?:orientation|perspective|angle)\b",
+    r"\bcloser to the camera\b", r"\bfarther (?:from|away)\b", r"\bappears (?:larger|smaller|closer|farther)\b",
+    r"\b(?:motion )?blur(?:red|ry)?\b", r"\bout of focus\b", r"\blow resolution\b", r"\bpartially (?:visible|occluded|hidden)\b",
+)
 UNGROUNDED = r"(?i)\b(?:still|now|again|previously|earlier|before|as before|continues|no longer)\b"
 
 
@@ -40,13 +49,18 @@ def word_gate(x: Column, least: int, most: int) -> Column:
 
 
 def says_no_change(x: Column) -> Column:
-    return F.coalesce(x.rlike(NO_CHANGE), F.lit(False))
+    return F.coalesce(x.rlike(NO_CHANGE) | x.rlike(NO_CHANGE_ZH), F.lit(False))
 
 
 def is_ungrounded(x: Column) -> Column:
     return F.coalesce(x.rlike(UNGROUNDED), F.lit(False))
 
 
+def is_observation(x: Column) -> Column:
+    """Whether a state tells the view of a target instead of the target."""
+    return F.coalesce(x.rlike("(?i)" + "|".join(OBSERVATION)), F.lit(False))
+
+
 def tokens(x: Column) -> Column:
     """The different runs of three ASCII letters and digits or more, lower-cased."""
     return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) > 2))
@@ -86,14 +100,31 @@ def masked_response(x: Column) -> Column:
     return F.when(fits, F.struct(*[F.regexp_extract(x, pattern, i).alias(n) for i, n in ((1, "prefix"), (2, "value"), (3, "suffix"))]))
 
 
+#: Fixed value: a whole text between code fences.
+FENCED = r"(?is)^\s*```(?:json)?\s*\n(.*)\n```\s*$"
+
+
+def _alone(x: Column) -> Column:
+    """The VARIANT of a text that is one JSON value and nothing else, without repeated keys or NaN; null if it isn't.
+
+    The parser stops behind the first value, so the text is read as the first of two
+    array elements: whatever follows the value would come before the second.
+    """
+    both = F.try_parse_json(F.concat(F.lit("["), x, F.lit(',"end"]')))
+    ends = (F.try_variant_get(both, "$[1]", "string") == "end") & F.try_variant_get(both, "$[2]", "variant").isNull()
+    return F.when(ends, F.try_variant_get(both, "$[0]", "variant"))
+
+
+def _object(x: Column) -> Column:
+    return F.when(F.schema_of_variant(x).startswith("OBJECT"), x)
+
+
 def json_in_prose(x: Column) -> Column:
-    """The JSON object between the first and the last brace of a text, as VARIANT; null if that is none."""
-    piece = F.regexp_extract(x, r"(?s)(\{.*\})", 1)
-    parsed = F.try_parse_json(F.nullif(piece, F.lit("")))
-    return F.when(F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
+    """The JSON object that a text is, or that lies between its first and its last brace, as VARIANT; null if that is none."""
+    whole, piece = _alone(x), F.regexp_extract(x, r"(?s)(\{.*\})", 1)
+    return F.when(whole.isNotNull(), _object(whole)).otherwise(_object(_alone(piece)))
 
 
 def strict_json(x: Column) -> Column:
-    """A text that is a JSON object and nothing else, without repeated keys or NaN; null if it isn't."""
-    parsed = F.try_parse_json(x)
-    return F.when(x.rlike(r"(?s)^\s*\{.*\}\s*$") & F.schema_of_variant(parsed).startswith("OBJECT"), parsed)
+    """The object of a text that is JSON, or fenced JSON, and nothing else; null if it isn't."""
+    return _object(_alone(F.when(x.rlike(FENCED), F.regexp_extract(x, FENCED, 1)).otherwise(x)))

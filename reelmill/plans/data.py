@@ -117,9 +117,9 @@ def set_intersect(spark, sf_dir):
     return mixture.disjoint(orders.where("o_orderstatus = 'O'"), orders.where("o_orderpriority = '1-URGENT'"), ("o_custkey",))
 
 
-@query("select c_custkey as k from customer except select o_custkey from orders")
+@query("select c_custkey as k from customer except select o_custkey from orders where o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
 def set_except(spark, sf_dir):
-    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders")
+    customers, orders = table(spark, sf_dir, "customer"), table(spark, sf_dir, "orders").where("o_orderpriority = '1-URGENT' and o_orderstatus = 'F'")
     return customers.select(F.col("c_custkey").alias("k")).exceptAll(orders.select(F.col("o_custkey").alias("k")).distinct())
 
 
@@ -345,18 +345,19 @@ def gated_memory(spark, sf_dir):
 
 @query()
 def verifier_replay(spark, sf_dir):
-    f = frames(spark, sf_dir).where(F.col("frame_id") % 3 == 0)
+    f = frames(spark, sf_dir)
     update = F.concat(F.lit("state "), (F.col("frame_id") % 4).cast("string"))
     return replay.verifier_replay(f.select(*KEY, "frame_id", update.alias("update"), (F.col("frame_id") % 5 != 0).alias("accept"), F.lit("state 0").alias("initial")))
 
 
 @query()
 def sequence_matcher(spark, sf_dir):
-    d = table(spark, sf_dir, "benchmark").withColumn("other", F.reverse(F.left("text", F.lit(80)))).withColumn("own", F.left("text", F.lit(80)))
-    return d.select("item_id", replay.similarity("own", "other").alias("ratio"))
+    d = table(spark, sf_dir, "benchmark").select("item_id", "text")
+    after = d.select((F.col("item_id") - 1).alias("item_id"), F.col("text").alias("other"))
+    return d.join(after, "item_id", "left").select("item_id", replay.similarity("text", "other").alias("ratio"))
 
 
-@query()
+@query("select event_id, try_cast(json_extract_string(props, '$.k') as int) as k, true as not_strict from events")
 def json_extract(spark, sf_dir):
     e = table(spark, sf_dir, "events").select("event_id", F.concat(F.lit("Answer:\n```json\n"), F.col("props"), F.lit("\n```")).alias("t"))
     return e.select("event_id", F.try_variant_get(tx.json_in_prose(F.col("t")), "$.k", "int").alias("k"), tx.strict_json(F.col("t")).isNull().alias("not_strict"))

@@ -86,13 +86,13 @@ def label_lookup_default(spark, sf_dir):
     return lb.with_default(labels, frames(spark, sf_dir).select(*KEY, "frame_id"), F.lit("masked_unknown"))
 
 
-#: First lines of documents as states, each against the next one's.
-LINES = r"""with d as (select doc_id, string_split(coalesce(text, ''), chr(10))[1] as line from documents),
+#: Texts of documents as states, each against the next one's.
+LINES = r"""with d as (select doc_id, coalesce(text, '') as line from documents),
 n as (select doc_id, line, lead(line) over (order by doc_id) as nxt from d)"""
 
 
 def _lines(spark, sf_dir):
-    d = table(spark, sf_dir, "documents").select("doc_id", F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1).alias("line"))
+    d = table(spark, sf_dir, "documents").select("doc_id", F.coalesce("text", F.lit("")).alias("line"))
     return _with_next(d)
 
 
@@ -131,17 +131,17 @@ def jaccard_vacuous(spark, sf_dir):
 @query(r"""with d as (select doc_id, trim(regexp_replace(coalesce(text, ''), '[\s\x{00a0}]+', ' ', 'g')) as flat from documents),
 w as (select *, case when flat = '' then 0 else len(string_split(flat, ' ')) end as n from d)
 select doc_id, n::int as n_words, case when n < 4 then 'state_too_short' when n > 40 then 'state_too_long' end as gate,
-  concat(upper(flat[1:1]), flat[2:60]) as head from w""")
+  sha256(concat(upper(flat[1:1]), flat[2:])) as capitalised from w""")
 def text_gate(spark, sf_dir):
     text = F.coalesce("text", F.lit(""))
-    return table(spark, sf_dir, "documents").select("doc_id", tx.n_words(text).alias("n_words"), tx.word_gate(text, 4, 40).alias("gate"), F.left(tx.capitalised(text), F.lit(60)).alias("head"))
+    return table(spark, sf_dir, "documents").select("doc_id", tx.n_words(text).alias("n_words"), tx.word_gate(text, 4, 40).alias("gate"), F.sha2(tx.capitalised(text), 256).alias("capitalised"))
 
 
-@query(r"""with d as (select doc_id, string_split(coalesce(text, ''), chr(10))[1] as line from documents), x as (select doc_id, case doc_id % 4 when 0 then line || ' no significant change' when 1 then 'Still ' || line else line end as t from d)
+@query(r"""with d as (select doc_id, coalesce(text, '') as line from documents), x as (select doc_id, case doc_id % 4 when 0 then line || ' no significant change' when 1 then 'Still ' || line else line end as t from d)
 select doc_id, regexp_matches(t, '(?i)\bno\s+(?:material(?:ly)?\s+|significant\s+|meaningful\s+)?change\b|\b(?:nothing\s+changed|unchanged|no\s+update|none)\b') as no_change,
   regexp_matches(t, '(?i)\b(?:still|now|again|previously|earlier|before|as before|continues|no longer)\b') as ungrounded from x""")
 def text_blacklists(spark, sf_dir):
-    line = F.element_at(F.split(F.coalesce("text", F.lit("")), "\n"), 1)
+    line = F.coalesce("text", F.lit(""))
     t = F.when(F.col("doc_id") % 4 == 0, F.concat(line, F.lit(" no significant change"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Still "), line)).otherwise(line)
     return table(spark, sf_dir, "documents").select("doc_id", tx.says_no_change(t).alias("no_change"), tx.is_ungrounded(t).alias("ungrounded"))
 
@@ -205,3 +205,35 @@ def loss_mask_split(spark, sf_dir):
     t = F.when(F.col("turn") % 3 == 0, F.concat(F.lit('{"target_status":"present","memory_update":'), value, F.lit("}"))).when(F.col("turn") % 3 == 1, '{"target_status":"absent"}').otherwise(F.col("text"))
     made = table(spark, sf_dir, "conversations").select("conv_id", "turn", tx.masked_response(t).alias("m"))
     return made.select("conv_id", "turn", "m.prefix", "m.value", "m.suffix")
+
+
+#: Answers of an API teacher: a right one, and changes that break a rule each.
+API = """'{"decision":"update","changed_elements":["Action","pose","action"],"memory_update":"a man rides a red bike","confidence":0.9,"evidence_sufficiency":"sufficient","significant_change":true,"identity_consistent":true,"standalone_complete":true,"evidence":"Image 3 shows a bike"}'"""
+KEEP = f"""replace(replace(replace({API}, '"update"', '"keep"'), '["Action","pose","action"]', '[]'), '"significant_change":true', '"significant_change":false')"""
+EMPTY = f"""replace({KEEP}, '"a man rides a red bike"', 'null')"""
+API_RAW = f"""case event_id % 16 when 0 then {API} when 1 then {EMPTY} when 2 then replace(replace({EMPTY}, '"keep"', '"uncertain"'), '"sufficient"', '"insufficient"') when 3 then 'no answer'
+  when 4 then replace({API}, '"confidence"', '"sureness"') when 5 then replace({API}, '"update"', '"maybe"') when 6 then replace({API}, '"pose"', '"mood"') when 7 then replace({API}, '0.9', '1.5')
+  when 8 then replace({API}, '"significant_change":true', '"significant_change":"yes"') when 9 then replace({API}, 'Image 3', 'Image 2') when 10 then {KEEP} when 11 then replace({API}, 'a man rides a red bike', 'a man')
+  when 12 then replace({API}, '0.9', '0.2') when 13 then replace({API}, 'a man rides a red bike', 'a dog sleeps on the porch') when 14 then concat({API}, ' {{}}') else concat('Answer: ', replace({API}, '"sufficient"', '"Sufficient "')) end"""
+
+
+@query("""with k as (select event_id, event_id % 16 as k from events)
+select event_id, case when k in (0, 12, 13, 15) then 'update' when k = 1 then 'keep' when k = 2 then 'uncertain' end as decision, case when k in (0, 12, 13, 15) then 'action,pose' when k in (1, 2) then '' end as elements,
+  case when k = 13 then 'a dog sleeps on the porch' when k in (0, 12, 15) then 'a man rides a red bike' end as memory_update,
+  case k when 3 then 'unparseable_json' when 14 then 'unparseable_json' when 4 then 'schema_keys_mismatch' when 5 then 'invalid_decision' when 6 then 'invalid_changed_elements' when 7 then 'invalid_confidence' when 8 then 'non_boolean_audit_field'
+    when 9 then 'invalid_current_evidence' when 10 then 'inconsistent_keep' when 11 then 'invalid_update_length' end as rejection,
+  case when k in (0, 1, 15) then true when k in (2, 12, 13) then false end as accept,
+  case when k in (0, 15) then 'verified_update' when k = 1 then 'verified_hard_null' when k = 2 then 'model_uncertain' when k = 12 then 'low_confidence' when k = 13 then 'vacuous_update' end as reason from k""")
+def api_decisions(spark, sf_dir):
+    made = dc.with_api_decision(table(spark, sf_dir, "events"), F.expr(API_RAW), "d")
+    made = made.withColumn("g", dc.api_gate(F.col("d"), F.lit("A dog sleeps on the porch."), 0.5))
+    return made.select("event_id", "d.decision", F.array_join("d.changed_elements", ",").alias("elements"), "d.memory_update", "d.rejection", "g.accept", "g.reason")
+
+
+@query(r"""with x as (select doc_id, case doc_id % 5 when 0 then 'the car ' || ['seen from', 'in a side view with', 'partially occluded by', 'out of focus near'][doc_id % 4 + 1] || ' the wall' when 1 then '没有明显变化' when 2 then '无需更新' when 3 then '外观变化明显' else 'a man rides a red bike' end as t from documents)
+select doc_id, doc_id % 5 = 0 as observation, doc_id % 5 in (1, 2) as no_change from x""")
+def state_phrases(spark, sf_dir):
+    k = F.col("doc_id") % 5
+    view = F.get(F.array(*map(F.lit, ("seen from", "in a side view with", "partially occluded by", "out of focus near"))), F.col("doc_id") % 4)
+    t = F.when(k == 0, F.concat(F.lit("the car "), view, F.lit(" the wall"))).when(k == 1, "没有明显变化").when(k == 2, "无需更新").when(k == 3, "外观变化明显").otherwise("a man rides a red bike")
+    return table(spark, sf_dir, "documents").select("doc_id", tx.is_observation(t).alias("observation"), tx.says_no_change(t).alias("no_change"))

@@ -40,17 +40,18 @@ def canonical_records(spark, sf_dir):
 
 
 #: Answers of every kind, made from a frame's numbers; both engines read the text.
-RAW = """case event_id % 10 when 0 then concat('{"target_status":"present","bbox_2d":[', event_id % 400, ',', event_id % 300, ',', event_id % 400 + 100, ',', event_id % 300 + 50, '],"memory_update":null}')
+RAW = """case event_id % 13 when 0 then concat('{"target_status":"present","bbox_2d":[', event_id % 400, ',', event_id % 300, ',', event_id % 400 + 100, ',', event_id % 300 + 50, '],"memory_update":null}')
   when 1 then '{"target_status":"absent","bbox_2d":null,"memory_update":"gone behind a wall"}' when 2 then '{"target_status":"absent","bbox_2d":[1,2,3,4],"memory_update":null}'
   when 3 then '{"target_status":"present","bbox_2d":null,"memory_update":null}' when 4 then '{"target_status":"present","bbox_2d":[1,2,3,4],"memory_update":" ","extra":1}'
   when 5 then '{"target_status":"present","bbox_2d":[10,20,30,2000]}' when 6 then 'Here: {"target_status":"absent","bbox_2d":null}' when 7 then '{"target_status":"unsure","bbox_2d":null}'
-  when 8 then '{"target_status":"present","bbox_2d":[0,0,1000,1000],"memory_update":7}' else '{"target_status":"absent"}' end"""
+  when 8 then '{"target_status":"present","bbox_2d":[0,0,1000,1000],"memory_update":7}' when 9 then '{"target_status":"absent"}'
+  when 10 then '{"target_status":"absent","bbox_2d":null} {"more":1}' when 11 then '{"target_status":"absent","bbox_2d":null}x}' else concat('```json', chr(10), '{"target_status":"absent","bbox_2d":null}', chr(10), '```') end"""
 
 
-@query("""with k as (select event_id, event_id % 10 as k from events) select event_id, case when k in (0, 8) then 'present' when k = 1 then 'absent' end as presence,
-  case when k in (0, 8) then 'same' when k = 1 then 'not_applicable' end as identity, case when k = 1 then 'gone behind a wall' end as memory, case when k = 8 then 'memory_not_text' end as memory_problem,
+@query("""with k as (select event_id, event_id % 13 as k from events) select event_id, case when k in (0, 8) then 'present' when k in (1, 12) then 'absent' end as presence,
+  case when k in (0, 8) then 'same' when k in (1, 12) then 'not_applicable' end as identity, case when k = 1 then 'gone behind a wall' end as memory, case when k = 8 then 'memory_not_text' when k = 12 then 'memory_missing' end as memory_problem,
   case when k = 0 then round_even((event_id % 400) * 640.0::double / 1000, 2) when k = 8 then 0.0::double end as x, case when k = 0 then round_even((event_id % 400 + 100) * 640.0::double / 1000 - (event_id % 400) * 640.0::double / 1000, 2) when k = 8 then 640.0::double end as w,
-  case k when 2 then 'absent_with_box' when 3 then 'present_without_box' when 4 then 'unknown_key' when 5 then 'bad_box' when 6 then 'not_one_json_object' when 7 then 'bad_status' when 9 then 'core_key_missing' end as reason from k""")
+  case k when 2 then 'absent_with_box' when 3 then 'present_without_box' when 4 then 'unknown_key' when 5 then 'bad_box' when 6 then 'not_one_json_object' when 10 then 'not_one_json_object' when 11 then 'not_one_json_object' when 7 then 'bad_status' when 9 then 'core_key_missing' end as reason from k""")
 def tracking_outputs(spark, sf_dir):
     made = pr.with_tracking_output(table(spark, sf_dir, "events"), F.expr(RAW), F.lit(640.0), F.lit(480.0), "o")
     return made.select("event_id", "o.presence", "o.identity", "o.memory", "o.memory_problem", F.col("o.box.x").alias("x"), F.col("o.box.w").alias("w"), "o.reason")

@@ -125,16 +125,19 @@ def _identity(raw: Column) -> Column:
 
 
 def read_json_lines(spark, path: str) -> DataFrame:
-    """(record variant, file, line_no, text) of JSON lines below a path; blank lines are skipped.
+    """(record variant, file, line_no, row_no, text) of JSON lines below a path; blank lines are skipped.
 
     record is null where a line is no JSON object: bad_lines() lists those. line_no counts
-    a file's lines from 1; each file is read whole, as files hold a sequence each.
+    all lines of a file from 1, row_no those that aren't blank; each file is read whole,
+    as files hold a sequence each.
     """
     files = spark.read.text(path, wholetext=True, pathGlobFilter="*.jsonl", recursiveFileLookup=True).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
-    lines = files.select("file", F.posexplode(F.split("value", "\r?\n")).alias("at", "text")).where("trim(text) <> ''")
+    numbered = F.transform(F.split("value", "\r?\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("text")))
+    full = F.filter(numbered, lambda x: x["text"].rlike(r"\S"))
+    lines = files.select("file", F.posexplode(full).alias("at", "line")).select("file", "line.line_no", (F.col("at") + 1).alias("row_no"), "line.text")
     parsed = F.try_parse_json("text")
     is_object = F.col("text").rlike(r"^\s*\{[\s\S]*\}\s*$") & F.schema_of_variant(parsed).startswith("OBJECT")
-    return lines.select(F.when(is_object, parsed).alias("record"), "file", (F.col("at") + 1).alias("line_no"), "text")
+    return lines.select(F.when(is_object, parsed).alias("record"), "file", "line_no", "row_no", "text")
 
 
 def bad_lines(lines: DataFrame) -> DataFrame:
@@ -145,7 +148,7 @@ def canonical_frames(lines: DataFrame) -> DataFrame:
     """One row a record (record variant, file, line_no): the columns every metric works on.
 
     A sequence without a name is called by its file, a dataset default, and a frame by
-    its place. Presence is taken from boxes only where no label says it: a ground truth
+    its place among the file's records. Presence is taken from boxes only where no label says it: a ground truth
     that has a box path is absent without a valid box; a prediction without a box is
     absent only if the frame ran well.
     """
@@ -157,7 +160,7 @@ def canonical_frames(lines: DataFrame) -> DataFrame:
     found = lines.select(
         F.coalesce(first_value(r, SEQUENCE), stem).alias("sequence"),
         F.coalesce(first_value(r, DATASET), F.lit("default")).alias("dataset"),
-        F.coalesce(first_value(r, FRAME, "int"), F.col("line_no") - 1).cast("int").alias("frame_id"),
+        F.coalesce(first_value(r, FRAME, "int"), F.col("row_no" if "row_no" in lines.columns else "line_no") - 1).cast("int").alias("frame_id"),
         _raw(r, tuple(p for p, _ in GT_BOX)).alias("gt_raw"), _form(r, GT_BOX, GT_FORMAT).alias("gt_form"),
         F.when(committed, F.coalesce(*[F.try_variant_get(r, f"$.{p}", "variant") for p in COMMITTED_BOX])).otherwise(_raw(r, tuple(p for p, _ in PRED_BOX))).alias("pred_raw"),
         F.when(committed, "xywh").otherwise(_form(r, PRED_BOX, PRED_FORMAT)).alias("pred_form"),

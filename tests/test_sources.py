@@ -95,3 +95,10 @@ def test_strict_raises(spark):
     audit.strict(spark.range(0), "nothing")
     with pytest.raises(ValueError, match="ids"):
         audit.strict(spark.range(2), "ids")
+
+
+def test_default_frame_ids_count_no_blank_lines(spark, tmp_path):
+    (tmp_path / "run_frames.jsonl").write_text('{"gt_presence": "present"}\n\n \t\n{"gt_presence": "absent"}\n')
+    lines = canonical.read_json_lines(spark, str(tmp_path))
+    assert [(r.line_no, r.row_no) for r in lines.orderBy("line_no").collect()] == [(1, 1), (4, 2)]
+    assert [r.frame_id for r in canonical.canonical_frames(lines).orderBy("frame_id").collect()] == [0, 1]
