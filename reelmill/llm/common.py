@@ -53,6 +53,21 @@ def settled(df: DataFrame) -> DataFrame:
     return fitted(held, held.count())
 
 
+#: Buckets of keys that may_match() broadcasts at most.
+BUCKETS = 1 << 20
+
+
+def may_match(df: DataFrame, col: str, keys: DataFrame, key_col: str) -> DataFrame:
+    """The rows of df whose long column col may be among keys' key_col, for a join that then shuffles no others.
+
+    Only the numbers of the keys' buckets are broadcast, BUCKETS at most, however many
+    keys there are: with very many, few rows are left out, but none that matches.
+    """
+    bucket = lambda c: F.pmod(F.col(c), F.lit(BUCKETS)).cast("int")
+    held = keys.select(bucket(key_col).alias("__bucket")).distinct()
+    return df.join(F.broadcast(held), bucket(col) == F.col("__bucket"), "left_semi")
+
+
 def written(df: DataFrame) -> DataFrame:
     """df as Parquet in the shared folder, read again: for tables with whole texts, which checkpoints don't compress."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
