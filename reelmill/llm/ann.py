@@ -19,7 +19,7 @@ import pyarrow.compute  # noqa: F401
 from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import _arrow
+from reelmill.llm.common import _arrow, map_batches
 
 #: Queries of a block, rows of a stripe (until there are MOST_STRIPES), rows of a tile.
 BLOCK, STRIPE, MOST_STRIPES, TILE = 1024, 1 << 14, 256, 1 << 12
@@ -194,7 +194,7 @@ def block_join(rows: DataFrame, is_query, per_block: Callable, k: int, score_typ
         if key is not None:
             yield end()
 
-    return dealt.mapInArrow(run, schema)
+    return map_batches(dealt, run, schema)
 
 
 def best(found: DataFrame, k: int) -> DataFrame:

@@ -27,7 +27,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import _arrow, checkpoint, sliced, texts
+from reelmill.llm.common import _arrow, checkpoint, map_batches, sliced, texts
 
 #: Words in the lexicon at most, how often one must occur, and its characters at most.
 LEXICON, LEAST, LONGEST = 1 << 18, 3, 64
@@ -322,7 +322,7 @@ def word_counts(df: DataFrame, file: bytes, text_col: str = "text") -> DataFrame
                     seen, size = Counter(), 0
         yield flush()
 
-    return df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")).mapInArrow(run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
+    return map_batches(df.select(F.coalesce(F.col(text_col), F.lit("")).alias("text")), run, "word string, n long").groupBy("word").agg(F.sum("n").alias("n"))
 
 
 _MERGES: dict[int, Merges] = {}
@@ -483,7 +483,7 @@ def encode(df: DataFrame, tokenizer: str | None = None, id_col: str = "doc_id",
             columns.append(pa.ListArray.from_arrays(pa.array(np.cumsum([0, *counts]), pa.int32()), pa.array(flat)))
         return pa.RecordBatch.from_arrays(columns, schema=arrow)
 
-    return docs.mapInArrow(run, schema)
+    return map_batches(docs, run, schema)
 
 
 def decode(ids: list[int], merges: Merges) -> str:

@@ -2,6 +2,8 @@
 
 from __future__ import annotations
 
+import ctypes
+import gc
 import tempfile
 import uuid
 from collections.abc import Callable, Iterator
@@ -95,6 +97,36 @@ def sliced(batches: Iterator[pa.RecordBatch], col: str | int = "text", most: int
                 yield batch.slice(lo, hi - lo)
 
 
+#: Bytes of a batch that Spark hands to a Python task at once, where the session names no other size.
+BATCH = "4m"
+
+
+def map_batches(df: DataFrame, run: Callable[[Iterator[pa.RecordBatch]], Iterator[pa.RecordBatch]], schema: str | T.StructType) -> DataFrame:
+    """df.mapInArrow(run, schema) with batches of bounded bytes, whose tasks leave no freed memory behind.
+
+    Sets spark.sql.execution.arrow.maxBytesPerBatch where the session doesn't. Python
+    workers outlive their tasks, and what they keep for later is missing elsewhere.
+    """
+    size = "spark.sql.execution.arrow.maxBytesPerBatch"
+    if df.sparkSession.conf.get(size, None) is None:
+        df.sparkSession.conf.set(size, BATCH)
+
+    def task(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        yield from run(batches)
+        _give_back()
+
+    return df.mapInArrow(task, schema)
+
+
+def _give_back() -> None:
+    """Freed memory goes back to the system, as far as the allocators can tell it from the rest."""
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
+
+
 def map_texts(df: DataFrame, each: Callable[[str], tuple], schema: str) -> DataFrame:
     """Rows of (doc_id, *each(text)) for every row of df, which texts() has made."""
     arrow = _arrow(df.sparkSession, schema)
@@ -105,7 +137,7 @@ def map_texts(df: DataFrame, each: Callable[[str], tuple], schema: str) -> DataF
             columns = [pa.array([r[i] for r in rows], arrow.field(i + 1).type) for i in range(len(arrow) - 1)]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), *columns], schema=arrow)
 
-    return df.mapInArrow(run, schema)
+    return map_batches(df, run, schema)
 
 
 def _arrow(spark: SparkSession, schema: str) -> pa.Schema:

@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import _arrow, checkpoint, sliced, texts
+from reelmill.llm.common import _arrow, checkpoint, map_batches, sliced, texts
 
 #: What is stripped from both ends of a line, and a bucket's places.
 BLANK = b" \t\n\x0b\x0c\r"
@@ -132,7 +132,7 @@ def references(df: DataFrame, rule: LineRule = LineRule(), id_col: str = "doc_id
                 ids += [i] * len(own)
             yield pa.RecordBatch.from_arrays([pa.array(keys, pa.binary()), pa.array(ids, pa.int64())], schema=arrow)
 
-    return texts(df, id_col, text_col).where("doc_id is not null").mapInArrow(run, schema)
+    return map_batches(texts(df, id_col, text_col).where("doc_id is not null"), run, schema)
 
 
 def inserted(refs: DataFrame, more: DataFrame) -> DataFrame:
@@ -188,7 +188,7 @@ def may_repeat(refs: DataFrame, filters: dict[int, bytes], shards: int) -> DataF
                     keep[shard == s] = own[s].may_hold(digest[shard == s])
             yield pa.RecordBatch.from_arrays(batch.filter(pa.array(keep)).columns, schema=arrow)
 
-    return refs.select("key", "doc_id").mapInArrow(run, "key binary, doc_id long")
+    return map_batches(refs.select("key", "doc_id"), run, "key binary, doc_id long")
 
 
 def drops(refs: DataFrame, rule: LineRule = LineRule()) -> DataFrame:
@@ -229,7 +229,7 @@ def without_lines(df: DataFrame, lost: DataFrame, rule: LineRule = LineRule(), i
                 made.append({"n_lines": len(lines), "n_dropped": len(lines) - len(kept), "kept": (b"\n".join(kept) if gone else t).decode()})
             yield pa.RecordBatch.from_arrays([*batch.columns[: len(own)], pa.array(made, arrow.field("__lines").type)], schema=arrow)
 
-    return joined.mapInArrow(run, out)
+    return map_batches(joined, run, out)
 
 
 def dedup_lines(df: DataFrame, rule: LineRule = LineRule(), id_col: str = "doc_id", text_col: str = "text") -> DataFrame:

@@ -12,7 +12,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 
 from reelmill.llm.automaton import Automaton, compile_rules
-from reelmill.llm.common import _arrow, sliced, texts
+from reelmill.llm.common import _arrow, map_batches, sliced, texts
 
 
 @dataclass(frozen=True)
@@ -112,4 +112,4 @@ def secrets(df: DataFrame, id_col: str = "doc_id", text_col: str = "text", rules
                     spans[at + i] = [{"kind": rules[k].kind, "start": place(s), "end": place(e)} for s, k, e in found]
             yield pa.RecordBatch.from_arrays([batch.column("doc_id"), pa.array(spans, arrow.field(1).type)], schema=arrow)
 
-    return texts(df, id_col, text_col).mapInArrow(run, schema)
+    return map_batches(texts(df, id_col, text_col), run, schema)

@@ -10,7 +10,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import _arrow, sliced, texts
+from reelmill.llm.common import _arrow, map_batches, sliced, texts
 
 #: ASCII but letters parts words; text is lower-cased before.
 _PARTS = bytes(b if b >= 128 or 97 <= b <= 122 else 32 for b in range(256))
@@ -144,8 +144,8 @@ def fit(docs: DataFrame, labels: DataFrame, s: ToxicitySettings = ToxicitySettin
         yield pa.RecordBatch.from_arrays([pa.array([-1, *at.tolist()]), pa.array([bias, *weight.tolist()])], schema=made)
 
     # the order of learning is the sort's, whatever order the rows come in
-    drawn = sample.mapInArrow(featured, "order long, toxic int, at binary").repartition(1).sortWithinPartitions("order", "toxic", "at")
-    rows = drawn.mapInArrow(learned, "at long, weight double").collect()
+    drawn = map_batches(sample, featured, "order long, toxic int, at binary").repartition(1).sortWithinPartitions("order", "toxic", "at")
+    rows = map_batches(drawn, learned, "at long, weight double").collect()
     if not rows:
         return 0.0, np.zeros(0, np.uint32), np.zeros(0)
     rows.sort()
@@ -172,7 +172,7 @@ def score_texts(df: DataFrame, model: tuple, s: ToxicitySettings = ToxicitySetti
             scores = [sigmoid(bias + weight_of(t or "", s.bits, hashes, dense)) for t in b.column(place).to_pylist()]
             yield pa.RecordBatch.from_arrays([*b.columns, pa.array(scores, pa.float64())], schema=arrow)
 
-    return df.mapInArrow(run, out)
+    return map_batches(df, run, out)
 
 
 def toxicity(docs: DataFrame, labels: DataFrame, s: ToxicitySettings = ToxicitySettings()) -> DataFrame:
