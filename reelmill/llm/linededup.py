@@ -17,7 +17,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import _arrow, checkpoint, map_batches, sliced, texts
+from reelmill.llm.common import _arrow, checkpoint, map_batches, sliced, texts, written
 
 #: What is stripped from both ends of a line, and a bucket's places.
 BLANK = b" \t\n\x0b\x0c\r"
@@ -239,5 +239,6 @@ def dedup_lines(df: DataFrame, rule: LineRule = LineRule(), id_col: str = "doc_i
     Rows that share an id count as one document; rows with a null id count for no key
     and lose no line. A null text is one empty line. An empty df gives no rows.
     """
-    refs = references(df, rule, id_col, text_col)
+    # written, as counts and filters both read them: texts are cut once, and no task holds two Python workers
+    refs = written(references(df, rule, id_col, text_col))
     return without_lines(df, drops(refs, rule), rule, id_col, text_col)
