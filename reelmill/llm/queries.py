@@ -103,8 +103,37 @@ def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))
 
 
+def op11_decontamination(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Which words and items of the benchmark each document holds; the digest lists the items sorted as strings."""
+    from reelmill.llm.decontaminate import contamination
+
+    found = contamination(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+    return found.select(
+        "doc_id", "n_words", "n_hit", F.size("items").cast("long").alias("n_items"),
+        F.sha2(F.array_join("items", ","), 256).alias("items_sha256"), (F.col("n_hit") > 0).alias("contaminated"),
+    )
+
+
+def op12_clusters(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Eight centroids after ten rounds, and each vector's."""
+    from reelmill.llm.clusters import clustered
+
+    return clustered(table(spark, sf_dir, "embeddings"))
+
+
+def op13_resampling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """A tenth of the documents, drawn to be like the benchmark in their words."""
+    from reelmill.llm.resampling import resampled
+
+    return resampled(table(spark, sf_dir, "documents"), table(spark, sf_dir, "benchmark"))
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_ann, op2_simhash, op3_pii, op4_secrets, op5_sharding, op6_mixing, op7_topk, op8_bpe, op9_line_dedup, op10_toxicity)}
+    made = (
+        op1_ann, op2_simhash, op3_pii, op4_secrets, op5_sharding, op6_mixing, op7_topk, op8_bpe, op9_line_dedup, op10_toxicity,
+        op11_decontamination, op12_clusters, op13_resampling,
+    )
+    return {f.__name__: f for f in made}
 
 
 #: Line dedup over the whole texts, as its contract says it.
@@ -169,5 +198,69 @@ select doc_id, leaf, n_tokens, whole + 1 as epoch from runs where whole < 2 and
 """
 
 
+_LOWERED = "regexp_extract_all(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[^\\x00-\\x2F\\x3A-\\x60\\x7B-\\x7F]+')"
+
+#: Windows of both sides as joined words, and the words that equal ones cover.
+OP11 = f"""
+with d as (select row_number() over () as n, doc_id, {_LOWERED} as w from documents),
+i as (select item_id, {_LOWERED} as w from benchmark),
+iw as (select distinct item_id, k, array_to_string(w[p:p + k - 1], ' ') as win
+  from (select *, least(10, len(w)) as k, unnest(generate_series(1, len(w) - least(10, len(w)) + 1)) as p from i where len(w) > 0)),
+dw as (select n, k, p, array_to_string(w[p:p + k - 1], ' ') as win
+  from (select d.n, d.w, k, unnest(generate_series(1, len(w) - k + 1)) as p from d, (select distinct k from iw) where len(w) >= k)),
+m as (select n, k, p, item_id from dw join iw using (k, win)),
+h as (select n, count(distinct x) as hit from (select n, unnest(generate_series(p, p + k - 1)) as x from (select distinct n, k, p from m)) group by n),
+t as (select n, count(*) as items, string_agg(id, ',' order by id) as ids from (select distinct n, item_id::varchar as id from m) group by n)
+select doc_id, len(w)::bigint as n_words, coalesce(hit, 0)::bigint as n_hit, coalesce(items, 0)::bigint as n_items, sha256(coalesce(ids, '')) as items_sha256, coalesce(hit, 0) > 0 as contaminated
+from d left join h using (n) left join t using (n)
+"""
+
+
+def _rounds(n: int) -> str:
+    """Each round: every vector's nearest centroid, and the floors of the means; centroids without a vector stay."""
+    parts = []
+    for r in range(n + 1):
+        parts.append(f"""d{r} as materialized (select x.vec_id, c.c, sum((x.v - c.v) * (x.v - c.v))::bigint as dist from x join c{r} c using (i) group by x.vec_id, c.c),
+a{r} as materialized (select vec_id, min(struct_pack(dist := dist, c := c)) as best from d{r} group by vec_id)""")
+        if r < n:
+            parts.append(f"""s{r} as (select a.best.c as c, i, sum(v) as s, count(*) as k from a{r} a join x using (vec_id) group by 1, 2),
+c{r + 1} as materialized (select c, i, case when s is null then c.v else ((s - ((s % k) + k) % k) // k)::bigint end as v from c{r} c left join s{r} using (c, i))""")
+    return ",\n".join(parts)
+
+
+OP12 = f"""
+with kept as (select vec_id, embedding::double[] as e from embeddings
+  where len(embedding) = 64 and list_count(embedding) = 64 and len(list_filter(embedding, lambda y: not isfinite(y))) = 0),
+x as materialized (select vec_id, i, floor(1024 * e[i])::bigint as v from (select vec_id, e, unnest(generate_series(1, 64)) as i from kept)),
+c0 as materialized (select c, i, v from x join (select vec_id, row_number() over (order by sha256('3:' || vec_id)) - 1 as c from kept qualify c < 8) using (vec_id)),
+{_rounds(10)},
+z as (select c, sha256(string_agg(v::varchar, ',' order by i)) as centroid_sha256 from c10 group by c)
+select vec_id, best.c::int as cluster, best.dist as distance, sum(best.dist) over (partition by best.c)::bigint as cluster_inertia, sum(best.dist) over ()::bigint as inertia, centroid_sha256
+from a10 join z on z.c = best.c
+"""
+
+#: CRC-32 of each distinct word from its bytes in hex, by the table of the polynomial's eight shifts.
+OP13 = f"""
+with t0 as (select list(list_reduce([n::bigint, 0, 0, 0, 0, 0, 0, 0, 0], lambda a, b: case when a & 1 = 1 then xor(a >> 1, 3988292384) else a >> 1 end) order by n) as tab from range(256) r(n)),
+d as (select row_number() over () as n, doc_id, {_LOWERED} as w from documents),
+b as (select {_LOWERED} as w from benchmark),
+u as (select distinct word, hex(encode(word)) as x from (select unnest(w) as word from d union all select unnest(w) from b)),
+k as (select word, xor(list_reduce(list_concat([4294967295::bigint], list_transform(generate_series(1, len(x), 2), lambda p: ('0x' || substr(x, p, 2))::bigint)), lambda a, y: xor(a >> 8, tab[(xor(a, y) & 255) + 1])), 4294967295) % 10000 as bucket from u, t0),
+dw as (select n, bucket from (select n, unnest(w) as word from d) join k using (word)),
+s as (select bucket, count(*) as s from dw group by bucket),
+t as (select bucket, count(*) as t from (select unnest(w) as word from b) join k using (word) group by bucket),
+g as (select bucket, floor(1000 * ln(((coalesce(t, 0) + 1)::double * ((select count(*) from dw) + 10000)::double)
+  / ((coalesce(s, 0) + 1)::double * ((select coalesce(sum(t), 0) from t) + 10000)::double)))::bigint as gain from s full join t using (bucket)),
+f as (select n, count(*) as n_features, sum(gain) as weight from dw join g using (bucket) group by n),
+v as (select d.n, doc_id, len(w) as words, coalesce(n_features, 0)::bigint as n_features, coalesce(weight, 0)::bigint as weight,
+  coalesce(weight, 0)::bigint + floor(-1000 * ln(-ln((('0x' || substr(sha256('2024:' || doc_id), 1, 8))::bigint::double + 0.5) / 4294967296.0::double)))::bigint as score from d left join f using (n)),
+r as (select *, row_number() over (partition by words >= 20 order by score desc, doc_id) as place, count(*) filter (words >= 20) over () as able from v)
+select doc_id, n_features, weight, score, case when words >= 20 and place <= 10 * able // 100 then place end as rank from r
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {"op1_ann": OP1, "op6_mixing": OP6, "op7_topk": OP7, "op9_line_dedup": OP9}
+    return {
+        "op1_ann": OP1, "op6_mixing": OP6, "op7_topk": OP7, "op9_line_dedup": OP9,
+        "op11_decontamination": OP11, "op12_clusters": OP12, "op13_resampling": OP13,
+    }
