@@ -93,3 +93,11 @@ def long_side_size(width: Column, height: Column, longest: int) -> Column:
     scale = F.least(F.lit(1.0), F.lit(float(longest)) / F.greatest(width, height))
     side = lambda v: F.greatest(F.lit(1), F.bround(v * scale, 0).cast("int"))
     return F.struct(side(width).alias("width"), side(height).alias("height"))
+
+
+def iou_of(a: tuple, b: tuple) -> float:
+    """Intersection over union of two boxes (x, y, w, h) in plain Python, for folds; 0 if they don't meet."""
+    w, h = min(a[0] + a[2], b[0] + b[2]) - max(a[0], b[0]), min(a[1] + a[3], b[1] + b[3]) - max(a[1], b[1])
+    both = max(0.0, w) * max(0.0, h)
+    whole = a[2] * a[3] + b[2] * b[3] - both
+    return both / whole if whole > 0 else 0.0

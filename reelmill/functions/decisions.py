@@ -7,9 +7,12 @@ from pyspark.sql import functions as F
 
 from reelmill.functions import text as tx
 
-#: Reasons for keeping and for updating a state, and the length of a state in words.
+#: A teacher's reasons, those of them that keep a state, and the length of a state in words.
+REASONS = (
+    "no_significant_change", "action_changed", "pose_changed", "appearance_changed", "scene_or_background_changed",
+    "interaction_changed", "occlusion_recovered", "insufficient_evidence",
+)
 KEEP_REASONS = ("no_significant_change", "insufficient_evidence")
-UPDATE_REASONS = ("appearance_changed", "action_changed", "pose_changed", "scene_or_background_changed", "viewpoint_changed", "carried_object_changed")
 MIN_WORDS, MAX_WORDS = 4, 40
 #: The keys of an API teacher's answer, what it may say, and the length of its updates in words and characters.
 API_KEYS = ("decision", "changed_elements", "memory_update", "confidence", "evidence_sufficiency", "significant_change", "identity_consistent", "standalone_complete", "evidence")
@@ -44,7 +47,7 @@ def with_teacher(df: DataFrame, raw: Column, out: str) -> DataFrame:
         F.when(~f["parsed"], "unparseable_json")
         .when(~f["has_changed"], "missing_state_changed")
         .when(changed.isNull(), "non_boolean_state_changed")
-        .when(~reason.isin(*KEEP_REASONS, *UPDATE_REASONS), "unknown_reason_code")
+        .when(~reason.isin(*REASONS), "unknown_reason_code")
         .when(~changed & ~reason.isin(*KEEP_REASONS), "keep_with_change_reason")
         .when(changed & reason.isin(*KEEP_REASONS), "update_with_keep_reason")
         .when(changed & (state == ""), "empty_new_state")
@@ -168,5 +171,12 @@ def loss_scale(state: Column) -> Column:
     return F.when(state.isin("verified_update", "verified_hard_null"), F.lit(1.0))
 
 
+#: Where an API teacher's label comes from, for an absent target with and without an update, and a present one.
+DISAPPEARANCE_SOURCE, ABSENCE_SOURCE = "dataset_gt_disappearance_transition_v1", "dataset_gt_continued_absence_v1"
+UPDATE_SOURCE, KEEP_SOURCE = "frontier_api_teacher_v1", "frontier_api_teacher_hard_null_v1"
+
+
 def label_source(status: Column, update: Column) -> Column:
-    return F.when(status == "absent", "absent_rule").when(update.isNotNull(), "teacher_update").otherwise("teacher_keep")
+    """Where a label comes from: an absent target's is a fact of the data set, another's the teacher's."""
+    gone = F.coalesce(status == "absent", F.lit(False))
+    return F.when(gone & update.isNotNull(), DISAPPEARANCE_SOURCE).when(gone, ABSENCE_SOURCE).when(update.isNotNull(), UPDATE_SOURCE).otherwise(KEEP_SOURCE)

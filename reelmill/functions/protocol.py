@@ -8,10 +8,10 @@ from pyspark.sql import functions as F
 from reelmill.functions import boxes as bx
 from reelmill.functions.text import strict_json
 
-#: The keys of an answer, its longest memory, scopes of language known from a sequence's start.
+#: The keys of an answer, its longest memory, and the scopes of texts that tell of a sequence's start only.
 KEYS = ("target_status", "bbox_2d", "memory_update")
 LONGEST_MEMORY = 300
-SAFE_SCOPES = ("first_action_description", "initial_description", "class_name", "first_frame")
+SAFE_SCOPES = ("initial_target", "first_action_description")
 
 
 def with_tracking_output(df: DataFrame, raw: Column, width: Column, height: Column, out: str, strict_memory: bool = False) -> DataFrame:

@@ -17,7 +17,12 @@ OBSERVATION = (
     r"\bcloser to the camera\b", r"\bfarther (?:from|away)\b", r"\bappears (?:larger|smaller|closer|farther)\b",
     r"\b(?:motion )?blur(?:red|ry)?\b", r"\bout of focus\b", r"\blow resolution\b", r"\bpartially (?:visible|occluded|hidden)\b",
 )
-UNGROUNDED = r"(?i)\b(?:still|now|again|previously|earlier|before|as before|continues|no longer)\b"
+#: Phrases that lean on what was said before, guess, or speak of the picture instead of the target.
+UNGROUNDED = (
+    r"\bnow also\b", r"\bstill\b.{0,20}\bas before\b", r"\bsame as\b", r"\bpreviously\b", r"\bunchanged\b",
+    r"\bappears to be (?:thinking|planning|trying|about to)\b", r"\bprobably\b", r"\bmight be\b", r"\bseems to want\b",
+    r"\bimage \d\b", r"\bred box\b", r"\bbounding box\b", r"\bthe frame\b",
+)
 
 
 def collapsed(x: Column) -> Column:
@@ -53,7 +58,8 @@ def says_no_change(x: Column) -> Column:
 
 
 def is_ungrounded(x: Column) -> Column:
-    return F.coalesce(x.rlike(UNGROUNDED), F.lit(False))
+    """Whether a state can't stand alone or says what the picture doesn't show."""
+    return F.coalesce(x.rlike("(?i)" + "|".join(UNGROUNDED)), F.lit(False))
 
 
 def is_observation(x: Column) -> Column:
@@ -96,7 +102,7 @@ def safe_component(x: Column) -> Column:
 def masked_response(x: Column) -> Column:
     """struct<prefix, value, suffix> around the last field, memory_update, of a compact JSON answer; null if there is none."""
     pattern = r'(?s)^(.*,"memory_update":)(.*)(\}\s*)$'
-    fits = x.rlike(pattern) & F.try_parse_json(F.regexp_extract(x, pattern, 2)).isNotNull()
+    fits = x.rlike(pattern) & _alone(F.regexp_extract(x, pattern, 2)).isNotNull()
     return F.when(fits, F.struct(*[F.regexp_extract(x, pattern, i).alias(n) for i, n in ((1, "prefix"), (2, "value"), (3, "suffix"))]))
 
 
@@ -108,10 +114,11 @@ def _alone(x: Column) -> Column:
     """The VARIANT of a text that is one JSON value and nothing else, without repeated keys or NaN; null if it isn't.
 
     The parser stops behind the first value, so the text is read as the first of two
-    array elements: whatever follows the value would come before the second.
+    array elements: whatever follows the value would come before the second, which is
+    the text's own hash, as no text can hold that.
     """
-    both = F.try_parse_json(F.concat(F.lit("["), x, F.lit(',"end"]')))
-    ends = (F.try_variant_get(both, "$[1]", "string") == "end") & F.try_variant_get(both, "$[2]", "variant").isNull()
+    both = F.try_parse_json(F.concat(F.lit("["), x, F.lit(',"'), F.sha2(x, 256), F.lit('"]')))
+    ends = (F.try_variant_get(both, "$[1]", "string") == F.sha2(x, 256)) & F.try_variant_get(both, "$[2]", "variant").isNull()
     return F.when(ends, F.try_variant_get(both, "$[0]", "variant"))
 
 
@@ -119,6 +126,11 @@ def _object(x: Column) -> Column:
     return F.when(F.schema_of_variant(x).startswith("OBJECT"), x)
 
 
+def one_object(x: Column) -> Column:
+    """The object that a text is, with nothing before or after it but blanks, as VARIANT; null if it isn't."""
+    return _object(_alone(x))
+
+
 def json_in_prose(x: Column) -> Column:
     """The JSON object that a text is, or that lies between its first and its last brace, as VARIANT; null if that is none."""
     whole, piece = _alone(x), F.regexp_extract(x, r"(?s)(\{.*\})", 1)

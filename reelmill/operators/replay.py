@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Callable, Iterator
+from collections.abc import Callable
 
 import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
@@ -10,17 +10,84 @@ from pyspark.sql import functions as F
 
 from reelmill.functions import normalise
 from reelmill.operators.evaluation import KEY, ordered
+from reelmill.operators.fold import folded
 
 
-def observed(frames: DataFrame, mode: str = "keyframe", missing: str = "dense") -> Column:
-    """Whether a frame is observed: frame 0 always, all frames when dense, else the sequence's keyframes (array<int>).
+def observed(frames: DataFrame, own: DataFrame | None = None, explicit: list[int] | None = None, listed: DataFrame | None = None, base: int = 0, mode: str = "keyframe", missing: str = "dense", first: bool = True) -> DataFrame:
+    """(dataset, sequence, frame_id, observed, reason) of frames: which of them a tracker may look at.
 
-    A sequence without keyframes is dense or not observed beyond frame 0, as missing says.
+    Dense looks at all. Otherwise keyframes count, from the first source that is given:
+    explicit ids for every sequence, listed (a file's, with or without a sequence column),
+    own (dataset, sequence, frame_id), the data set's. explicit and listed count from
+    base, 0 or 1. Frame 0 is looked at if first says so. A sequence without keyframes is
+    dense, not looked at, or an error, as missing says; keyframes outside of a sequence
+    are an error. Keyframes are joined by frame, so that no list grows with a sequence.
     """
+    if base not in (0, 1) or missing not in ("dense", "none", "error") or mode not in ("dense", "keyframe"):
+        raise ValueError(f"base, missing or mode is none of the choices: {base}, {missing}, {mode}")
+    ids = frames.select(*KEY, "frame_id")
     if mode == "dense":
-        return F.lit(True)
-    without = F.lit(missing == "dense")
-    return (F.col("frame_id") == 0) | F.when(F.col("keyframes").isNull(), without).otherwise(F.array_contains("keyframes", F.col("frame_id")))
+        return ids.withColumns({"observed": F.lit(True), "reason": F.lit("dense")})
+    spark, names = frames.sparkSession, frames.select(*KEY).distinct()
+    if explicit is not None:
+        given = spark.createDataFrame([(int(i) - base,) for i in set(explicit)], "frame_id int")
+        keys = names.join(F.broadcast(given), F.lit(True)) if explicit else None
+    elif listed is not None:
+        moved = listed.withColumn("frame_id", (F.col("frame_id") - base).cast("int"))
+        keys = names.join(moved.select("sequence", "frame_id").distinct(), "sequence") if "sequence" in listed.columns else names.join(moved.select("frame_id").distinct(), F.lit(True))
+        keys = keys.select(*KEY, "frame_id")
+    else:
+        keys = own.select(*KEY, "frame_id").distinct() if own is not None else None
+    everyone = explicit is not None or (listed is not None and "sequence" not in listed.columns)
+    if keys is None:
+        keys = ids.limit(0)
+    has = names.withColumn("__has", F.lit(True)) if everyone else keys.select(*KEY).distinct().withColumn("__has", F.lit(True))
+    sizes = frames.groupBy(*KEY).agg(F.count(F.lit(1)).alias("__n"))
+    _none(keys.join(sizes, list(KEY)).where("frame_id < 0 or frame_id >= __n"), "keyframes outside of their sequence")
+    if missing == "error":
+        _none(names.join(has, list(KEY), "left_anti"), "sequences without keyframes")
+    rows = ids.join(keys.withColumn("__key", F.lit(True)), [*KEY, "frame_id"], "left").join(has, list(KEY), "left")
+    reason = (
+        F.when((F.col("frame_id") == 0) & F.lit(first), "initial_frame")
+        .when(F.col("__has").isNull(), "missing_keyframes_fallback_dense" if missing == "dense" else "missing_keyframes")
+        .when(F.col("__key"), "keyframe")
+        .otherwise("non_keyframe")
+    )
+    rows = rows.withColumn("reason", reason)
+    return rows.select(*KEY, "frame_id", F.col("reason").isin("initial_frame", "missing_keyframes_fallback_dense", "keyframe").alias("observed"), "reason")
+
+
+def _none(rows: DataFrame, what: str) -> None:
+    if some := rows.limit(5).collect():
+        raise ValueError(f"{what}: {[r.asDict() for r in some]}")
+
+
+def execution_of(output: Column, box: Column, seen: Column) -> Column:
+    """The status of a frame's raw output (VARIANT): what its execution says, as an object or a word, or else skipped where nothing was looked at and no box came back."""
+    raw = lambda path, kind: F.try_variant_get(output, path, kind)
+    kind = F.schema_of_variant(raw("$.execution", "variant"))
+    said = F.when(kind.startswith("OBJECT"), F.coalesce(raw("$.execution.status", "string"), F.lit("ok"))).when(kind == "STRING", raw("$.execution", "string"))
+    return F.coalesce(said, F.when(~seen & box.isNull(), "skipped").otherwise("ok"))
+
+
+def with_ground_truth(results: DataFrame, truth: DataFrame) -> DataFrame:
+    """results (dataset, sequence, frame_id, ...) with ground_truth, struct<target_presence, bbox_xywh, annotation_valid, identity_match>; null without a truth.
+
+    truth (dataset, sequence, frame_id, gt, visible, identity) is joined after the run, so
+    that nothing of it can reach a tracker. visible decides where it is known, the box
+    elsewhere; an absent target has no box, and a present one without a valid box is an
+    annotation that isn't valid.
+    """
+    from reelmill.functions.boxes import is_valid
+
+    valid = F.coalesce(is_valid(F.col("gt")), F.lit(False))
+    present = F.coalesce(F.col("visible"), valid)
+    made = F.struct(
+        F.when(present, "present").otherwise("absent").alias("target_presence"), F.when(present & valid, F.col("gt")).alias("bbox_xywh"),
+        (~present | valid).alias("annotation_valid"), F.col("identity").alias("identity_match"),
+    )
+    own = truth.select(*KEY, "frame_id", made.alias("ground_truth"))
+    return results.join(own, [*KEY, "frame_id"], "left")
 
 
 def cognitive_state(frames: DataFrame, search_after: int = 3, recover_after: int = 1) -> DataFrame:
@@ -106,31 +173,26 @@ def decision_presence(status: Column, presence: Column) -> Column:
 
 
 def gated_updates(candidates: DataFrame, confirmations: int = 2, max_gap: int = 30, min_gap: int = 5) -> DataFrame:
-    """candidates (dataset, sequence, frame_id, eligible) with accepted: the gate of positive memories.
+    """candidates (dataset, sequence, frame_id, eligible) with accepted: the gate of positive memories alone.
 
     Eligible candidates must follow one another within max_gap; enough of them in a row
     are accepted if min_gap frames have passed since the last accepted one. What is
-    accepted feeds back, so that a sequence is folded in order, in batches of any size.
+    accepted feeds back, so that a sequence is folded in order. operators.memory has all
+    gates.
     """
 
-    def fold(rows: Iterator[tuple[int, bool]]) -> Iterator[bool]:
-        streak, last, accepted = 0, None, None
-        for frame, eligible in rows:
-            if not eligible:
-                streak, last = 0, None
-                yield False
-                continue
-            streak = streak + 1 if last is not None and 0 < frame - last <= max_gap else 1
-            last = frame
-            take = streak >= confirmations and (accepted is None or frame - accepted >= min_gap)
-            accepted = frame if take else accepted
-            yield take
-
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        pdf = pdf.sort_values("frame_id")
-        return pdf.assign(accepted=list(fold(zip(pdf["frame_id"].tolist(), pdf["eligible"].tolist(), strict=True))))
+    def step(s: dict, row: dict) -> dict:
+        frame, last = row["frame_id"], s["last"]
+        if not row["eligible"]:
+            s.update(streak=0, last=None)
+            return {"eligible": row["eligible"], "accepted": False}
+        streak = s["streak"] + 1 if last is not None and 0 < frame - last <= max_gap else 1
+        take = streak >= confirmations and (s["accepted"] is None or frame - s["accepted"] >= min_gap)
+        s.update(streak=streak, last=frame, accepted=frame if take else s["accepted"])
+        return {"eligible": True, "accepted": take}
 
-    return candidates.select(*KEY, "frame_id", "eligible").groupBy(*KEY).applyInPandas(each, "dataset string, sequence string, frame_id int, eligible boolean, accepted boolean")
+    rows = candidates.select(*KEY, "frame_id", "eligible")
+    return folded(rows, KEY, ("frame_id",), lambda: {"streak": 0, "last": None, "accepted": None}, step, "eligible boolean, accepted boolean")
 
 
 def verifier_replay(labels: DataFrame) -> DataFrame:
@@ -140,17 +202,14 @@ def verifier_replay(labels: DataFrame) -> DataFrame:
     refused ones are gone is vacuous and moves nothing.
     """
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, state = [], None
-        for r in pdf.sort_values("frame_id").itertuples():
-            state = r.initial if state is None else state
-            same = (r.update or "").strip().lower().rstrip(".") == (state or "").strip().lower().rstrip(".")
-            verdict = "rejected" if not r.accept else "vacuous" if same else "accepted"
-            rows.append((r.dataset, r.sequence, r.frame_id, state, verdict))
-            state = r.update if verdict == "accepted" else state
-        return pd.DataFrame(rows, columns=["dataset", "sequence", "frame_id", "input_state", "verdict"])
+    def step(s: dict, row: dict) -> dict:
+        state = row["initial"] if s["state"] is None else s["state"]
+        plain = lambda x: (x or "").strip().lower().rstrip(".")
+        verdict = "rejected" if not row["accept"] else "vacuous" if plain(row["update"]) == plain(state) else "accepted"
+        s["state"] = row["update"] if verdict == "accepted" else state
+        return {"input_state": state, "verdict": verdict}
 
-    return labels.groupBy(*KEY).applyInPandas(each, "dataset string, sequence string, frame_id int, input_state string, verdict string")
+    return folded(labels, KEY, ("frame_id",), lambda: {"state": None}, step, "input_state string, verdict string")
 
 
 def label_chain(cases: DataFrame, predict: Callable[[str, str], str | None], initial: str = "") -> DataFrame:
@@ -159,15 +218,13 @@ def label_chain(cases: DataFrame, predict: Callable[[str, str], str | None], ini
     predict is the boundary to a model: it returns a new state, or None to keep the old one.
     """
 
-    def each(pdf: pd.DataFrame) -> pd.DataFrame:
-        rows, state = [], initial
-        for r in pdf.sort_values("frame_id").itertuples():
-            update = None if r.status == "absent" else predict(r.prompt, state)
-            rows.append((r.dataset, r.sequence, r.frame_id, state, update))
-            state = update or state
-        return pd.DataFrame(rows, columns=["dataset", "sequence", "frame_id", "input_state", "memory_update"])
+    def step(s: dict, row: dict) -> dict:
+        state = s["state"]
+        update = None if row["status"] == "absent" else predict(row["prompt"], state)
+        s["state"] = update or state
+        return {"input_state": state, "memory_update": update}
 
-    return cases.groupBy(*KEY).applyInPandas(each, "dataset string, sequence string, frame_id int, input_state string, memory_update string")
+    return folded(cases, KEY, ("frame_id",), lambda: {"state": initial}, step, "input_state string, memory_update string")
 
 
 def similarity(a: str, b: str) -> Column:

@@ -6,7 +6,7 @@ from importlib import import_module
 
 from reelmill.plans.registry import ORACLE, QUERIES, Query
 
-MODULES = ("evaluation", "timeline", "planning", "labels", "data", "protocol")
+MODULES = ("evaluation", "timeline", "planning", "labels", "data", "protocol", "memory")
 
 
 def queries() -> dict[str, Query]:

@@ -196,17 +196,59 @@ def _records(spark, sf_dir):
     return turns.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"), images.alias("images"))
 
 
-@query(RECORDS + r""", b as (select conv_id, unnest(list_filter([
-  case when len(list_filter(m, lambda x: coalesce(x.role not in ('system', 'user', 'assistant', 'tool'), true))) > 0 then 'role_unknown' end,
-  case when len(list_filter(m, lambda x: trim(coalesce(x.content, '')) = '')) > 0 then 'content_empty' end,
-  case when len(list_filter(m[2:], lambda x: x.role = 'system')) > 0 then 'system_not_first' end,
-  case when len(list_filter(m, lambda x: x.role = 'user')) = 0 then 'no_user' end, case when len(list_filter(m, lambda x: x.role = 'assistant')) = 0 then 'no_assistant' end,
-  case when m[-1].role <> 'assistant' then 'last_not_assistant' end,
-  case when len(list_filter(range(2, len(m) + 1), lambda i: m[i].role = m[i - 1].role)) > 0 then 'role_repeated' end,
-  case when len(string_split(array_to_string(list_transform(m, lambda x: coalesce(x.content, '')), chr(10)), '<image>')) - 1 <> len(images) then 'image_count' end,
-  case when len(list_filter(images, lambda p: p like '/%')) > 0 then 'image_path_absolute' end, case when len(list_filter(images, lambda p: p like '../%')) > 0 then 'image_path_escapes' end],
-  lambda x: x is not null)) as code from r) select conv_id, code from b""")
+#: Records that break each rule somewhere, by their number; the marks, answers, objects and images are planted.
+BROKEN = """with t as (select conv_id as k, turn, case when conv_id % 19 = 4 and turn = 0 then 'robot' else role end as role,
+  case when conv_id % 17 = 3 and turn = 0 then null when role = 'assistant' and conv_id % 3 = 0 then '{"target_status":"absent","bbox_2d":null}' when role = 'assistant' and conv_id % 3 = 1 then '{"target_status":"absent","bbox_2d":[1,2,3,4]}'
+    else concat(case when conv_id % 5 = 0 and turn = 0 then '<image>' else '' end, text, case when conv_id % 4 < 2 and turn = 0 then '<bbox>' else '' end) end as content from conversations where not (conv_id % 31 = 2 and role = 'assistant') and not (conv_id % 37 = 5 and role = 'user')),
+m as (select *, row_number() over (partition by k order by turn, role, content) - 1 as place from t),
+r as (select k, count(*) as n, sum(length(coalesce(content, '')) - length(replace(coalesce(content, ''), '<image>', '')))::bigint // 7 as n_image, sum(length(coalesce(content, '')) - length(replace(coalesce(content, ''), '<bbox>', '')))::bigint // 6 as n_box,
+  count(*) filter (role = 'user') as users, count(*) filter (role = 'assistant') as assistants, case when k % 6 = 5 then '{"target_status":"absent","bbox_2d":null}' end as solution,
+  case when k % 5 = 0 then ['a.jpg'] when k % 11 = 0 then ['/abs.jpg'] when k % 13 = 0 then ['x/../../up.jpg', 'x/../b.jpg'] when k % 23 = 0 then [' ', 'gone/c.jpg'] else [] end as images from m group by k),
+i as (select k, unnest(images) as path, unnest(range(len(images))) as place from r),
+x as (select k, 'message.role' as code, place from m where role not in ('system', 'user', 'assistant', 'tool') union all select k, 'message.content', place from m where content is null
+  union all select k, 'messages.user_missing', -1 from r where users = 0 union all select k, 'answer.missing', -1 from r where assistants = 0 and solution is null
+  union all select k, 'images.invalid', -1 from r where len(images) = 0 union all select k, 'images.token_mismatch', -1 from r where n_image <> len(images)
+  union all select k, 'objects.missing', -1 from r where n_box > 0 and k % 4 = 1 union all select k, 'objects.bbox_count', -1 from r where n_box > 0 and k % 4 <> 1 and n_box <> case when k % 8 = 0 then 1 else 2 end
+  union all select k, 'objects.bbox_type', -1 from r where n_box > 0 and k % 4 <> 1 and k % 3 = 2 union all select k, 'objects.image_id_count', -1 from r where n_box > 0 and k % 4 <> 1 and n_box <> 1
+  union all select k, 'objects.image_id', -1 from r where n_box = 1 and k % 4 <> 1 and (case when k % 16 = 0 then 0 else 9 end) >= len(images)
+  union all select k, 'image.path', place from i where path = ' ' union all select k, 'image.absolute', place from i where path = '/abs.jpg' union all select k, 'image.escape', place from i where path = 'x/../../up.jpg'
+  union all select k, 'image.missing', place from i where path = 'gone/c.jpg'
+  union all select k, 'answer.protocol', nth from (select k, content, row_number() over (partition by k order by place) - 1 as nth from m where role = 'assistant') where content is distinct from '{"target_status":"absent","bbox_2d":null}')
+select k as conv_id, code, place::int as place from x"""
+
+
+def _broken(spark, sf_dir):
+    c, k, first = table(spark, sf_dir, "conversations"), F.col("conv_id"), F.col("turn") == 0
+    c = c.where(~((k % 31 == 2) & (F.col("role") == "assistant")) & ~((k % 37 == 5) & (F.col("role") == "user")))
+    role = F.when((k % 19 == 4) & first, "robot").otherwise(F.col("role"))
+    own = F.col("role") == "assistant"
+    marked = F.concat(F.when((k % 5 == 0) & first, "<image>").otherwise(""), F.col("text"), F.when((k % 4 < 2) & first, "<bbox>").otherwise(""))
+    right, wrong = '{"target_status":"absent","bbox_2d":null}', '{"target_status":"absent","bbox_2d":[1,2,3,4]}'
+    content = F.when((k % 17 == 3) & first, F.lit(None).cast("string")).when(own & (k % 3 == 0), right).when(own & (k % 3 == 1), wrong).otherwise(marked)
+    turns = c.groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", role.alias("role"), content.alias("content")))).alias("t"))
+    texts = lambda *p: F.array(*map(F.lit, p)) if p else F.array().cast("array<string>")
+    images = F.when(k % 5 == 0, texts("a.jpg")).when(k % 11 == 0, texts("/abs.jpg")).when(k % 13 == 0, texts("x/../../up.jpg", "x/../b.jpg")).when(k % 23 == 0, texts(" ", "gone/c.jpg")).otherwise(texts())
+    one = F.array(F.lit(1.0), F.lit(2.0), F.lit(3.0), F.lit(4.0))
+    objects = F.struct(
+        F.when(k % 8 == 0, F.array(one)).otherwise(F.array(one, one)).alias("bbox"), F.when(k % 3 == 0, "real").when(k % 3 == 1, "norm1").otherwise("odd").alias("bbox_type"),
+        F.array(F.when(k % 16 == 0, 0).otherwise(9)).alias("image_id"),
+    )
+    return turns.select(
+        "conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"), images.alias("images"),
+        F.when(k % 4 != 1, objects).alias("objects"), F.when(k % 6 == 5, right).alias("solution"),
+    )
+
+
+@query(BROKEN)
 def record_validation(spark, sf_dir):
+    listing = spark.createDataFrame([("a.jpg",), ("b.jpg",), ("other.jpg",)], "path string")
+    return audit.all_issues(_broken(spark, sf_dir), "conv_id", listing)
+
+
+@query(RECORDS + r""", b as (select conv_id, unnest(list_filter([case when len(list_filter(m, lambda x: trim(coalesce(x.content, '')) = '')) > 0 then 'content_empty' end,
+  case when len(list_filter(m[2:], lambda x: x.role = 'system')) > 0 then 'system_not_first' end, case when m[-1].role <> 'assistant' then 'last_not_assistant' end,
+  case when len(list_filter(range(2, len(m) + 1), lambda i: m[i].role = m[i - 1].role)) > 0 then 'role_repeated' end], lambda x: x is not null)) as code from r) select conv_id, code from b""")
+def conversation_order(spark, sf_dir):
     return audit.issues(_records(spark, sf_dir), "conv_id", audit.message_rules())
 
 
@@ -215,13 +257,12 @@ def strip_assistant(spark, sf_dir):
     return audit.to_preference_record(_records(spark, sf_dir)).select("conv_id", F.size("messages").cast("long").alias("n_left"), "solution")
 
 
-@query(f"""{FR}, x as (select *, (frame_id = 0 or is_observation_frame) as kf from frames)
-select dataset, sequence, frame_id, kf as by_keyframe from x""")
+@query(f"""{FR}, x as (select *, is_observation_frame and (frame_id > 0 or sequence not like '%7') as kf, max((is_observation_frame and (frame_id > 0 or sequence not like '%7'))::int) over (partition by dataset, sequence) = 1 as has from frames),
+y as (select *, case when frame_id = 0 then 'initial_frame' when not has then 'missing_keyframes_fallback_dense' when kf then 'keyframe' else 'non_keyframe' end as reason from x)
+select dataset, sequence, frame_id, reason <> 'non_keyframe' as observed, reason from y""")
 def observation_policy(spark, sf_dir):
     f = frames(spark, sf_dir)
-    keys = f.groupBy(*KEY).agg(F.array_sort(F.collect_list(F.when(F.col("is_observation_frame"), F.col("frame_id")))).alias("keyframes"))
-    joined = f.select(*KEY, "frame_id").join(keys, list(KEY), "left")
-    return joined.select(*KEY, "frame_id", replay.observed(joined).alias("by_keyframe"))
+    return replay.observed(f, f.where("is_observation_frame and (frame_id > 0 or sequence not like '%7')"))
 
 
 STATE = f"""{FR}, k as (select *, row_number() over w as rn, case when row_number() over w = 1 or (execution_status = 'ok' and pred_presence = 'present' and pred_identity = 'same' and px is not null) then 'T'
@@ -318,12 +359,6 @@ def fingerprint(spark, sf_dir):
     return audit.fingerprint(table(spark, sf_dir, "documents"), ("source",), "doc_id", F.coalesce("text", F.lit("")))
 
 
-@query("select user_id, sum(value)::double as total, count(*) filter (event_type = 'error') as errors from (select user_id, event_type, round(value, 3) as value from events) group by user_id having count(*) > 60")
-def reward_scalars(spark, sf_dir):
-    e = table(spark, sf_dir, "events").withColumn("value", F.round("value", 3))
-    return e.groupBy("user_id").agg(F.sum("value").alias("total"), F.count_if(F.col("event_type") == "error").alias("errors"), F.count(F.lit(1)).alias("n")).where("n > 60").drop("n")
-
-
 @query()
 def lpt_shards(spark, sf_dir):
     sizes = frames(spark, sf_dir).groupBy("sequence").agg(F.count_if("is_observation_frame").alias("load"))

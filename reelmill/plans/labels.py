@@ -15,7 +15,7 @@ from reelmill.sources.fixtures import FRAMES_SQL, SEGMENTS_SQL, frames, segments
 BOTH = f"with {FRAMES_SQL}, {SEGMENTS_SQL}"
 AT = """{name} as (select p.dataset, p.sequence, p.frame_id, min(x.text) as low, max(x.text) as high from {points} p left join segments x
   on x.dataset = p.dataset and x.sequence = p.sequence and p.frame_id between x.start_frame and x.end_frame group by p.dataset, p.sequence, p.frame_id)"""
-BOUNDS = f"""{BOTH}, {AT.format(name="st", points="frames")},
+BOUNDS = f"""{{both}}, {AT.format(name="st", points="frames")},
 ed as (select distinct dataset, sequence, unnest([start_frame, end_frame + 1]) as frame_id from segments),
 e1 as (select dataset, sequence, frame_id - 1 as frame_id from ed where frame_id > 0), {AT.format(name="s0", points="e1")},
 e2 as (select * from ed where frame_id > 0), {AT.format(name="s1", points="e2")},
@@ -29,18 +29,23 @@ def segment_state_at(spark, sf_dir):
     return lb.state_at(frames(spark, sf_dir).select(*KEY, "frame_id"), segments(spark, sf_dir)).select(*KEY, "frame_id", "ambiguous", "state")
 
 
-@query(f"{BOUNDS} select dataset, sequence, frame_id, distance from ds")
+@query(f"{BOUNDS.format(both=BOTH)} select dataset, sequence, frame_id, distance from ds")
 def boundary_distance(spark, sf_dir):
     s = segments(spark, sf_dir)
     return lb.boundary_distance(frames(spark, sf_dir).select(*KEY, "frame_id"), lb.boundaries(s))
 
 
-@query(f"""{BOUNDS}, ini as (select dataset, sequence, arg_min(text, start_frame) as initial from segments group by all),
+#: Segments of which some are as long as an update may be, in characters and in words, and some longer.
+LONG = f"""with {FRAMES_SQL}, {SEGMENTS_SQL.replace("segments as (", "short_segments as (")}, segments as (select * replace (case name[-1:] when '1' then rtrim(repeat(concat(text, ' '), 30)) when '3' then rtrim(repeat(concat(text, ' '), 31))
+  when '5' then concat(text, repeat('x', 256 - length(text))) when '7' then concat(text, repeat('x', 257 - length(text))) else text end as text) from short_segments)"""
+
+
+@query(f"""{BOUNDS.format(both=LONG)}, ini as (select dataset, sequence, arg_min(text, start_frame) as initial from segments group by all),
 j as (select f.dataset, f.sequence, f.frame_id, f.gt_presence = 'absent' as absent, coalesce(st.low <> st.high, false) as amb, case when st.low = st.high then st.low end as w, ds.distance, initial
   from frames f join st using (dataset, sequence, frame_id) join ds using (dataset, sequence, frame_id) join ini using (dataset, sequence)),
-i as (select *, coalesce(last_value(case when not absent and not amb then w end ignore nulls) over (partition by dataset, sequence order by frame_id rows between unbounded preceding and 1 preceding), initial) as input_state from j),
+i as (select *, coalesce(last_value(case when not absent and not amb and length(w) <= 256 and len(string_split(w, ' ')) <= 30 then w end ignore nulls) over (partition by dataset, sequence order by frame_id rows between unbounded preceding and 1 preceding), initial) as input_state from j),
 r as (select *, case when absent then 'absent_no_new_appearance_evidence' when amb then 'overlapping_segments_conflicting_text' when w is null then 'frame_not_covered_by_any_segment'
-  when w <> input_state then 'action_segment_text_changed' when distance < 2 then concat('within_boundary_margin(', distance, ')') else 'within_segment_state_text_unchanged' end as reason from i)
+  when w <> input_state and length(w) <= 256 and len(string_split(w, ' ')) <= 30 then 'action_segment_text_changed' when w <> input_state then 'update_text_exceeds_label_limit' when distance < 2 then concat('within_boundary_margin(', distance, ')') else 'within_segment_state_text_unchanged' end as reason from i)
 select dataset, sequence, frame_id, case when reason like 'action%' then 'verified_update' when reason like 'absent%' or reason like '%unchanged' then 'verified_hard_null' else 'masked_unknown' end as state,
   case when reason like 'action%' then w end as memory_update, input_state, reason from r""")
 def state_labels(spark, sf_dir):
@@ -49,7 +54,10 @@ def state_labels(spark, sf_dir):
 
 def _labels(spark, sf_dir):
     plan = frames(spark, sf_dir).select(*KEY, "frame_id", (F.col("gt_presence") == "absent").alias("absent"))
-    return lb.state_labels(plan, segments(spark, sf_dir), margin=2)
+    last, text = F.right("name", F.lit(1)), F.col("text")
+    words = lambda n: F.rtrim(F.repeat(F.concat(text, F.lit(" ")), F.lit(n)))
+    longer = F.when(last == "1", words(30)).when(last == "3", words(31)).when(last == "5", F.rpad(text, 256, "x")).when(last == "7", F.rpad(text, 257, "x")).otherwise(text)
+    return lb.state_labels(plan, segments(spark, sf_dir).withColumn("text", longer), margin=2)
 
 
 #: A chain of updates with wrong inputs at every 19th frame, for the check of chains and the as-of join.
@@ -137,12 +145,15 @@ def text_gate(spark, sf_dir):
     return table(spark, sf_dir, "documents").select("doc_id", tx.n_words(text).alias("n_words"), tx.word_gate(text, 4, 40).alias("gate"), F.sha2(tx.capitalised(text), 256).alias("capitalised"))
 
 
-@query(r"""with d as (select doc_id, coalesce(text, '') as line from documents), x as (select doc_id, case doc_id % 4 when 0 then line || ' no significant change' when 1 then 'Still ' || line else line end as t from d)
+#: What is put behind a text, by its id: phrases that lists refuse, and some close to them that none does.
+PHRASES = (" no significant change", " and is still red as before", " inside the red box", " and might be late", " still on the road", " Image 2", " seems to wait", " the same man", " now also wet", " appears to be about to jump")
+
+
+@query(r"""with d as (select doc_id, coalesce(text, '') || ([' no significant change', ' and is still red as before', ' inside the red box', ' and might be late', ' still on the road', ' Image 2', ' seems to wait', ' the same man', ' now also wet', ' appears to be about to jump'])[doc_id % 10 + 1] as t from documents)
 select doc_id, regexp_matches(t, '(?i)\bno\s+(?:material(?:ly)?\s+|significant\s+|meaningful\s+)?change\b|\b(?:nothing\s+changed|unchanged|no\s+update|none)\b') as no_change,
-  regexp_matches(t, '(?i)\b(?:still|now|again|previously|earlier|before|as before|continues|no longer)\b') as ungrounded from x""")
+  regexp_matches(t, '(?i)\bnow also\b|\bstill\b.{0,20}\bas before\b|\bsame as\b|\bpreviously\b|\bunchanged\b|\bappears to be (?:thinking|planning|trying|about to)\b|\bprobably\b|\bmight be\b|\bseems to want\b|\bimage \d\b|\bred box\b|\bbounding box\b|\bthe frame\b') as ungrounded from d""")
 def text_blacklists(spark, sf_dir):
-    line = F.coalesce("text", F.lit(""))
-    t = F.when(F.col("doc_id") % 4 == 0, F.concat(line, F.lit(" no significant change"))).when(F.col("doc_id") % 4 == 1, F.concat(F.lit("Still "), line)).otherwise(line)
+    t = F.concat(F.coalesce("text", F.lit("")), F.get(F.array(*map(F.lit, PHRASES)), F.col("doc_id") % 10))
     return table(spark, sf_dir, "documents").select("doc_id", tx.says_no_change(t).alias("no_change"), tx.is_ungrounded(t).alias("ungrounded"))
 
 
@@ -156,28 +167,29 @@ def safe_component(spark, sf_dir):
 ANSWER = """case event_id % 9 when 0 then 'no json here' when 1 then concat('Sure: {{"state_changed": true, "reason_code": "action_changed", "new_state": "a man rides a red bike number ', event_id % 7, '"}}')
   when 2 then '{{"state_changed": false, "reason_code": "no_significant_change"}}' when 3 then '{{"state_changed": false, "reason_code": "pose_changed"}}'
   when 4 then '{{"state_changed": true, "reason_code": "insufficient_evidence", "new_state": "x"}}' when 5 then '{{"reason_code": "pose_changed"}}'
-  when 6 then '{{"state_changed": true, "reason_code": "pose_changed", "new_state": "too short"}}' when 7 then '{{"state_changed": "TRUE", "reason_code": "Pose_Changed ", "new_state": "a man is still on the road"}}'
-  else '{{"state_changed": true, "reason_code": "made_up", "new_state": "a man walks on the road"}}' end""".replace("{{", "{").replace("}}", "}")
+  when 6 then '{{"state_changed": true, "reason_code": "pose_changed", "new_state": "too short"}}' when 7 then concat('{{"state_changed": "TRUE", "reason_code": "Pose_Changed ", "new_state": "', case event_id div 9 % 4 when 0 then 'the person inside the red box walking on a road' when 1 then 'a man is still on the road' when 2 then 'a man who probably wants to cross the street soon' else 'the target visible in Image 2 walking along a road' end, '"}}')
+  else concat('{{"state_changed": true, "reason_code": "', case event_id div 9 % 4 when 0 then 'made_up' when 1 then 'viewpoint_changed' when 2 then 'interaction_changed' else 'occlusion_recovered' end, '", "new_state": "a man walks on the road"}}') end""".replace("{{", "{").replace("}}", "}")
 
 
-@query("""with k as (select event_id, event_id % 9 as k from events) select event_id, case when k = 1 then true when k = 2 then false end as changed,
-  case when k = 1 then 'action_changed' when k = 2 then 'no_significant_change' end as reason_code, case when k = 1 then concat('a man rides a red bike number ', event_id % 7) when k = 2 then '' end as new_state,
-  case k when 0 then 'unparseable_json' when 3 then 'keep_with_change_reason' when 4 then 'update_with_keep_reason' when 5 then 'missing_state_changed' when 6 then 'state_too_short'
+@query("""with k as (select event_id, event_id % 9 as k, event_id // 9 % 4 as q from events) select event_id, case when k = 1 or k = 7 and q = 1 or k = 8 and q > 1 then true when k = 2 then false end as changed,
+  case when k = 1 then 'action_changed' when k = 2 then 'no_significant_change' when k = 7 and q = 1 then 'pose_changed' when k = 8 and q = 2 then 'interaction_changed' when k = 8 and q = 3 then 'occlusion_recovered' end as reason_code,
+  case when k = 1 then concat('a man rides a red bike number ', event_id % 7) when k = 2 then '' when k = 7 and q = 1 then 'a man is still on the road' when k = 8 and q > 1 then 'a man walks on the road' end as new_state,
+  case case when k = 7 and q = 1 or k = 8 and q > 1 then 1 else k end when 0 then 'unparseable_json' when 3 then 'keep_with_change_reason' when 4 then 'update_with_keep_reason' when 5 then 'missing_state_changed' when 6 then 'state_too_short'
     when 7 then 'ungrounded_or_relative_phrasing' when 8 then 'unknown_reason_code' end as rejection from k""")
 def teacher_decisions(spark, sf_dir):
     made = dc.with_teacher(table(spark, sf_dir, "events"), F.expr(ANSWER), "d")
     return made.select("event_id", "d.*")
 
 
-@query("""with k as (select user_id, event_type, count(*) filter (event_id % 9 = 1) as updates, count(*) filter (event_id % 9 = 2) as keeps, count(*) as n from events group by all) select * from k""")
+@query("""with k as (select user_id, event_type, count(*) filter (event_id % 9 = 1 or event_id % 9 = 7 and event_id // 9 % 4 = 1 or event_id % 9 = 8 and event_id // 9 % 4 > 1) as updates, count(*) filter (event_id % 9 = 2) as keeps, count(*) as n from events group by all) select * from k""")
 def decision_counters(spark, sf_dir):
     made = dc.with_teacher(table(spark, sf_dir, "events"), F.expr(ANSWER), "d")
     return made.groupBy("user_id", "event_type").agg(F.count_if("d.changed").alias("updates"), F.count_if(~F.col("d.changed")).alias("keeps"), F.count(F.lit(1)).alias("n"))
 
 
-@query("""with k as (select event_id, event_id % 9 as k, (event_id // 9) % 3 as p from events) select event_id, case when k = 1 and p <> 2 then true when k = 2 and p <> 2 then false end as changed,
-  case when k = 1 and p = 0 then concat('a man rides a red bike number ', event_id % 7) when k = 1 and p = 1 then 'man rides red bike number' when k = 2 and p <> 2 then '' end as new_state,
-  case when k not in (1, 2) then 'dual_pass_parse_failure' when k = 2 and p = 2 then 'dual_pass_decision_conflict' when k = 2 then 'dual_pass_keep' when p = 2 then 'dual_pass_wording_conflict' else 'dual_pass_agreed' end as reason from k""")
+@query("""with k as (select event_id, event_id % 9 as k, event_id // 9 % 4 as q, event_id // 9 % 3 as p, k = 7 and q = 1 or k = 8 and q > 1 as more from events) select event_id, case when k = 1 and p <> 2 or more then true when k = 2 and p <> 2 then false end as changed,
+  case when more then case k when 7 then 'a man is still on the road' else 'a man walks on the road' end when k = 1 and p = 0 then concat('a man rides a red bike number ', event_id % 7) when k = 1 and p = 1 then 'man rides red bike number' when k = 2 and p <> 2 then '' end as new_state,
+  case when more then 'dual_pass_agreed' when k not in (1, 2) then 'dual_pass_parse_failure' when k = 2 and p = 2 then 'dual_pass_decision_conflict' when k = 2 then 'dual_pass_keep' when p = 2 then 'dual_pass_wording_conflict' else 'dual_pass_agreed' end as reason from k""")
 def dual_pass(spark, sf_dir):
     events = dc.with_teacher(table(spark, sf_dir, "events"), F.expr(ANSWER), "a")
     state = F.when(F.expr("event_id div 9 % 3 = 0"), F.lit("")).when(F.expr("event_id div 9 % 3 = 1"), "man rides red bike number").otherwise("some dog sleeps under tables")
@@ -207,6 +219,13 @@ def loss_mask_split(spark, sf_dir):
     return made.select("conv_id", "turn", "m.prefix", "m.value", "m.suffix")
 
 
+@query("""select event_id, case when event_id % 3 = 0 then case when event_id % 2 = 0 then 'dataset_gt_disappearance_transition_v1' else 'dataset_gt_continued_absence_v1' end when event_id % 2 = 0 then 'frontier_api_teacher_v1' else 'frontier_api_teacher_hard_null_v1' end as source from events""")
+def label_sources(spark, sf_dir):
+    k = F.col("event_id")
+    made = dc.label_source(F.when(k % 3 == 0, "absent").otherwise("present"), F.when(k % 2 == 0, "a state"))
+    return table(spark, sf_dir, "events").select("event_id", made.alias("source"))
+
+
 #: Answers of an API teacher: a right one, and changes that break a rule each.
 API = """'{"decision":"update","changed_elements":["Action","pose","action"],"memory_update":"a man rides a red bike","confidence":0.9,"evidence_sufficiency":"sufficient","significant_change":true,"identity_consistent":true,"standalone_complete":true,"evidence":"Image 3 shows a bike"}'"""
 KEEP = f"""replace(replace(replace({API}, '"update"', '"keep"'), '["Action","pose","action"]', '[]'), '"significant_change":true', '"significant_change":false')"""

@@ -9,6 +9,7 @@ from reelmill.functions import protocol as pr
 from reelmill.functions.hashing import below_share, hash_byte, order_key, stable_rank
 from reelmill.operators import audit, mixture, packing, replay
 from reelmill.operators import labels as lb
+from reelmill.operators.backend import rewarded
 from reelmill.operators.evaluation import KEY, iou
 from reelmill.operators.timeline import absent_phase, completeness, last_trusted, tracking_event
 from reelmill.plans.registry import query, r9
@@ -40,18 +41,19 @@ def canonical_records(spark, sf_dir):
 
 
 #: Answers of every kind, made from a frame's numbers; both engines read the text.
-RAW = """case event_id % 13 when 0 then concat('{"target_status":"present","bbox_2d":[', event_id % 400, ',', event_id % 300, ',', event_id % 400 + 100, ',', event_id % 300 + 50, '],"memory_update":null}')
+RAW = """case event_id % 15 when 0 then concat('{"target_status":"present","bbox_2d":[', event_id % 400, ',', event_id % 300, ',', event_id % 400 + 100, ',', event_id % 300 + 50, '],"memory_update":null}')
   when 1 then '{"target_status":"absent","bbox_2d":null,"memory_update":"gone behind a wall"}' when 2 then '{"target_status":"absent","bbox_2d":[1,2,3,4],"memory_update":null}'
   when 3 then '{"target_status":"present","bbox_2d":null,"memory_update":null}' when 4 then '{"target_status":"present","bbox_2d":[1,2,3,4],"memory_update":" ","extra":1}'
   when 5 then '{"target_status":"present","bbox_2d":[10,20,30,2000]}' when 6 then 'Here: {"target_status":"absent","bbox_2d":null}' when 7 then '{"target_status":"unsure","bbox_2d":null}'
   when 8 then '{"target_status":"present","bbox_2d":[0,0,1000,1000],"memory_update":7}' when 9 then '{"target_status":"absent"}'
+  when 13 then '{"target_status":"absent","bbox_2d":null},"end"]' when 14 then '{"target_status":"absent","bbox_2d":null},"end"] and more'
   when 10 then '{"target_status":"absent","bbox_2d":null} {"more":1}' when 11 then '{"target_status":"absent","bbox_2d":null}x}' else concat('```json', chr(10), '{"target_status":"absent","bbox_2d":null}', chr(10), '```') end"""
 
 
-@query("""with k as (select event_id, event_id % 13 as k from events) select event_id, case when k in (0, 8) then 'present' when k in (1, 12) then 'absent' end as presence,
+@query("""with k as (select event_id, event_id % 15 as k from events) select event_id, case when k in (0, 8) then 'present' when k in (1, 12) then 'absent' end as presence,
   case when k in (0, 8) then 'same' when k in (1, 12) then 'not_applicable' end as identity, case when k = 1 then 'gone behind a wall' end as memory, case when k = 8 then 'memory_not_text' when k = 12 then 'memory_missing' end as memory_problem,
   case when k = 0 then round_even((event_id % 400) * 640.0::double / 1000, 2) when k = 8 then 0.0::double end as x, case when k = 0 then round_even((event_id % 400 + 100) * 640.0::double / 1000 - (event_id % 400) * 640.0::double / 1000, 2) when k = 8 then 640.0::double end as w,
-  case k when 2 then 'absent_with_box' when 3 then 'present_without_box' when 4 then 'unknown_key' when 5 then 'bad_box' when 6 then 'not_one_json_object' when 10 then 'not_one_json_object' when 11 then 'not_one_json_object' when 7 then 'bad_status' when 9 then 'core_key_missing' end as reason from k""")
+  case k when 2 then 'absent_with_box' when 3 then 'present_without_box' when 4 then 'unknown_key' when 5 then 'bad_box' when 6 then 'not_one_json_object' when 10 then 'not_one_json_object' when 13 then 'not_one_json_object' when 14 then 'not_one_json_object' when 11 then 'not_one_json_object' when 7 then 'bad_status' when 9 then 'core_key_missing' end as reason from k""")
 def tracking_outputs(spark, sf_dir):
     made = pr.with_tracking_output(table(spark, sf_dir, "events"), F.expr(RAW), F.lit(640.0), F.lit(480.0), "o")
     return made.select("event_id", "o.presence", "o.identity", "o.memory", "o.memory_problem", F.col("o.box.x").alias("x"), F.col("o.box.w").alias("w"), "o.reason")
@@ -69,10 +71,10 @@ def decision_engine(spark, sf_dir):
     return frames(spark, sf_dir).select(*KEY, "frame_id", replay.decision_presence(F.col("execution_status"), F.col("pred_presence")).alias("decision"))
 
 
-@query("""select doc_id, case when doc_id % 4 = 0 then false when doc_id % 4 = 1 then true else doc_id % 3 = 0 end as unsafe from documents""")
+@query("""select doc_id, case when doc_id % 5 in (0, 2) then false when doc_id % 5 = 1 then true else doc_id % 3 = 0 end as unsafe from documents""")
 def init_language_scope(spark, sf_dir):
-    k = F.col("doc_id") % 4
-    scope = F.when(k == 0, " First_Action_Description").when(k == 1, "full_video_story").when(k == 2, "other")
+    k = F.col("doc_id") % 5
+    scope = F.when(k == 0, " First_Action_Description").when(k == 1, "full_video_story").when(k == 2, "Initial_Target ").when(k == 3, "class_name")
     return table(spark, sf_dir, "documents").select("doc_id", pr.is_unsafe_scope(scope, F.when(F.col("doc_id") % 3 == 0, "MGIT").otherwise("lasot")).alias("unsafe"))
 
 
@@ -266,16 +268,32 @@ def long_conversations(spark, sf_dir):
     return mixture.duplicates(table(spark, sf_dir, "conversations"), ("conv_id",)).where("n > 3").select("conv_id")
 
 
-@query(f"""{FR} select dataset, sequence, frame_id, case when pred_presence in ('present', 'absent') and (pred_presence = 'present') = (px is not null) and frame_id % 4 <> 1 then 1.0 else 0.0 end::double as format,
+#: The four rewards of each frame.
+REWARDS = f"""{FR} select dataset, sequence, frame_id, case when pred_presence in ('present', 'absent') and (pred_presence = 'present') = (px is not null) and frame_id % 4 <> 1 then 1.0 else 0.0 end::double as format,
   case when pred_presence = gt_presence then 1.0 else 0.0 end::double as presence,
   round(case when gt_presence = 'absent' then case when pred_presence = 'absent' and px is null then 1.0 else 0.0 end when pred_presence = 'present' and px is not null then
     greatest(0, least(px + pw, gx + gw) - greatest(px, gx)) * greatest(0, least(py + ph, gy + gh) - greatest(py, gy))
     / (pw * ph + gw * gh - greatest(0, least(px + pw, gx + gw) - greatest(px, gx)) * greatest(0, least(py + ph, gy + gh) - greatest(py, gy))) else 0.0 end::double, 9) as bbox,
-  case when pred_presence in ('present', 'absent') and (pred_presence = 'present') = (px is not null) then 1.0 else 0.0 end::double as consistency from frames""")
+  case when pred_presence in ('present', 'absent') and (pred_presence = 'present') = (px is not null) then 1.0 else 0.0 end::double as consistency from frames"""
+
+
+@query(REWARDS)
 def tracking_rewards(spark, sf_dir):
+    made = pr.with_rewards(frames(spark, sf_dir), *_rewarded_answers(), "r")
+    return made.select(*KEY, "frame_id", "r.format", "r.presence", r9(F.col("r.bbox")).alias("bbox"), "r.consistency")
+
+
+def _rewarded_answers():
+    """Completions and references of frames as JSON; every fourth completion is fenced."""
     corners = lambda b: F.when(b.isNotNull(), F.array(b["x"], b["y"], b["x"] + b["w"], b["y"] + b["h"]))
     answer = lambda p, b: F.to_json(F.struct(p.alias("target_status"), corners(b).alias("bbox_2d")), {"ignoreNullFields": "false"})
     own = answer(F.col("pred_presence"), F.col("pred"))
     own = F.when(F.col("frame_id") % 4 == 1, F.concat(F.lit("```json\n"), own, F.lit("\n```"))).otherwise(own)
-    made = pr.with_rewards(frames(spark, sf_dir), own, answer(F.col("gt_presence"), F.col("gt")), "r")
-    return made.select(*KEY, "frame_id", "r.format", "r.presence", r9(F.col("r.bbox")).alias("bbox"), "r.consistency")
+    return own, answer(F.col("gt_presence"), F.col("gt"))
+
+
+@query(f"select dataset, sequence, frame_id, presence as reward_presence, bbox as reward_bbox, round(0.5::double * presence + 2.0::double * bbox, 8) as reward from ({REWARDS})")
+def reward_scalars(spark, sf_dir):
+    """Two rewards by their names, and their weighted sum."""
+    made = rewarded(frames(spark, sf_dir), *_rewarded_answers(), ("presence", "bbox"), (0.5, 2.0))
+    return made.select(*KEY, "frame_id", "reward_presence", r9(F.col("reward_bbox")).alias("reward_bbox"), F.round("reward", 8).alias("reward"))

@@ -6,11 +6,12 @@ paths. Explicit null and absence differ, and so paths are tested by an untyped g
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions import normalise
 from reelmill.functions.boxes import is_valid
+from reelmill.functions.text import one_object
 
 #: The paths of each canonical column, the first that holds something counts.
 SEQUENCE = ("sequence", "sequence_name", "video", "video_name")
@@ -124,20 +125,63 @@ def _identity(raw: Column) -> Column:
     return F.when(F.schema_of_variant(raw) == "BOOLEAN", same).otherwise(normalise.identity(F.try_variant_get(raw, "$", "string")))
 
 
-def read_json_lines(spark, path: str) -> DataFrame:
+#: Rows of the table of file blocks that are broadcast at most; beyond, lines are joined with it by shuffle.
+MOST_BLOCKS = 1 << 17
+
+
+def result_files(spark, path: str, pattern: str = "*_frames.jsonl") -> str:
+    """The file name pattern to read below path: the given one, or all JSON lines where the usual one has no file.
+
+    Only names are listed. An error if there is none, or if path is a file of another kind.
+    """
+    def any_file(glob: str) -> bool:
+        found = spark.read.format("binaryFile").option("pathGlobFilter", glob).option("recursiveFileLookup", "true").load(path)
+        return bool(found.select("path").limit(1).collect())
+
+    name = path.rstrip("/").rsplit("/", 1)[-1]
+    if any_file(name) and not path.endswith("/"):  # path is a file
+        if not name.lower().endswith(".jsonl"):
+            raise ValueError(f"frames are read from JSON lines, not from {path}")
+        return name
+    for glob in (pattern, "*.jsonl") if pattern == "*_frames.jsonl" else (pattern,):
+        if any_file(glob):
+            return glob
+    raise FileNotFoundError(f"no JSON lines below {path} (pattern {pattern})")
+
+
+def numbered_lines(spark, path: str, glob: str = "*.jsonl") -> DataFrame:
+    """(text, file, line_no, row_no) of the lines below path that aren't blank.
+
+    line_no counts all lines of a file from 1, row_no those that aren't blank. Files are
+    read in blocks of any size: a task numbers the lines of its blocks, and how many lines
+    come before a block is a sum over the blocks of its file, a small table.
+    """
+    lines = spark.read.text(path, pathGlobFilter=glob, recursiveFileLookup=True)
+    lines = lines.select(F.col("value").alias("text"), F.col("_metadata.file_path").alias("file"), F.col("_metadata.file_block_start").alias("block"))
+    # rows of a block are neighbours in their task: its numbers say which line of the block a row is
+    lines = lines.withColumn("__line", F.monotonically_increasing_id())
+    full = lines.where(F.col("text").rlike(r"\S")).withColumn("__row", F.monotonically_increasing_id())
+    blocks = lines.groupBy("file", "block").agg(F.min("__line").alias("first_line"), F.count(F.lit(1)).alias("n_lines"))
+    rows = full.groupBy("file", "block").agg(F.min("__row").alias("first_row"), F.count(F.lit(1)).alias("n_rows"))
+    order = Window.partitionBy("file").orderBy("block").rowsBetween(Window.unboundedPreceding, -1)
+    before = lambda c: F.coalesce(F.sum(c).over(order), F.lit(0))
+    blocks = blocks.join(rows, ["file", "block"], "left").withColumns({"lines_before": before("n_lines"), "rows_before": before("n_rows")}).where("n_rows > 0")
+    blocks = blocks.drop("n_lines", "n_rows")
+    if blocks.count() <= MOST_BLOCKS:
+        blocks = F.broadcast(blocks)
+    made = full.join(blocks, ["file", "block"])
+    return made.select("text", "file", (F.col("lines_before") + F.col("__line") - F.col("first_line") + 1).cast("int").alias("line_no"), (F.col("rows_before") + F.col("__row") - F.col("first_row") + 1).cast("int").alias("row_no"))
+
+
+def read_json_lines(spark, path: str, pattern: str = "*_frames.jsonl") -> DataFrame:
     """(record variant, file, line_no, row_no, text) of JSON lines below a path; blank lines are skipped.
 
-    record is null where a line is no JSON object: bad_lines() lists those. line_no counts
-    all lines of a file from 1, row_no those that aren't blank; each file is read whole,
-    as files hold a sequence each.
+    Files named like pattern are read, or all JSON lines if none is; no file is an error.
+    record is null where a line isn't one JSON object and nothing else: bad_lines() lists
+    those.
     """
-    files = spark.read.text(path, wholetext=True, pathGlobFilter="*.jsonl", recursiveFileLookup=True).select(F.col("value"), F.col("_metadata.file_path").alias("file"))
-    numbered = F.transform(F.split("value", "\r?\n"), lambda x, i: F.struct((i + 1).alias("line_no"), x.alias("text")))
-    full = F.filter(numbered, lambda x: x["text"].rlike(r"\S"))
-    lines = files.select("file", F.posexplode(full).alias("at", "line")).select("file", "line.line_no", (F.col("at") + 1).alias("row_no"), "line.text")
-    parsed = F.try_parse_json("text")
-    is_object = F.col("text").rlike(r"^\s*\{[\s\S]*\}\s*$") & F.schema_of_variant(parsed).startswith("OBJECT")
-    return lines.select(F.when(is_object, parsed).alias("record"), "file", "line_no", "row_no", "text")
+    lines = numbered_lines(spark, path, result_files(spark, path, pattern))
+    return lines.select(one_object(F.col("text")).alias("record"), "file", "line_no", "row_no", "text")
 
 
 def bad_lines(lines: DataFrame) -> DataFrame:

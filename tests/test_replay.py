@@ -53,7 +53,6 @@ def test_packing(spark):
     rows = [("g", f"k{i}", s) for i, s in enumerate([5, 4, 3, 20, 1, 9])]
     got = packing.shard_packing(spark.createDataFrame(rows, "g string, k string, size int"), "k", ("g",), "size", 10)
     assert [r.shard for r in got.orderBy("k").collect()] == [0, 0, 1, 2, 3, 3]
-    assert packing.longest_first([("a", 5), ("b", 4), ("c", 3), ("d", 3)], 2) == {"a": 0, "b": 1, "c": 1, "d": 0}
 
 
 def test_rates_of_a_stream(spark, sf_dir, tmp_path):

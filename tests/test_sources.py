@@ -72,7 +72,7 @@ def test_segments_drop_with_reason(spark, tmp_path):
     raw = scan.action_segments(scan.whole_files(spark, str(tmp_path), "*.json"))
     got = {r.name: (r.sequence, r.start_frame, r.text, r.drop_reason) for r in clean_segments(raw).collect()}
     assert got["a1"] == ("clip", 0, "Walks on", None)
-    assert [got[k][3] for k in ("a2", "a3", "a4")] == ["reversed_interval", "missing_frame", "empty_text"]
+    assert [got[k][3] for k in ("a2", "a3", "a4")] == ["end_lt_start(5>2)", "missing_frame_bounds", "empty_description"]
 
 
 def test_sinks(spark, tmp_path):
