@@ -29,8 +29,8 @@ from reelmill.llm.components import connected_components
 from reelmill.llm.shingles import shingle_sets
 from reelmill.llm.simhash import half_variants, majority
 
-#: Counters of shingles, and rows that they are summed in; members of a block of pairs.
-SLOTS, PARTS, BLOCK = 1 << 20, 64, 256
+#: Counters of shingles, and rows that they are summed in; strangers of a block of pairs, and members that they are compared with.
+SLOTS, PARTS, BLOCK, CHUNK = 1 << 20, 64, 256, 4096
 #: Bits that linked fingerprints may differ in: two in one half at most, by the halves' balls.
 RADIUS = 5
 #: Variants that a fingerprint emits: each half, and each half with one bit changed.
@@ -158,19 +158,32 @@ def _links(met: DataFrame, ids: DataFrame, docs: DataFrame, similarity: float) -
 
 
 def _rest(met: DataFrame, seen: DataFrame, roots: DataFrame, similarity: float) -> DataFrame:
-    """The pairs (fp, hub) that meet, may be alike, and neither share a component of roots nor were seen."""
-    group = Window.partitionBy("shingle")
-    rooted = met.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp"))
-    mixed = rooted.withColumn("lo", F.min("root").over(group)).withColumn("hi", F.max("root").over(group)).where("lo < hi")
-    mixed = mixed.withColumn("blocks", F.ceil(F.col("size") / BLOCK).cast("int")).withColumn("block", F.pmod(F.xxhash64("fp"), F.col("blocks")).cast("int"))
-    mixed = checkpoint(mixed)
-    rows = mixed.agg(F.sum("blocks")).first()[0] or 0
-    dealt = mixed.repartition(rows // TASK_ROWS + 1, "fp", "shingle").withColumn("other", F.explode(F.sequence(F.lit(0), F.col("blocks") - 1)))
-    dealt = dealt.select("fp", "n", "pos", "root", "shingle", "block", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"))
-    meet = " and ".join(f"x.{c} = y.{c}" for c in ("shingle", "i", "j")) + " and x.fp < y.fp and x.root <> y.root and (x.block <> y.block or x.i = x.j)"
-    pairs = dealt.alias("x").join(dealt.alias("y"), F.expr(meet) & _may_be("x", "y", similarity))
+    """The pairs (fp, hub) that meet, may be alike, and neither share a component of roots nor were seen.
+
+    Of a shingle's members most share one root, as a rule. Only those outside of the
+    largest root are compared with the others: a stranger in a group of a million copies
+    makes a million rows, not their square. Strangers lie in blocks of BLOCK, all members
+    in blocks of CHUNK, and each pair of blocks is a key of the join.
+    """
+    rooted = met.join(roots, "fp", "left").withColumn("root", F.coalesce("root", "fp")).select("fp", "n", "pos", "root", "shingle")
+    rooted = checkpoint(rooted)
+    by_root = rooted.groupBy("shingle", "root").agg(F.count(F.lit(1)).alias("n_root"))
+    groups = by_root.groupBy("shingle").agg(F.max(F.struct("n_root", "root")).alias("most"), F.sum("n_root").alias("size"), F.count(F.lit(1)).alias("n_roots")).where("n_roots > 1")
+    ceil_ = lambda c, by: F.ceil(c / by).cast("int")
+    groups = groups.select("shingle", F.col("most.root").alias("main"), ceil_(F.col("size") - F.col("most.n_root"), BLOCK).alias("blocks"), ceil_(F.col("size"), CHUNK).alias("chunks"))
+    mixed = checkpoint(rooted.join(groups, "shingle").withColumn("strange", F.col("root") != F.col("main")))
+    strange, made = F.col("strange"), F.when(F.col("strange"), F.col("chunks")).otherwise(0) + F.col("blocks")
+    parts = (mixed.agg(F.sum(made)).first()[0] or 0) // TASK_ROWS + 1
+    deal = lambda salt, of: F.pmod(F.xxhash64("fp", F.lit(salt)), F.col(of)).cast("int")
+    every = lambda of: F.explode(F.sequence(F.lit(0), F.col(of) - 1))
+    own = ["fp", "n", "pos", "root", "shingle", "strange"]
+    dealt = mixed.repartition(parts, "fp", "shingle")
+    x = dealt.where(strange).select(*own, deal(1, "blocks").alias("i"), every("chunks").alias("j"))
+    y = dealt.select(*own, every("blocks").alias("i"), deal(2, "chunks").alias("j"))
+    meet = " and ".join(f"x.{c} = y.{c}" for c in ("shingle", "i", "j")) + " and x.root <> y.root and (not y.strange or x.fp < y.fp)"
+    pairs = x.alias("x").join(y.alias("y"), F.expr(meet) & _may_be("x", "y", similarity))
     done = seen.select(F.least("fp", "hub").alias("fp"), F.greatest("fp", "hub").alias("hub"))
-    return pairs.select("x.fp", F.col("y.fp").alias("hub")).distinct().join(done, ["fp", "hub"], "left_anti")
+    return pairs.select(F.least("x.fp", "y.fp").alias("fp"), F.greatest("x.fp", "y.fp").alias("hub")).distinct().join(done, ["fp", "hub"], "left_anti")
 
 
 def _ends(pairs: DataFrame) -> DataFrame:

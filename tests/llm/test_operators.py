@@ -528,3 +528,15 @@ def test_words_of_a_batch_are_cut_like_those_of_each_text():
     assert [s.tolist() for s in sets] == [shingles.shingle_set(t).tolist() for t in texts[2:]]
     words = [t.encode().lower().split() for t in texts[2:]]
     assert [len(s) for s in sets] == [len({tuple(w[i : i + 5]) for i in range(max(1, len(w) - 4))}) if w else 0 for w in words]
+
+
+def test_strangers_are_compared_with_all_members_and_copies_among_themselves_are_not(spark, monkeypatch):
+    monkeypatch.setattr(nearcopies, "BLOCK", 2)
+    monkeypatch.setattr(nearcopies, "CHUNK", 3)
+    members = [(fp, 10, 0, 1 if fp <= 20 else fp) for fp in range(1, 26)]  # twenty of one root, five strangers
+    met = spark.createDataFrame([(fp, n, pos, 7, 25) for fp, n, pos, _ in members], "fp long, n long, pos int, shingle long, size long")
+    roots = spark.createDataFrame([(fp, root) for fp, _, _, root in members if root == 1], "fp long, root long")
+    seen = spark.createDataFrame([(22, 21, False), (3, 24, False)], "fp long, hub long, alike boolean")
+    got = [(r.fp, r.hub) for r in nearcopies._rest(met, seen, roots, 0.8).collect()]
+    want = {(a, b) for a in range(1, 26) for b in range(21, 26) if a < b} - {(21, 22), (3, 24)}
+    assert len(got) == len(set(got)) and set(got) == want
