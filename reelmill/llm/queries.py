@@ -11,12 +11,14 @@ from reelmill.session import table
 
 
 def op1_ann(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The twenty nearest of every twentieth vector, by inner product."""
     from reelmill.llm.ann import nearest
 
     return nearest(table(spark, sf_dir, "embeddings"), k=20, every=20)
 
 
 def op2_simhash(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each document's fingerprint, and the least id that links of two bits or fewer reach."""
     from reelmill.llm.simhash import near_duplicates
 
     return near_duplicates(table(spark, sf_dir, "documents"))
@@ -27,6 +29,7 @@ PII_KEY = "public-test-key"
 
 
 def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Whole texts with pseudonyms, and how many of each kind were replaced."""
     from reelmill.llm.pii import KINDS, pseudonymised
 
     made = pseudonymised(table(spark, sf_dir, "documents").select("doc_id", "text"), PII_KEY)
@@ -35,6 +38,7 @@ def op3_pii(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many secrets of each base kind a text holds, a digest of their places, and the places of all kinds."""
     from reelmill.llm.secret_scan import BASE, secrets
 
     found = secrets(table(spark, sf_dir, "documents"))
@@ -49,6 +53,7 @@ def op4_secrets(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op5_sharding(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Sixteen shards of near equal bytes, and each document's place in its own."""
     from reelmill.llm.sharding import shard_records
 
     made = shard_records(table(spark, sf_dir, "documents"), 16)
@@ -72,6 +77,7 @@ def mix_settings():
 
 
 def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """What the mix takes of all documents, a row for each time."""
     from reelmill.llm.mixing import mixed
 
     docs = table(spark, sf_dir, "documents").select("doc_id", "text", "lang", "source")
@@ -79,18 +85,21 @@ def op6_mixing(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op7_topk(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The five best of every fiftieth vector, by whole numbers."""
     from reelmill.llm.topk import exact_top_k
 
     return exact_top_k(table(spark, sf_dir, "embeddings"), k=5, every=50)
 
 
 def op8_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Digests of each text's ids and of what they decode to."""
     from reelmill.llm.bpe import encode
 
     return encode(table(spark, sf_dir, "documents"), with_ids=False)
 
 
 def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """How many lines each text has and loses, and a digest of those that stay."""
     from reelmill.llm.linededup import dedup_lines
 
     made = dedup_lines(table(spark, sf_dir, "documents").select("doc_id", "text"))
@@ -98,6 +107,7 @@ def op9_line_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_toxicity(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """Each text's score by a model of the labels that aren't held out."""
     from reelmill.llm.toxicity import toxicity
 
     return toxicity(table(spark, sf_dir, "documents"), table(spark, sf_dir, "labels"))

@@ -114,7 +114,9 @@ def fit(docs: DataFrame, labels: DataFrame, s: ToxicitySettings = ToxicitySettin
     label gives a model without weights, whose scores are all 0.5.
     """
     known = labels.where("doc_id is not null and toxic is not null").where(~held_out(F.col("doc_id")))
-    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic"))
+    # labels without a document go first: what is broadcast below is a share of the labels that meet one
+    ids = docs.select(F.col("doc_id").cast("long").alias("doc_id")).where("doc_id is not null")
+    known = known.groupBy("doc_id").agg(F.max("toxic").cast("int").alias("toxic")).join(ids, "doc_id", "left_semi")
     # rows that repeat an id count, too; no text leaves its task here
     sizes = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.octet_length("text").alias("bytes")).join(known, "doc_id")
     rows, size = sizes.agg(F.count(F.lit(1)), F.coalesce(F.sum("bytes"), F.lit(0))).first()
