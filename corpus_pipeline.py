@@ -16,7 +16,7 @@ from reelmill.llm.toxicity import without_toxic
 from reelmill.session import table
 
 #: English twice the other languages, at nine tenths of the tokens; no document is taken twice.
-MIX = Mix(weights=tuple((f"d{d}/en", 2.0) for d in range(4)), budget=0.9, epochs=1, seed="pipeline-1")
+MIX = Mix(weights=tuple((f"d{d}/en", 2.0) for d in range(4)), budget=0.9, epochs=1, seed="pipeline-1", levels=("__domain", "lang", "source"))
 
 
 def toxicity(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
@@ -50,7 +50,7 @@ def mixing(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
 
     Null values are a child of their own; rows that share an id, or have none, are taken together within their leaf.
     """
-    return take_mix(docs.withColumn("domain", domain_of(F.col("source"))), MIX).select(*docs.columns)
+    return take_mix(docs.withColumn("__domain", domain_of(F.col("source"))), MIX).select(*docs.columns)
 
 
 def bpe(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
