@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 
@@ -25,3 +25,20 @@ def below_share(rank: Column, share: float) -> Column:
 def hash_byte(key: Column, i: int) -> Column:
     """The i-th byte of an order key."""
     return F.conv(F.substring(key, 2 * i + 1, 2), 16, 10).cast("int")
+
+
+def numbered(rows: DataFrame, key: tuple[str, ...], rank: Column, digits: int = 3, out: str = "nth") -> DataFrame:
+    """rows with their place, from 1, in the order of rank (a text) within their key.
+
+    Rows are first counted by key and the first digits of rank: the places before such a
+    bucket are a sum over a small table, and only a bucket's rows are put in order by one
+    task, however many rows a key has.
+    """
+    own = rows.columns
+    made = rows.withColumns({"__rank": rank, "__bucket": F.left(rank, F.lit(digits))})
+    sizes = made.groupBy(*key, "__bucket").agg(F.count(F.lit(1)).alias("__n"))
+    by = Window.partitionBy(*key).orderBy("__bucket") if key else Window.orderBy("__bucket")
+    sizes = sizes.withColumn("__before", F.sum("__n").over(by) - F.col("__n")).drop("__n")
+    joined = made.alias("r").join(sizes.alias("s"), [F.col(f"r.{c}").eqNullSafe(F.col(f"s.{c}")) for c in (*key, "__bucket")])
+    within = F.row_number().over(Window.partitionBy(*[F.col(f"r.{c}") for c in (*key, "__bucket")]).orderBy("__rank"))
+    return joined.withColumn(out, within + F.col("__before")).select(*[F.col(f"r.{c}") for c in own], out)

@@ -69,14 +69,19 @@ def is_observation(x: Column) -> Column:
 
 def tokens(x: Column) -> Column:
     """The different runs of three ASCII letters and digits or more, lower-cased."""
-    return F.array_distinct(F.filter(F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]+"), F.lit(0)), lambda t: F.length(t) > 2))
+    return F.array_distinct(F.regexp_extract_all(F.lower(x), F.lit("[a-z0-9]{3,}"), F.lit(0)))
+
+
+def overlap(a: Column, b: Column) -> Column:
+    """Jaccard overlap of two arrays of different items; 1 if neither has any, null counting as none."""
+    a, b = F.coalesce(a, F.array().cast("array<string>")), F.coalesce(b, F.array().cast("array<string>"))
+    both, all_ = F.size(F.array_intersect(a, b)), F.size(a) + F.size(b)
+    return F.when(all_ == 0, F.lit(1.0)).otherwise(both / (all_ - both))
 
 
 def agreement(a: Column, b: Column) -> Column:
     """Jaccard overlap of two texts' tokens; 1 if neither has any."""
-    ta, tb = tokens(F.coalesce(a, F.lit(""))), tokens(F.coalesce(b, F.lit("")))
-    both, all_ = F.size(F.array_intersect(ta, tb)), F.size(F.array_union(ta, tb))
-    return F.when(all_ == 0, F.lit(1.0)).otherwise(both / all_)
+    return overlap(tokens(F.coalesce(a, F.lit(""))), tokens(F.coalesce(b, F.lit(""))))
 
 
 def _plain(x: Column) -> Column:

@@ -238,3 +238,14 @@ def mixed_families(records: DataFrame, family: str = "family") -> DataFrame:
     seen = records.groupBy(family).agg(F.count(F.lit(1)).alias("n"))
     # a row a family
     return seen.withColumn("__all", F.count(F.lit(1)).over(Window.partitionBy(F.lit(0)))).where("__all > 1").drop("__all")
+
+
+def schema_seeded(records: DataFrame, position: str, has: Column) -> DataFrame:
+    """records with position changed so that the first one that has an optional field comes first, and the others after it as before.
+
+    For readers that take a column's type from the first rows; Spark's own schemas need no such order.
+    """
+    first = records.where(has).agg(F.min(position).alias("__first"))
+    at, seed = F.col(position), F.col("__first")
+    made = F.when(seed.isNull() | (at > seed), at).when(at == seed, F.lit(0)).otherwise(at + 1)
+    return records.join(F.broadcast(first), F.lit(True), "left").withColumn(position, made.cast(records.schema[position].dataType)).drop("__first")

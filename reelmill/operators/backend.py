@@ -10,6 +10,9 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import types as T
 
+from reelmill.operators.evaluation import KEY
+from reelmill.operators.fold import folded
+
 
 class Backend(Protocol):
     """What a model must do; generate gives an answer for each request, in their order."""
@@ -95,6 +98,64 @@ def answered(rows: DataFrame, name: str, settings: dict | None = None, batch: in
     return rows.mapInArrow(run, out)
 
 
+class Tracker(Protocol):
+    """One sequence's tracker. initialize gets the first frame, track every other one in order; both may return None."""
+
+    def initialize(self, info: dict) -> dict | None: ...
+
+    def track(self, info: dict) -> dict | None: ...
+
+
+_TRACKERS: dict[str, Callable[[dict], Tracker]] = {}
+TRACKED = "box array<double>, status string, error_type string, error_message string, seconds double"
+
+
+def register_tracker(name: str, factory: Callable[[dict], Tracker]) -> None:
+    """Makes factory(settings) the tracker of that name, one for each sequence; a name stands for one factory."""
+    if not name or name in _TRACKERS:
+        raise ValueError(f"a tracker needs a name of its own, not {name!r}")
+    _TRACKERS[name] = factory
+
+
+def available_trackers() -> tuple[str, ...]:
+    return tuple(sorted(_TRACKERS))
+
+
+def tracked(frames: DataFrame, name: str, settings: dict | None = None, columns: tuple[str, ...] = ()) -> DataFrame:
+    """(dataset, sequence, frame_id, box, status, error_type, error_message, seconds): every frame of every sequence run through a tracker in order.
+
+    A frame is a mapping of frame_id, observed, columns, and previous, what the tracker
+    returned last; the first one also has init_box. No other truth is ever shown. What is
+    returned has box, four numbers, and may have status; without a box, an unobserved frame
+    is skipped. initialize may return None, whose box is then init_box. A frame that fails
+    is a row with internal_error, and the sequence goes on.
+    """
+    if name not in _TRACKERS:
+        raise ValueError(f"unknown tracker {name!r}; there are {list(available_trackers())}")
+    factory, own = _TRACKERS[name], dict(settings or {})
+
+    def step(s: dict, row: dict) -> dict:
+        info = {c: row[c] for c in ("frame_id", "observed", *columns)} | {"previous": s["previous"]}
+        began = time.monotonic()
+        try:
+            if s["tracker"] is None:
+                s["tracker"], first = factory(dict(own)), True
+            else:
+                first = False
+            given = s["tracker"].initialize(info | {"init_box": row["init_box"]}) if first else s["tracker"].track(info)
+            made = dict(given or {})
+            box = made.setdefault("box", row["init_box"]) if first else made.get("box")
+            box = None if box is None else [float(x) for x in box]
+            s["previous"] = made
+            status = made.get("status") or ("skipped" if box is None and not row["observed"] else "ok")
+            return {"box": box, "status": status, "error_type": None, "error_message": None, "seconds": time.monotonic() - began}
+        except Exception as error:  # a tracker may raise anything
+            return {"box": None, "status": "internal_error", "error_type": type(error).__name__, "error_message": str(error)[:MESSAGE], "seconds": time.monotonic() - began}
+
+    rows = frames.select(*KEY, "frame_id", "observed", "init_box", *columns)
+    return folded(rows, KEY, ("frame_id",), lambda: {"tracker": None, "previous": {}}, step, TRACKED)
+
+
 #: A reward turns a frame with the struct column that functions.protocol.with_rewards adds into a number.
 _REWARDS: dict[str, Callable[[Column], Column]] = {name: lambda r, n=name: r[n] for name in ("format", "presence", "bbox", "consistency")}
 

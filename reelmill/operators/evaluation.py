@@ -60,13 +60,13 @@ def with_main_masks(frames: DataFrame) -> DataFrame:
 def main_frames(frames: DataFrame) -> DataFrame:
     """A row for each frame and convention: scored, success, precision and norm_precision thresholds hit, and single hits."""
     first = F.first("dataset").over(ordered())  # a sequence's own dataset decides its branch
-    masked = with_main_masks(frames).withColumn("branch", first)
+    begins = F.col("frame_id") == F.min("frame_id").over(Window.partitionBy(*KEY))
+    masked = with_main_masks(frames).withColumns({"branch": first, "begins": begins})
     per = masked.withColumn("convention", F.explode(F.array(*[F.lit(c) for c in CONVENTIONS])))
     fill = (F.col("convention") == "hold_last") & F.col("non_obs") & F.col("missing")
     held = F.when(fill, F.col("carry")).otherwise(F.col("pred"))
-    begins = F.col("frame_id") == F.min("frame_id").over(Window.partitionBy(*KEY, "convention"))
     visible = F.coalesce(F.col("gt_presence") != "absent", F.lit(True))
-    per = per.withColumns({"sparse": held.isNull(), "used": F.when(begins, F.col("gt")).otherwise(held), "visible": visible})
+    per = per.withColumns({"sparse": held.isNull(), "used": F.when(F.col("begins"), F.col("gt")).otherwise(held), "visible": visible})
     ok = is_valid(F.col("gt")) & F.col("visible") & ~F.col("sparse") & F.col("used").isNotNull()
     per = per.withColumns({
         "ok": ok,

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmill.functions.hashing import order_key
+from reelmill.functions.hashing import numbered, order_key
 
 
 def group_split(rows: DataFrame, key: tuple[str, ...], val: float, test: float, seed: int, strata: tuple[str, ...] = ()) -> DataFrame:
@@ -13,14 +13,17 @@ def group_split(rows: DataFrame, key: tuple[str, ...], val: float, test: float,
 
     Each wanted split gets a key at least, if a key is left for train.
     """
-    keys = rows.select(*dict.fromkeys([*strata, *key])).distinct()
-    by = Window.partitionBy(*strata) if strata else Window.partitionBy(F.lit(0))
-    n, nth = F.count(F.lit(1)).over(by), F.row_number().over(by.orderBy(order_key(seed, *key)))
+    both = list(dict.fromkeys([*strata, *key]))
+    keys = rows.select(*both).distinct()
+    sizes = keys.groupBy(*strata).agg(F.count(F.lit(1)).alias("__size"))
+    keys = numbered(keys, strata, order_key(seed, *key), out="__nth").alias("k")
+    keys = keys.join(sizes.alias("s"), [F.col(f"k.{c}").eqNullSafe(F.col(f"s.{c}")) for c in strata] or F.lit(True)).select(*[F.col(f"k.{c}") for c in both], "__nth", "__size")
+    n, nth = F.col("__size"), F.col("__nth")
     some = lambda share: F.when(F.lit(share > 0), F.greatest(F.lit(1), F.bround(n * F.lit(share), 0).cast("int"))).otherwise(0)
     n_val = F.least(some(val), n - 1)
     n_test = F.least(some(test), n - 1 - n_val)
     split = F.when(nth <= n_val, "val").when(nth <= n_val + n_test, "test").otherwise("train")
-    return rows.join(keys.withColumn("split", split), list(dict.fromkeys([*strata, *key])))
+    return rows.join(keys.withColumn("split", split).drop("__nth", "__size"), both)
 
 
 def harmonised(canonical: DataFrame, other: DataFrame, key: tuple[str, ...]) -> DataFrame:
@@ -59,20 +62,20 @@ def resampled(rows: DataFrame, target: int, seed: int, *identity: str) -> DataFr
     return part if whole is None else whole.unionByName(part)
 
 
-def class_pairs(rows: DataFrame, key: tuple[str, ...], klass: tuple[str, ...], seed: int) -> DataFrame:
-    """(*klass, left, right): neighbours 1 and 2, 3 and 4 and so on of each class in hash order; an odd last one stays alone."""
+def class_pairs(rows: DataFrame, key: tuple[str, ...], klass: tuple[str, ...], seed: int, both: bool = False) -> DataFrame:
+    """(*klass, left, right): neighbours 1 and 2, 3 and 4 and so on of each class in hash order; an odd last one stays alone. With both, each pair also the other way round."""
     name = F.concat_ws("::", *key)
-    order = Window.partitionBy(*klass).orderBy(order_key(seed, *key))
-    numbered = rows.select(*klass, name.alias("name"), F.row_number().over(order).alias("nth"))
-    pair = numbered.withColumn("pair", F.floor((F.col("nth") - 1) / 2))
-    return pair.groupBy(*klass, "pair").agg(F.min_by("name", "nth").alias("left"), F.max_by("name", "nth").alias("right"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n", "pair")
+    placed = numbered(rows.select(*dict.fromkeys([*klass, *key]), name.alias("name")), klass, order_key(seed, *key))
+    pair = placed.withColumn("pair", F.floor((F.col("nth") - 1) / 2))
+    made = pair.groupBy(*klass, "pair").agg(F.min_by("name", "nth").alias("left"), F.max_by("name", "nth").alias("right"), F.count(F.lit(1)).alias("n")).where("n = 2").drop("n", "pair")
+    return made.unionByName(made.select(*klass, F.col("right").alias("left"), F.col("left").alias("right"))) if both else made
 
 
 def alias_dedupe(rows: DataFrame, alias: str, order: tuple[str, ...], klass: str) -> DataFrame:
     """One row of each alias, the smallest by order, and conflict where its rows name several classes."""
-    classes = F.size(F.collect_set(klass).over(Window.partitionBy(alias)))
-    nth = F.row_number().over(Window.partitionBy(alias).orderBy(*order))
-    return rows.withColumns({"conflict": classes > 1, "__n": nth}).where("__n = 1").drop("__n")
+    own = Window.partitionBy(alias)
+    several = F.coalesce(F.min(klass).over(own) != F.max(klass).over(own), F.lit(False))
+    return rows.withColumns({"conflict": several, "__n": F.row_number().over(own.orderBy(*order))}).where("__n = 1").drop("__n")
 
 
 def with_occurrence(rows: DataFrame, key: tuple[str, ...], order: tuple[str, ...]) -> DataFrame:
@@ -131,3 +134,9 @@ def state_case(column: Column, cases: dict[str, str]) -> Column:
     for value, name in cases.items():
         made = F.when(column == value, name).otherwise(made)
     return made
+
+
+def zipped(left: DataFrame, right: DataFrame, key: tuple[str, ...], left_order: str, right_order: str) -> DataFrame:
+    """Rows of both tables side by side by their place within their key; places that only one table has are left out. No list is made of a key."""
+    placed = lambda d, order: d.withColumn("__place", F.row_number().over(Window.partitionBy(*key).orderBy(order)))
+    return placed(left, left_order).join(placed(right, right_order), [*key, "__place"]).drop("__place")

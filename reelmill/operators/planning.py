@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmill.functions.hashing import order_key, stable_rank
+from reelmill.functions.hashing import numbered, order_key, stable_rank
 from reelmill.operators.evaluation import KEY
 from reelmill.operators.timeline import anchors
 
@@ -58,8 +58,9 @@ def absent_quota(pool: DataFrame, ratio: float, seed: int) -> DataFrame:
         "rank": order_key(seed, F.concat_ws("::", "dataset", "sequence")),
     })
     slots = targets.where("max_absent > min_absent").withColumn("slot", F.explode(F.sequence(F.lit(1).cast("long"), F.col("max_absent") - F.col("min_absent"))))
-    order = Window.partitionBy("dataset").orderBy("slot", "rank")
-    given = slots.withColumn("nth", F.row_number().over(order)).where(F.col("nth") <= F.col("goal") - F.col("must"))
+    # slots in ten digits before the hash: a bucket is a slot and a few digits of the hash
+    turn = F.concat(F.lpad(F.col("slot").cast("string"), 10, "0"), F.col("rank"))
+    given = numbered(slots, ("dataset",), turn, digits=12).where(F.col("nth") <= F.col("goal") - F.col("must"))
     extra = given.groupBy(*KEY).agg(F.count(F.lit(1)).alias("extra"))
     return pool.join(extra, list(KEY), "left").withColumn("absent", F.col("min_absent") + F.coalesce("extra", F.lit(0))).drop("extra")
 
@@ -145,11 +146,45 @@ def diverse_cap(rows: DataFrame, most: int, key: tuple[str, ...], order: str, se
     return ranked.orderBy("__round", "__rank").limit(most).drop("__round", "__rank")
 
 
-def top_per_dataset(sequences: DataFrame, n: int, seed: int, least_frames: int = 1) -> DataFrame:
-    """The first n sequences of each dataset in hash order, of those with enough frames."""
+def top_per_dataset(sequences: DataFrame, n: int, seed: int, least_frames: int = 1, limits: dict[str, int] | None = None) -> DataFrame:
+    """The first n sequences of each dataset in hash order, of those with enough frames; limits holds other n for single datasets.
+
+    A larger limit gives a superset, so that what was made of the sequences chosen before stays of use.
+    """
     enough = sequences.where(F.col("n_frames") >= least_frames)
-    order = Window.partitionBy("dataset").orderBy(order_key(seed, "dataset", "sequence"))
-    return enough.withColumn("place", F.row_number().over(order)).where(F.col("place") <= n)
+    most = F.lit(n)
+    for dataset, limit in (limits or {}).items():
+        most = F.when(F.col("dataset") == dataset, F.lit(limit)).otherwise(most)
+    return numbered(enough, ("dataset",), order_key(seed, "dataset", "sequence"), out="place").where(F.col("place") <= most)
+
+
+def candidates(frames: DataFrame, stride: int = 1, keyframes: DataFrame | None = None, planned: DataFrame | None = None, present_only: bool = False) -> DataFrame:
+    """(dataset, sequence, frame_id, presence, skipped) of the frames that may become cases; skipped says why one can't, null if it can.
+
+    frames has visible (null where no flag says) and gt. Frame 0 is the anchor and no
+    candidate. The frames are those of planned (dataset, sequence, frame_id), if it is given;
+    else every stride-th of keyframes; else every stride-th of all. Planned frames outside
+    of their sequence are listed as out_of_range. skipped is unknown_presence,
+    invalid_bbox (present without a valid box), not_present, or out_of_range.
+    """
+    from reelmill.functions.boxes import is_valid
+    from reelmill.operators.timeline import presence_of_truth
+
+    own = frames.select(*KEY, "frame_id", presence_of_truth(F.col("visible"), F.col("gt")).alias("presence"), F.coalesce(is_valid(F.col("gt")), F.lit(False)).alias("valid"), F.lit(True).alias("there"))
+    if planned is not None:
+        rows = planned.select(*KEY, "frame_id").join(own, [*KEY, "frame_id"], "left")
+    elif keyframes is not None:
+        nth = F.row_number().over(Window.partitionBy(*KEY).orderBy("frame_id")) - 1
+        rows = keyframes.where("frame_id > 0").select(*KEY, "frame_id").distinct().withColumn("__nth", nth).where(F.col("__nth") % stride == 0).drop("__nth").join(own, [*KEY, "frame_id"])
+    else:
+        rows = own.where((F.col("frame_id") > 0) & ((F.col("frame_id") - 1) % stride == 0))
+    skipped = (
+        F.when(F.col("there").isNull() | (F.col("frame_id") <= 0), "out_of_range")
+        .when(F.col("presence").isNull(), "unknown_presence")
+        .when(F.lit(present_only) & (F.col("presence") != "present"), "not_present")
+        .when((F.col("presence") == "present") & ~F.col("valid"), "invalid_bbox")
+    )
+    return rows.select(*KEY, "frame_id", "presence", skipped.alias("skipped"))
 
 
 def decision_points(plan: DataFrame, anchor: DataFrame, gap: int, stride: int, most: int) -> DataFrame:

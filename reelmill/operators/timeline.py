@@ -95,3 +95,27 @@ def run_start_count(rows: DataFrame, flag: Column, key: tuple[str, ...] = KEY) -
     on = F.coalesce(flag, F.lit(False))
     started = on & ~F.coalesce(F.lag(on).over(order), F.lit(False))
     return rows.withColumn("started", started).groupBy(*key).agg(F.count_if("started").alias("run_starts"))
+
+
+def presence_of_plan(visible: Column, box: Column) -> Column:
+    """Presence as planning sees it: a visible target needs a valid box; null where neither the flag nor the box says."""
+    valid = F.coalesce(is_valid(box), F.lit(False))
+    return F.when(visible.isNotNull() & ~visible, "absent").when(valid, "present")
+
+
+def presence_of_truth(visible: Column, box: Column) -> Column:
+    """Presence as records see it: the flag alone where there is one, else present with a valid box; null without either."""
+    valid = F.coalesce(is_valid(box), F.lit(False))
+    return F.when(visible, "present").when(visible.isNotNull(), "absent").when(valid, "present")
+
+
+def zero_size_filled(frames: DataFrame) -> DataFrame:
+    """frames with pred, where it has no width or no height and the truth is there, replaced by that of the frame before, itself filled.
+
+    The first frame of a sequence keeps its own. A run of such frames takes the last one
+    before it that isn't one, also where that has no prediction.
+    """
+    flat = F.coalesce((F.col("pred.w") == 0) | (F.col("pred.h") == 0), F.lit(False)) & F.col("gt").isNotNull()
+    own = ~flat | (F.row_number().over(ordered()) == 1)
+    source = F.last(F.when(F.col("__own"), F.struct(F.col("pred").alias("p"))), ignorenulls=True).over(ordered())
+    return frames.withColumn("__own", own).withColumn("pred", source["p"]).drop("__own")

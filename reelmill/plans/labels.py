@@ -105,16 +105,23 @@ def _lines(spark, sf_dir):
 
 
 def _with_next(d):
-    """(doc_id, line, nxt) of d (doc_id, line): the line of the next id that is there, nulls last."""
+    """(doc_id, line, nxt) of d (doc_id, line): the line of the next row by id, nulls last, and by a hash of the line; null behind the last."""
     from pyspark.sql import Window
 
-    # neighbours within blocks of ids, so that no one task orders all documents; a block's last looks at the least row of the next block that has any
-    rows = d.withColumn("block", F.floor(F.col("doc_id") / 1024)).withColumn("own", F.lit(True))
-    least = rows.groupBy("block").agg(F.min(F.struct("doc_id", "line")).alias("least"))
+    # neighbours are found over ids alone, in blocks of them, so that no task orders all documents; a block's last looks at the least row of the next block that has any
+    rows = d.withColumn("h", F.xxhash64("line"))
+    keys = rows.select("doc_id", "h").withColumns({"block": F.floor(F.col("doc_id") / 1024), "own": F.lit(True)})
+    least = keys.groupBy("block").agg(F.min(F.struct("doc_id", "h")).alias("least"))
     before = least.withColumn("to", F.lag("block").over(Window.orderBy(F.asc_nulls_last("block")))).where("to is not null")
-    ahead = before.select("least.doc_id", "least.line", F.col("to").alias("block"), F.lit(False).alias("own"))
-    nxt = F.lead("line").over(Window.partitionBy("block").orderBy(F.desc("own"), "doc_id", "line"))
-    return rows.unionByName(ahead).withColumn("nxt", nxt).where("own").select("doc_id", "line", "nxt")
+    ahead = before.select("least.doc_id", "least.h", F.col("to").alias("block"), F.lit(False).alias("own"))
+    order = Window.partitionBy("block").orderBy(F.desc("own"), "doc_id", "h")
+    after = keys.unionByName(ahead).withColumn("n", F.lead(F.struct("doc_id", "h")).over(order)).where("own and n is not null").select("doc_id", "h", F.col("n.doc_id").alias("n_id"), F.col("n.h").alias("n_h"))
+    once = rows.dropDuplicates(["doc_id", "h"]).select(F.col("doc_id").alias("n_id"), F.col("h").alias("n_h"), F.col("line").alias("nxt"))
+    # the next row's line is joined to the pair first: each text is shuffled once
+    given = after.join(once, after.n_id.eqNullSafe(once.n_id) & (after.n_h == once.n_h)).select(after.doc_id, after.h, "nxt", F.row_number().over(Window.partitionBy(after.doc_id, after.h).orderBy(after.n_id, after.n_h)).alias("nth"))
+    own = rows.withColumn("nth", F.row_number().over(Window.partitionBy("doc_id", "h").orderBy("h")))
+    joined = own.alias("r").join(given.alias("g"), F.col("r.doc_id").eqNullSafe(F.col("g.doc_id")) & (F.col("r.h") == F.col("g.h")) & (F.col("r.nth") == F.col("g.nth")), "left")
+    return joined.select("r.doc_id", "r.line", "g.nxt")
 
 
 TOK = "list_distinct(list_filter(regexp_extract_all(lower({x}), '[a-z0-9]+'), lambda t: length(t) > 2))"
@@ -124,7 +131,9 @@ SENT = "trim(trim(regexp_replace(replace({x}, '`', ' '), '[\\s\\x{{00a0}}]+', '
 @query(LINES + f""", t as (select *, {TOK.format(x="line")} as a, {TOK.format(x="coalesce(nxt, '')")} as b from n)
 select doc_id, round(case when len(list_distinct(list_concat(a, b))) = 0 then 1.0 else len(list_intersect(a, b)) / len(list_distinct(list_concat(a, b)))::double end, 9) as agreement from t""")
 def jaccard_agreement(spark, sf_dir):
-    return _lines(spark, sf_dir).select("doc_id", r9(tx.agreement(F.col("line"), F.col("nxt"))).alias("agreement"))
+    # texts become sets of words before they meet
+    d = table(spark, sf_dir, "documents").select("doc_id", tx.tokens(F.coalesce("text", F.lit(""))).alias("line"))
+    return _with_next(d).select("doc_id", r9(tx.overlap(F.col("line"), F.col("nxt"))).alias("agreement"))
 
 
 @query(LINES + f""", s as (select *, {SENT.format(x="line")} as x, {SENT.format(x="case when doc_id % 3 = 0 then lower(line) || '.' else coalesce(nxt, '') end")} as y from n),

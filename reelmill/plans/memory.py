@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from reelmill.operators import backend, integrity, memory, mining, replay, samples
+from reelmill.operators import audit, backend, integrity, memory, mining, mixture, planning, replay, samples, timeline
 from reelmill.operators import labels as lb
 from reelmill.operators.evaluation import KEY
 from reelmill.plans.registry import query
@@ -168,3 +168,93 @@ def execution_derived(spark, sf_dir):
     f, k = frames(spark, sf_dir), F.col("frame_id") % 5
     raw = F.when(k == 0, '{"execution": {"status": "api_error"}}').when(k == 1, '{"execution": {"latency_ms": 3}}').when(k == 2, '{"execution": "late"}').when(k == 3, '{"execution": null}').otherwise("{}")
     return f.select(*KEY, "frame_id", replay.execution_of(F.parse_json(raw), F.col("pred"), F.col("is_observation_frame")).alias("status"))
+
+
+@query(f"""{FR}, v as (select *, case when frame_id % 5 = 0 then null when frame_id % 11 = 3 then true else gt_presence = 'present' end as visible from frames)
+select dataset, sequence, frame_id, case when not visible then 'absent' when gx is not null then 'present' end as planned, case when visible then 'present' when not visible then 'absent' when gx is not null then 'present' end as truth from v""")
+def presence_rules(spark, sf_dir):
+    f = _visible(spark, sf_dir)
+    return f.select(*KEY, "frame_id", timeline.presence_of_plan(F.col("visible"), F.col("gt")).alias("planned"), timeline.presence_of_truth(F.col("visible"), F.col("gt")).alias("truth"))
+
+
+def _visible(spark, sf_dir):
+    k = F.col("frame_id")
+    return frames(spark, sf_dir).withColumn("visible", F.when(k % 5 == 0, F.lit(None).cast("boolean")).when(k % 11 == 3, True).otherwise(F.col("gt_presence") == "present"))
+
+
+@query(f"""{FR}, v as (select *, case when frame_id % 5 = 0 then null when frame_id % 11 = 3 then true else gt_presence = 'present' end as visible from frames),
+t as (select *, case when visible then 'present' when not visible then 'absent' when gx is not null then 'present' end as presence from v), n as (select *, row_number() over (partition by dataset, sequence order by frame_id) - 1 as nth from t where is_observation_frame and frame_id > 0),
+c as (select 'stride' as how, dataset, sequence, frame_id, presence, gx from t where frame_id > 0 and (frame_id - 1) % 3 = 0 union all select 'keyframes', dataset, sequence, frame_id, presence, gx from n where nth % 2 = 0)
+select how, dataset, sequence, frame_id, presence, case when presence is null then 'unknown_presence' when presence = 'present' and gx is null then 'invalid_bbox' end as skipped from c
+union all select 'plan', p.dataset, p.sequence, p.frame_id, t.presence, case when t.frame_id is null then 'out_of_range' when t.presence is null then 'unknown_presence' when t.presence = 'present' and gx is null then 'invalid_bbox' end
+  from (select dataset, sequence, (frame_id * 7 + 1)::int as frame_id from frames where frame_id % 4 = 1) p left join t using (dataset, sequence, frame_id)""")
+def candidate_frames(spark, sf_dir):
+    f = _visible(spark, sf_dir)
+    plan = f.where("frame_id % 4 = 1").select(*KEY, (F.col("frame_id") * 7 + 1).alias("frame_id"))
+    named = lambda how, rows: rows.select(F.lit(how).alias("how"), *KEY, "frame_id", "presence", "skipped")
+    both = named("stride", planning.candidates(f, 3)).unionByName(named("keyframes", planning.candidates(f, 2, f.where("is_observation_frame"))))
+    return both.unionByName(named("plan", planning.candidates(f, planned=plan)))
+
+
+@query(f"""{FR}, z as (select dataset, sequence, frame_id, px, case when frame_id % 4 > 1 and px is not null then 0 else pw end as pw, gx is not null as there from frames),
+k as (select *, count(*) filter (not (coalesce(pw = 0, false) and there) or frame_id = 0) over (partition by dataset, sequence order by frame_id) as grp from z)
+select dataset, sequence, frame_id, first_value(px) over w as x, case when px is null and first_value(px) over w is null then null else first_value(case when px is not null then pw end) over w end as w from k window w as (partition by dataset, sequence, grp order by frame_id)""")
+def zero_size_fill(spark, sf_dir):
+    width = F.when(F.col("frame_id") % 4 > 1, F.lit(0.0)).otherwise(F.col("pred.w"))
+    flat = F.when(F.col("pred").isNotNull(), F.struct(F.col("pred.x").alias("x"), F.col("pred.y").alias("y"), width.alias("w"), F.col("pred.h").alias("h")))
+    made = timeline.zero_size_filled(frames(spark, sf_dir).withColumn("pred", flat))
+    return made.select(*KEY, "frame_id", F.col("pred.x").alias("x"), F.col("pred.w").alias("w"))
+
+
+@query("""with f as (select min(event_id) as first from events where event_id % 7 = 5) select event_id, case when event_id > first then event_id when event_id = first then 0 else event_id + 1 end as place from events, f""")
+def schema_seed_order(spark, sf_dir):
+    e = table(spark, sf_dir, "events").select("event_id", F.col("event_id").alias("place"))
+    return audit.schema_seeded(e, "place", F.col("event_id") % 7 == 5)
+
+
+@query("""with t as (select conv_id, list({'role': role, 'content': case when conv_id % 5 = 2 and turn = 0 then concat('<image>', text) else text end} order by turn, role, text) as m from conversations group by conv_id),
+p as (select *, list_position(list_transform(m, lambda x: x.role), 'user') as ux, conv_id % 3 as n from t)
+select conv_id, array_to_string(list_transform(m, lambda x, i: case when ux > 0 and conv_id % 5 <> 2 and i = ux then concat(repeat('<image>', n), x.content) else x.content end), '|') as contents from p""")
+def image_marks(spark, sf_dir):
+    k = F.col("conv_id")
+    content = F.when((k % 5 == 2) & (F.col("turn") == 0), F.concat(F.lit("<image>"), F.col("text"))).otherwise(F.col("text"))
+    turns = table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.sort_array(F.collect_list(F.struct("turn", "role", "text", content.alias("content")))).alias("t"))
+    records = turns.select("conv_id", F.transform("t", lambda x: F.struct(x["role"].alias("role"), x["content"].alias("content"))).alias("messages"), F.array_repeat(F.lit("a.jpg"), (k % 3).cast("int")).alias("images"))
+    return audit.with_image_marks(records).select("conv_id", F.array_join(F.transform("messages", lambda x: x["content"]), "|").alias("contents"))
+
+
+class _Drift:
+    """A tracker without a model: the first box, moved by one a frame that it may look at; it fails on some frames."""
+
+    def __init__(self, settings: dict) -> None:
+        self.by = settings["by"]
+
+    def initialize(self, info: dict) -> None:
+        self.box = list(info["init_box"])
+
+    def track(self, info: dict) -> dict | None:
+        if info["frame_id"] % 17 == 9:
+            raise RuntimeError("lost")
+        if not info["observed"]:
+            return None
+        self.box[0] += self.by
+        return {"box": self.box}
+
+
+if "drift" not in backend.available_trackers():
+    backend.register_tracker("drift", _Drift)
+
+
+@query(f"""{FR}, mv as (select *, frame_id > 0 and frame_id % 17 <> 9 and is_observation_frame as moves from frames)
+select dataset, sequence, frame_id, case when frame_id = 0 or moves then first_value(gx) over w + 2.0::double * count(*) filter (moves) over w end as x, case when frame_id > 0 and frame_id % 17 = 9 then 'internal_error' when frame_id > 0 and not is_observation_frame then 'skipped' else 'ok' end as status
+from mv window w as (partition by dataset, sequence order by frame_id)""")
+def tracked_frames(spark, sf_dir):
+    four = F.array(*[F.col(f"gt.{c}") for c in "xywh"])
+    f = frames(spark, sf_dir).withColumns({"init_box": F.when(F.col("frame_id") == 0, four), "observed": F.col("is_observation_frame")})
+    return backend.tracked(f, "drift", {"by": 2.0}).select(*KEY, "frame_id", F.col("box")[0].alias("x"), "status")
+
+
+@query("""with r as (select p_partkey, p_brand, row_number() over (partition by p_brand order by sha256(concat('8', chr(0), p_partkey))) as n from part), p as (select p_brand, (n - 1) // 2 as pair, arg_min(p_partkey, n)::varchar as a, arg_max(p_partkey, n)::varchar as b from r group by 1, 2 having count(*) = 2)
+select p_brand, a as "left", b as "right" from p union all select p_brand, b, a from p""")
+def class_pairs_both(spark, sf_dir):
+    return mixture.class_pairs(table(spark, sf_dir, "part"), ("p_partkey",), ("p_brand",), 8, both=True)

@@ -223,9 +223,10 @@ def segment_probes(spark, sf_dir):
 
 @query(f"""{FR} select dataset, sequence, count(*) as pairs, sum(z)::bigint as total from (select dataset, sequence, unnest(list_transform(list_zip(a, b), lambda t: t[1] * 1000 + t[2])) as z from (select dataset, sequence, list(frame_id order by frame_id) as a, list(coalesce(gx, 0)::int order by frame_id) as b from frames group by dataset, sequence)) group by dataset, sequence""")
 def positional_zip(spark, sf_dir):
-    lists = frames(spark, sf_dir).groupBy(*KEY).agg(F.sort_array(F.collect_list(F.struct("frame_id", F.coalesce(F.col("gt.x"), F.lit(0.0)).cast("int").alias("x")))).alias("s"))
-    zipped = lists.select(*KEY, F.explode(F.arrays_zip(F.col("s.frame_id").alias("a"), F.col("s.x").alias("b"))).alias("z"))
-    return zipped.groupBy(*KEY).agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("z.a") * 1000 + F.col("z.b")).cast("long").alias("total"))
+    f = frames(spark, sf_dir)
+    right = f.select(*KEY, "frame_id", F.coalesce(F.col("gt.x"), F.lit(0.0)).cast("int").alias("x"))
+    zipped = mixture.zipped(f.select(*KEY, F.col("frame_id").alias("a")), right, KEY, "a", "frame_id")
+    return zipped.groupBy(*KEY).agg(F.count(F.lit(1)).alias("pairs"), F.sum(F.col("a") * 1000 + F.col("x")).cast("long").alias("total"))
 
 
 @query("select event_id, case when event_id % 3 = 0 then null else value end as value, case when event_id % 5 = 0 then null else value end as inner_value from events")

@@ -9,8 +9,6 @@ import pytest
 from reelmill import plans
 
 TABLES = "region nation customer supplier part orders lineitem events documents embeddings pages benchmark labels conversations".split()
-#: Long to plan here, and held against SQL by the driver at a larger size.
-SLOW = {"dual_pass", "decision_counters", "plan_absent"}
 
 
 @pytest.fixture(scope="module")
@@ -30,7 +28,7 @@ def plain(v):
     return str(v)
 
 
-@pytest.mark.parametrize("name", sorted(set(plans.oracle_sql()) - SLOW))
+@pytest.mark.parametrize("name", sorted(plans.oracle_sql()))
 def test_query(spark, sf_dir, sql, name):
     df = plans.queries()[name](spark, sf_dir)
     columns = sorted(df.columns)
