@@ -237,3 +237,18 @@ def similarity(a: str, b: str) -> Column:
         return pd.Series([SequenceMatcher(None, s, t).ratio() if s and t else 0.0 for s, t in flat])
 
     return ratio(a, b)
+
+
+def similar_pairs(rows: DataFrame, a: str, b: str, least: float, out: str = "ratio") -> DataFrame:
+    """The rows whose two texts are alike to least or more, with their ratio.
+
+    A ratio is at most twice the shorter text's share of both lengths: rows that this
+    bound rules out never leave the JVM.
+    """
+    flat = lambda c: F.btrim(F.regexp_replace(F.lower(F.coalesce(F.col(c), F.lit(""))), r"\s+", " "))
+    n, m = F.length(flat(a)), F.length(flat(b))
+    # lower-casing may be shorter than the case folding that the ratio uses, by a factor of three at most
+    bound = F.try_divide(2.0 * F.least(n, m) * 3, n + m)
+    bound = F.when(flat(a).rlike("^[\\x00-\\x7F]*$") & flat(b).rlike("^[\\x00-\\x7F]*$"), F.try_divide(2.0 * F.least(n, m), n + m)).otherwise(bound)
+    kept = rows.where(F.coalesce(bound, F.lit(0.0)) >= least)
+    return kept.withColumn(out, similarity(F.col(a), F.col(b))).where(F.col(out) >= least)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import Window
 from pyspark.sql import functions as F
 
-from reelmill.operators import audit, backend, integrity, memory, mining, mixture, planning, replay, samples, timeline
+from reelmill.operators import audit, backend, integrity, memory, mining, mixture, planning, replay, samples, scenario, timeline
 from reelmill.operators import labels as lb
 from reelmill.operators.evaluation import KEY
 from reelmill.plans.registry import query
@@ -258,3 +258,35 @@ def tracked_frames(spark, sf_dir):
 select p_brand, a as "left", b as "right" from p union all select p_brand, b, a from p""")
 def class_pairs_both(spark, sf_dir):
     return mixture.class_pairs(table(spark, sf_dir, "part"), ("p_partkey",), ("p_brand",), 8, both=True)
+
+
+#: Cases of every frame after the first: a reference, up to three earlier frames and a quality by numbers.
+SCENARIO = f"""{FR}, cs as (select dataset, sequence, frame_id, (frame_id // 3)::int as reference_id, list_filter([frame_id - 4, frame_id - 2, frame_id - frame_id % 2 - 2], lambda x: x >= frame_id // 3) as history,
+  case frame_id % 5 when 1 then 'jitter_box' when 2 then 'stale_box' when 3 then 'blurred' end as corruption from frames where frame_id > 0),
+lv as (select *, coalesce(list_max(list_filter(history, lambda x: x > reference_id and x < frame_id)), reference_id) as trusted, case when len(history) = 0 or list_distinct(history) = [reference_id] then 'h0_reference_only' else
+  (['h1_one_observation', 'h2_two_observations', 'h3_three_observations'])[len(list_distinct(history))] end as level, coalesce(corruption, 'clean') as quality from cs),
+nb as (select *, coalesce(lag(gt_presence) over w = 'absent', false) as b, coalesce(lead(gt_presence) over w = 'absent', false) as a from frames window w as (partition by dataset, sequence order by frame_id)),
+ev as (select lv.*, nb.gt_presence, case when nb.gt_presence = 'absent' then case when a and b then 'middle' when b then 'end' when a then 'start' else 'single' end end as absent_phase,
+  case when nb.gt_presence = 'absent' then 'absent' when exists (select 1 from frames f where f.dataset = lv.dataset and f.sequence = lv.sequence and f.frame_id > lv.trusted and f.frame_id < lv.frame_id and f.gt_presence = 'absent') then 'reappearance' else 'continuous_present' end as event from lv join nb using (dataset, sequence, frame_id))
+select dataset, sequence, frame_id, event as temporal_event, absent_phase, level as history_completeness, concat(event, '__', quality, '__', level) as visual_combination, case when reference_id = 0 then 'sequence_anchor' else 'sampled_prior_present' end as reference_source,
+  (frame_id - reference_id)::int as reference_current_gap, case when quality = 'blurred' then 'unknown_quality' when level = 'h0_reference_only' and quality <> 'clean' or level = 'h1_one_observation' and quality = 'stale_box' then 'quality_not_allowed' end as problem from ev"""
+
+
+@query(SCENARIO)
+def scenario_columns(spark, sf_dir):
+    f, k = frames(spark, sf_dir), F.col("frame_id")
+    reference = F.floor(k / 3).cast("int")
+    history = F.filter(F.array(k - 4, k - 2, k - k % 2 - 2), lambda x: x >= reference)
+    quality = F.when(k % 5 == 1, "jitter_box").when(k % 5 == 2, "stale_box").when(k % 5 == 3, "blurred")
+    cases = f.where(k > 0).select(*KEY, "frame_id", reference.alias("reference_id"), F.lit(0).alias("anchor_id"), history.alias("history"), quality.alias("corruption"))
+    made = scenario.scenario_columns(cases, f)
+    return made.select(*KEY, "frame_id", "temporal_event", "absent_phase", "history_completeness", "visual_combination", "reference_source", "reference_current_gap", "problem")
+
+
+@query(f"""{FR}, q as (select *, coalesce(lag(case when execution_status = 'ok' then pred_presence end) over (partition by dataset, sequence order by frame_id), '') as last from frames),
+z as (select dataset, sequence, frame_id, pred_presence, row_number() over w as rn, case when row_number() over w = 1 or (execution_status = 'ok' and pred_presence = 'present' and pred_identity = 'same' and px is not null) then 'T' when execution_status = 'ok' and pred_presence = 'absent' then 'A' else 'O' end as kind from frames window w as (partition by dataset, sequence order by frame_id)),
+y as (select *, coalesce(max(case when kind = 'T' then rn end) over (partition by dataset, sequence order by frame_id rows between unbounded preceding and 1 preceding), 0) as t, coalesce(max(case when kind = 'A' then rn end) over (partition by dataset, sequence order by frame_id rows between unbounded preceding and 1 preceding), 0) as a from z)
+select dataset, sequence, frame_id, case pred_presence when 'present' then case when a > t then 'reappearance' else 'continuous_present' end when 'absent' then case when a > t then 'continued_absence' else 'disappearance' end end as event from y""")
+def semantic_events(spark, sf_dir):
+    f = frames(spark, sf_dir)
+    return replay.semantic_event(replay.cognitive_state(f), f)

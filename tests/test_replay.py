@@ -66,3 +66,16 @@ def test_rates_of_a_stream(spark, sf_dir, tmp_path):
     total = spark.read.parquet(f"{sf_dir}/events.parquet").count()
     assert spark.table("rates").agg(F.sum("n")).first()[0] == total
     assert KEY == ("dataset", "sequence")
+
+
+def test_similar_pairs_are_those_of_all_ratios(spark):
+    import random
+
+    rng = random.Random(4)
+    texts = ["".join(rng.choice("ab cdß\u00a0é") for _ in range(rng.randrange(0, 25))) for _ in range(60)] + [None, "STRASSE", "straße"]
+    rows = [(i, rng.choice(texts), rng.choice(texts)) for i in range(400)]
+    flat = lambda x: " ".join((x or "").casefold().split())
+    for least in (0.3, 0.7):
+        want = {i: SequenceMatcher(None, flat(a), flat(b)).ratio() for i, a, b in rows if flat(a) and flat(b)}
+        got = replay.similar_pairs(spark.createDataFrame(rows, "i int, a string, b string"), "a", "b", least).collect()
+        assert {r.i: r.ratio for r in got} == {i: x for i, x in want.items() if x >= least}

@@ -118,3 +118,40 @@ def test_a_failing_task_leaves_partial_files_only(spark, tmp_path, gap):
     assert left and all(".partial." in f for f in left) and "d/s7_manifest.partial.json" in left
     error = json.loads((tmp_path / "d" / "s7_manifest.partial.json").read_text())["error"]
     assert error["type"] == "ValueError"
+
+
+def test_report_has_every_section(spark, sf_dir):
+    from reelmill.sources.fixtures import frames
+    from reelmill.sources.report import evaluation_report
+
+    made = evaluation_report(frames(spark, sf_dir))
+    for part in ("# Evaluation report", "## For comparison only: dense convention", "## Conventions", "`hold_last`", "## Localisation of visible targets", "## Presence", "TP / FP / TN / FN", "## Identity", "## Recovery", "## Execution", "- `ok`: "):
+        assert part in made, part
+    bare = frames(spark, sf_dir).where("frame_id = 0").withColumns({"gt_identity": F.lit(None).cast("string"), "is_observation_frame": F.lit(True)})
+    made = evaluation_report(bare)
+    assert "No frame says whose the target is" in made and "## Main figures" in made and "| Reappearances | 0 |" in made and "| Recovery rate | N/A |" in made
+
+
+def test_logs_images_and_records(spark, tmp_path):
+    from reelmill.sources import scan, sinks
+
+    lines = ['{"loss": 0.5, "global_step/max_steps": "10/200"}', '{"loss": 0.4}', '{"global_step/max_steps": "20/200"}', '{"loss": 0.3, "global_step/max_steps": "30/200", "x": 1}', '{"loss": 1, "global_step/max_steps": "x/200"}']
+    (tmp_path / "log.jsonl").write_text("\n".join(lines))
+    log = scan.training_log(canonical.read_json_lines(spark, str(tmp_path / "log.jsonl")))
+    assert sorted(map(tuple, log.collect())) == [(10, 0.5), (30, 0.3)]
+    folder = tmp_path / "img" / "s"
+    folder.mkdir(parents=True)
+    for name in ("2.jpg", "10.jpg", "1.PNG", "a.txt", "1.png"):
+        (folder / name).write_bytes(b"x")
+    found = scan.image_files(spark, str(tmp_path / "img")).orderBy("at").collect()
+    assert [(r.at, r.name, r.folder) for r in found] == [(0, "1.png", "s"), (1, "2.jpg", "s"), (2, "10.jpg", "s")]
+    records = spark.createDataFrame([(1, float("nan"), "f.jsonl")], "id int, score double, _file string")
+    sinks.write_records(records, str(tmp_path / "records"))
+    assert [json.loads(r.value) for r in spark.read.text(str(tmp_path / "records")).collect()] == [{"id": 1}]
+
+
+def test_datasets_that_can_t_reach_a_ratio(spark):
+    from reelmill.operators.planning import infeasible
+
+    pool = spark.createDataFrame([("a", 10, 0, 2), ("a", 10, 0, 3), ("b", 10, 0, 9), ("c", 10, 8, 9)], "dataset string, target long, min_absent long, max_absent long")
+    assert {(r.dataset, r.goal, r.least, r.most) for r in infeasible(pool, 0.3).collect()} == {("a", 6, 0, 5), ("c", 3, 8, 9)}
