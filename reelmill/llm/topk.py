@@ -26,6 +26,8 @@ from reelmill.llm.common import _arrow, checkpoint, map_batches, written
 
 #: Children of a node at most, the points of a leaf, and the rows that a leaf of queries is multiplied with first, before ever more.
 NET, LEAF, ROUND = 8, 4, 64
+#: Pairs of nodes that are bounded at once.
+PAIRS = 1 << 13
 #: Components of a stripe's rows on average; queries of a group in the first pass and in the second, and of a tree.
 STRIPE, FIRST, SECOND, BLOCK = 1 << 18, 256, 1 << 16, 1024
 
@@ -100,15 +102,19 @@ class CoverTree:
         return np.array([own[b:e].min() for b, e in zip(self.begin, self.end, strict=True)])
 
 
-def bounds(a: CoverTree, b: CoverTree) -> np.ndarray:
-    """The largest inner product of a point of each node of a and one of each node of b, with room for rounding."""
-    products = a.centre @ b.centre.T
-    by_radius = products + np.outer(a.radius, b.norm) + np.outer(a.norm, b.radius) + np.outer(a.radius, b.radius)
-    norms, tops = np.outer(a.norm, b.norm), np.outer(a.top, b.top)
-    between = np.arccos(np.clip(np.divide(products, norms, out=np.ones_like(products), where=norms > 0), -1.0, 1.0))
-    cosine = np.cos(np.clip(between - a.angle[:, None] - b.angle - 1e-7, 0.0, math.pi))
-    by_angle = np.where(cosine > 0, tops * cosine, 0.0)
-    return np.minimum(by_radius, by_angle) + 1e-9 * (1.0 + tops + np.abs(products))
+def bounds(a: CoverTree, b: CoverTree, i: np.ndarray, j: np.ndarray) -> np.ndarray:
+    """For each pair of a node i of a and a node j of b the largest inner product of a point of either, with room for rounding."""
+    made = np.empty(len(i))
+    for at in range(0, len(i), PAIRS):
+        m, n = i[at : at + PAIRS], j[at : at + PAIRS]
+        products = np.einsum("ij,ij->i", a.centre[m], b.centre[n])
+        by_radius = products + a.radius[m] * b.norm[n] + (a.norm[m] + a.radius[m]) * b.radius[n]
+        norms, tops = a.norm[m] * b.norm[n], a.top[m] * b.top[n]
+        between = np.arccos(np.clip(np.divide(products, norms, out=np.ones_like(products), where=norms > 0), -1.0, 1.0))
+        cosine = np.cos(np.clip(between - a.angle[m] - b.angle[n] - 1e-7, 0.0, math.pi))
+        by_angle = np.where(cosine > 0, tops * cosine, 0.0)
+        made[at : at + PAIRS] = np.minimum(by_radius, by_angle) + 1e-9 * (1.0 + tops + np.abs(products))
+    return made
 
 
 def _parted(of: CoverTree, mine: np.ndarray, other: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -125,8 +131,8 @@ class DualTree:
         self.ids, self.tree, self.heaps = np.asarray(ids), CoverTree(queries), Heaps(ids, k)
         #: What a candidate must reach at least, whatever is found here.
         self.given = np.full(len(ids), -np.inf) if floors is None else floors
-        #: Pairs of a query and a row that were met, and those whose product was made.
-        self.seen = self.computed = 0
+        #: Pairs of a query and a row that were met, those whose product was made, and pairs of nodes that were bounded.
+        self.seen = self.computed = self.bounded = 0
 
     def floors(self, some: np.ndarray) -> np.ndarray:
         k, heaps = self.heaps.k, self.heaps.heaps
@@ -137,38 +143,41 @@ class DualTree:
         self.seen += len(q.x) * len(rows.x)
         if not len(q.x) or not len(rows.x):
             return
-        most, least = bounds(q, rows), q.least(self.floors(np.arange(len(q.x))))
+        least = q.least(self.floors(np.arange(len(q.x))))
         a, b, pairs = np.zeros(1, np.int64), np.zeros(1, np.int64), []
         while len(a):
-            kept = most[a, b] >= least[a]
-            a, b = a[kept], b[kept]
+            most = bounds(q, rows, a, b)
+            self.bounded += len(a)
+            kept = most >= least[a]
+            a, b, most = a[kept], b[kept], most[kept]
             both = q.leaf[a] & rows.leaf[b]
-            pairs.append((a[both], b[both]))
+            pairs.append((a[both], b[both], most[both]))
             b, a = _parted(rows, b[~both], a[~both])
             a, b = _parted(q, a, b)
-        a, b = (np.concatenate([p[i] for p in pairs]) for i in (0, 1))
+        a, b, most = (np.concatenate([p[i] for p in pairs]) for i in range(3))
         by_leaf = np.argsort(a, kind="stable")
-        a, b = a[by_leaf], b[by_leaf]
+        a, b, most = a[by_leaf], b[by_leaf], most[by_leaf]
         cuts = [0, *(np.flatnonzero(np.diff(a)) + 1).tolist(), len(a)]
         for lo, hi in zip(cuts, cuts[1:], strict=False):
             if hi > lo:
-                self._leaf(int(a[lo]), b[lo:hi], most[a[lo]], rows, row_ids)
+                self._leaf(int(a[lo]), b[lo:hi], most[lo:hi], rows, row_ids)
 
     def _leaf(self, leaf: int, nodes: np.ndarray, most: np.ndarray, rows: CoverTree, row_ids: np.ndarray) -> None:
         """One leaf of queries against the rows' leaves that are left, the most promising first."""
         q, k = self.tree, self.heaps.k
         own = q.order[q.begin[leaf] : q.end[leaf]]
-        rounds = [nodes]
+        rounds = [np.arange(len(nodes))]
         if self.floors(own).min() == -np.inf:  # nothing to begin with: the most promising rows make floors for the others
-            nodes = nodes[np.argsort(-most[nodes], kind="stable")]
+            order = np.argsort(-most, kind="stable")
+            nodes, most = nodes[order], most[order]
             doubling = np.floor(np.log2(np.cumsum(rows.size[nodes]) // ROUND + 1))
-            rounds = np.split(nodes, np.flatnonzero(np.diff(doubling)) + 1)
+            rounds = np.split(np.arange(len(nodes)), np.flatnonzero(np.diff(doubling)) + 1)
         for some in rounds:
             floors = self.floors(own)
             some = some[most[some] >= floors.min()]
             if not len(some):
                 continue
-            at = rows.points(some)
+            at = rows.points(nodes[some])
             scores = q.x[own] @ rows.x[at].T
             self.computed += scores.size
             scores[self.ids[own][:, None] == row_ids[at]] = -np.inf
