@@ -359,26 +359,51 @@ def fingerprint(spark, sf_dir):
     return audit.fingerprint(table(spark, sf_dir, "documents"), ("source",), "doc_id", F.coalesce("text", F.lit("")))
 
 
-@query()
+#: Greedy rules in SQL: one row after another, by recursion over places.
+RECURSIVE = f"with recursive {FRAMES_SQL}"
+LEAST = "list_position({loads}, list_min({loads}))"
+ADDED = "list_transform(range(1, {n}), lambda x: {loads}[x] + case when x = list_position({loads}, list_min({loads})) then {load} else 0 end)"
+
+
+@query(f"""{RECURSIVE}, it as (select sequence, load, row_number() over (order by load desc, sequence) as i from (select sequence, count(*) filter (is_observation_frame) as load from frames group by sequence)),
+m as (select sequence, load, i, 1::bigint as pick, [load, 0, 0, 0] as loads from it where i = 1
+  union all select it.sequence, it.load, it.i, {LEAST.format(loads="m.loads")}, {ADDED.format(loads="m.loads", n=5, load="it.load")} from m join it on it.i = m.i + 1),
+jt as (select sequence, load, pick as machine, row_number() over (partition by pick order by load desc, sequence) as j from m),
+w as (select sequence, load, machine, j, 1::bigint as pick, [load, 0] as loads from jt where j = 1
+  union all select jt.sequence, jt.load, jt.machine, jt.j, {LEAST.format(loads="w.loads")}, {ADDED.format(loads="w.loads", n=3, load="jt.load")} from w join jt on jt.machine = w.machine and jt.j = w.j + 1)
+select sequence, load, (machine - 1)::int as machine, (pick - 1)::int as worker from w""")
 def lpt_shards(spark, sf_dir):
     sizes = frames(spark, sf_dir).groupBy("sequence").agg(F.count_if("is_observation_frame").alias("load"))
     return packing.lpt_shards(sizes, "sequence", "load", 4, 2)
 
 
-@query()
+@query(f"""{RECURSIVE}, it as (select dataset, sequence, count(*) as size, row_number() over (partition by dataset order by sequence) as i from frames group by dataset, sequence),
+r as (select dataset, sequence, size, i, size as used, 0 as shard from it where i = 1
+  union all select it.dataset, it.sequence, it.size, it.i, case when r.used + it.size > 300 then it.size else r.used + it.size end, case when r.used > 0 and r.used + it.size > 300 then r.shard + 1 else r.shard end from r join it on it.dataset = r.dataset and it.i = r.i + 1)
+select dataset, sequence, size, shard from r""")
 def shard_packing(spark, sf_dir):
     sizes = frames(spark, sf_dir).groupBy("dataset", "sequence").agg(F.count(F.lit(1)).alias("size"))
     return packing.shard_packing(sizes, "sequence", ("dataset",), "size", 300)
 
 
-@query()
+@query(f"""{RECURSIVE}, it as (select dataset, sequence, frame_id, coalesce(pred_presence = 'present' and pred_identity = 'same', false) as eligible, row_number() over (partition by dataset, sequence order by frame_id) as i from frames where execution_status <> 'skipped'),
+r as (select dataset, sequence, frame_id, eligible, i, eligible::int as streak, case when eligible then frame_id end as last, null::int as taken, false as accepted from it where i = 1
+  union all select dataset, sequence, frame_id, eligible, i, streak, case when eligible then frame_id end, case when a then frame_id else taken end, a from (
+    select *, coalesce(eligible and streak >= 2 and (taken is null or frame_id - taken >= 5), false) as a from (
+      select it.dataset, it.sequence, it.frame_id, it.eligible, it.i, case when not it.eligible then 0 when r.last is not null and it.frame_id - r.last <= 30 then r.streak + 1 else 1 end as streak, r.taken
+      from r join it on it.dataset = r.dataset and it.sequence = r.sequence and it.i = r.i + 1)))
+select dataset, sequence, frame_id, eligible, accepted from r""")
 def gated_memory(spark, sf_dir):
     f = frames(spark, sf_dir)
     eligible = F.coalesce((F.col("pred_presence") == "present") & (F.col("pred_identity") == "same"), F.lit(False))
     return replay.gated_updates(f.where("execution_status <> 'skipped'").withColumn("eligible", eligible))
 
 
-@query()
+@query(f"""{RECURSIVE}, it as (select dataset, sequence, frame_id, concat('state ', frame_id % 4) as u, frame_id % 5 <> 0 as fine, row_number() over (partition by dataset, sequence order by frame_id) as i from frames),
+r as (select dataset, sequence, frame_id, i, 'state 0' as input_state, case when not fine then 'rejected' when u = 'state 0' then 'vacuous' else 'accepted' end as verdict, case when fine then u else 'state 0' end as state from it where i = 1
+  union all select it.dataset, it.sequence, it.frame_id, it.i, r.state, case when not fine then 'rejected' when u = r.state then 'vacuous' else 'accepted' end, case when fine then u else r.state end
+  from r join it on it.dataset = r.dataset and it.sequence = r.sequence and it.i = r.i + 1)
+select dataset, sequence, frame_id, input_state, verdict from r""")
 def verifier_replay(spark, sf_dir):
     f = frames(spark, sf_dir)
     update = F.concat(F.lit("state "), (F.col("frame_id") % 4).cast("string"))
