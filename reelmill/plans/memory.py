@@ -274,13 +274,25 @@ select dataset, sequence, frame_id, event as temporal_event, absent_phase, level
 
 @query(SCENARIO)
 def scenario_columns(spark, sf_dir):
+    made = scenario.scenario_columns(*_cases(spark, sf_dir))
+    return made.select(*KEY, "frame_id", "temporal_event", "absent_phase", "history_completeness", "visual_combination", "reference_source", "reference_current_gap", "problem")
+
+
+def _cases(spark, sf_dir):
     f, k = frames(spark, sf_dir), F.col("frame_id")
     reference = F.floor(k / 3).cast("int")
     history = F.filter(F.array(k - 4, k - 2, k - k % 2 - 2), lambda x: x >= reference)
     quality = F.when(k % 5 == 1, "jitter_box").when(k % 5 == 2, "stale_box").when(k % 5 == 3, "blurred")
     cases = f.where(k > 0).select(*KEY, "frame_id", reference.alias("reference_id"), F.lit(0).alias("anchor_id"), history.alias("history"), quality.alias("corruption"))
-    made = scenario.scenario_columns(cases, f)
-    return made.select(*KEY, "frame_id", "temporal_event", "absent_phase", "history_completeness", "visual_combination", "reference_source", "reference_current_gap", "problem")
+    return cases, f
+
+
+@query(f"""select v.c as visual_combination, coalesce(n, 0) as n from (select unnest([e || '__clean__' || l for l in ['h0_reference_only', 'h1_one_observation', 'h2_two_observations', 'h3_three_observations']] || [e || '__jitter_box__' || l for l in ['h1_one_observation', 'h2_two_observations', 'h3_three_observations']]
+  || [e || '__stale_box__' || l for l in ['h2_two_observations', 'h3_three_observations']]) as c from (values ('continuous_present'), ('absent'), ('reappearance')) t(e)) v
+  left join (select visual_combination, count(*) as n from ({SCENARIO}) where problem is null group by all) s on s.visual_combination = v.c""")
+def scenario_coverage(spark, sf_dir):
+    """How many cases show each combination that there can be, zero included."""
+    return scenario.scenario_coverage(scenario.scenario_columns(*_cases(spark, sf_dir)))
 
 
 @query(f"""{FR}, q as (select *, coalesce(lag(case when execution_status = 'ok' then pred_presence end) over (partition by dataset, sequence order by frame_id), '') as last from frames),
