@@ -7,7 +7,8 @@ from pyspark.sql import functions as F
 
 from reelmill.functions.hashing import numbered, order_key, stable_rank
 from reelmill.operators.evaluation import KEY
-from reelmill.operators.timeline import anchors
+from reelmill.operators.timeline import with_anchor
+from reelmill.session import checkpoint
 
 
 def uniform_positions(n: Column, k: Column) -> Column:
@@ -17,18 +18,20 @@ def uniform_positions(n: Column, k: Column) -> Column:
     return F.when((k <= 0) | (n <= 0), F.array().cast("array<int>")).when(n <= k, every).otherwise(spread)
 
 
+def is_spread(n: Column, at: Column, k: Column) -> Column:
+    """Whether place at (from 0) of n items is among the k that uniform_positions() gives; all are if there are no more than k."""
+    # of the positions round(i * (n - 1) / (k - 1)), only the values of i beside a place can round to it
+    step = (n - 1) / F.greatest(k - 1, F.lit(1)).cast("double")
+    near = F.floor(at / F.greatest(step, F.lit(1e-9)))
+    hits = [(F.bround((near + d) * step, 0) == at) & (near + d >= 0) & (near + d <= k - 1) for d in (-1, 0, 1, 2)]
+    return (k > 0) & ((n <= k) | hits[0] | hits[1] | hits[2] | hits[3])
+
+
 def uniform_pick(rows: DataFrame, key: tuple[str, ...], order: str, k: Column) -> DataFrame:
     """The rows at evenly spread places of each group's order; k may differ by group."""
     by = Window.partitionBy(*key)
     numbered = rows.withColumns({"__n": F.count(F.lit(1)).over(by).cast("int"), "__at": (F.row_number().over(by.orderBy(order)) - 1).cast("int"), "__k": k.cast("int")})
-    # of the positions round(i * (n - 1) / (k - 1)), only the two values of i beside a row's place can round to it
-    step = (F.col("__n") - 1) / F.greatest(F.col("__k") - 1, F.lit(1)).cast("double")
-    near = F.floor(F.col("__at") / F.greatest(step, F.lit(1e-9)))
-    hits = [F.bround((near + d) * step, 0) == F.col("__at") for d in (-1, 0, 1, 2)]
-    inside = [(near + d >= 0) & (near + d <= F.col("__k") - 1) for d in (-1, 0, 1, 2)]
-    chosen = (hits[0] & inside[0]) | (hits[1] & inside[1]) | (hits[2] & inside[2]) | (hits[3] & inside[3])
-    keep = (F.col("__k") > 0) & ((F.col("__n") <= F.col("__k")) | chosen)
-    return numbered.where(keep).drop("__n", "__at", "__k")
+    return numbered.where(is_spread(F.col("__n"), F.col("__at"), F.col("__k"))).drop("__n", "__at", "__k")
 
 
 def pools(frames: DataFrame, max_cases: int = 12, stride: int = 1, caps: dict[str, int] | None = None) -> DataFrame:
@@ -36,7 +39,7 @@ def pools(frames: DataFrame, max_cases: int = 12, stride: int = 1, caps: dict[st
 
     Frames count from after the anchor, every stride-th; caps hold for single datasets.
     """
-    after = frames.join(anchors(frames), list(KEY)).where(F.col("frame_id") > F.col("anchor")).where((F.col("frame_id") - F.col("anchor") - 1) % stride == 0)
+    after = with_anchor(frames).where(F.col("frame_id") > F.col("anchor")).where((F.col("frame_id") - F.col("anchor") - 1) % stride == 0)
     cap = F.lit(max_cases)
     for dataset, most in (caps or {}).items():
         cap = F.when(F.lower("dataset") == dataset, F.lit(most)).otherwise(cap)
@@ -49,8 +52,10 @@ def absent_quota(pool: DataFrame, ratio: float, seed: int) -> DataFrame:
     """pool with absent: how many absent cases each sequence gives, so that each dataset has its share.
 
     Beyond what each must give, slots go round the dataset's sequences in hash order:
-    slot numbers first, hash order within. Only slot ranges are made, no loop.
+    slot numbers first, hash order within. Only slot ranges are made, no loop. The pool,
+    a row a sequence, is computed once and checkpointed.
     """
+    pool = checkpoint(pool)
     by = Window.partitionBy("dataset")
     targets = pool.withColumns({
         "goal": F.bround(F.sum("target").over(by) * F.lit(ratio), 0).cast("long"),
@@ -74,35 +79,43 @@ def infeasible(pool: DataFrame, ratio: float) -> DataFrame:
 def plan_absent(frames: DataFrame, quota: DataFrame) -> DataFrame:
     """The absent frames of a plan: run starts first, then run ends, then inner frames, each spread evenly.
 
-    quota has anchor and absent by sequence. A sequence is one group of the windows.
+    quota has anchor and absent by sequence. A sequence is one group of the windows, all
+    of one order, so that frames are read and shuffled once.
     """
-    from reelmill.operators.timeline import runs
-
-    own = frames.join(quota.select(*KEY, "anchor", "absent"), list(KEY)).where((F.col("gt_presence") == "absent") & (F.col("frame_id") > F.col("anchor")) & (F.col("absent") > 0))
-    spans = runs(own).join(quota.select(*KEY, "absent"), list(KEY))
-    chosen = uniform_pick(spans, KEY, "start", F.col("absent"))
-    starts = chosen.select(*KEY, F.col("start").alias("frame_id"))
-    left = quota.join(starts.groupBy(*KEY).agg(F.count(F.lit(1)).alias("a")), list(KEY)).select(*KEY, (F.col("absent") - F.col("a")).alias("left"))
-    ends = uniform_pick(chosen.join(left, list(KEY)).where("left > 0"), KEY, "end", F.col("left")).select(*KEY, F.col("end").alias("frame_id"))
-    both = starts.unionByName(ends).distinct()
-    rest = quota.join(both.groupBy(*KEY).agg(F.count(F.lit(1)).alias("a")), list(KEY)).select(*KEY, (F.col("absent") - F.col("a")).alias("left"))
-    inner = own.select(*KEY, "frame_id").join(both, [*KEY, "frame_id"], "left_anti").join(rest, list(KEY)).where("left > 0")
-    return both.unionByName(uniform_pick(inner, KEY, "frame_id", F.col("left")).select(*KEY, "frame_id"))
+    own = frames.select(*KEY, "frame_id", "gt_presence").join(quota.select(*KEY, "anchor", F.col("absent").alias("k")), list(KEY))
+    own = own.where((F.col("gt_presence") == "absent") & (F.col("frame_id") > F.col("anchor")) & (F.col("k") > 0)).select(*KEY, "frame_id", "k")
+    by, order = Window.partitionBy(*KEY), Window.partitionBy(*KEY).orderBy("frame_id")
+    count = lambda flag, over: F.count_if(flag).over(over)
+    beside = lambda d: F.count(F.lit(1)).over(order.rangeBetween(d, d))
+    # repeated frames: counts of runs and edges take the first copy only
+    rows = own.withColumns({"first": F.coalesce(F.lag("frame_id").over(order) != F.col("frame_id"), F.lit(True)), "start": beside(-1) == 0, "end": beside(1) == 0})
+    started = F.col("first") & F.col("start")
+    rows = rows.withColumns({"run": count(started, order), "n_runs": count(started, by)})
+    rows = rows.withColumn("taken", is_spread(F.col("n_runs"), F.col("run") - 1, F.col("k")))
+    rows = rows.withColumns({"nth": count(started & F.col("taken"), order), "n_taken": count(started & F.col("taken"), by)})
+    ends = F.col("end") & is_spread(F.col("n_taken"), F.col("nth") - 1, F.col("k") - F.col("n_taken"))
+    rows = rows.withColumn("edge", F.col("taken") & (F.col("start") | ends))
+    inner, each = ~F.col("edge"), order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    rows = rows.withColumns({"n_edges": count(F.col("edge") & F.col("first"), by), "at": count(inner, each), "n_inner": count(inner, by)})
+    more = inner & is_spread(F.col("n_inner"), F.col("at") - 1, F.col("k") - F.col("n_edges"))
+    return rows.where((F.col("edge") & F.col("first")) | more).select(*KEY, "frame_id")
 
 
 def plan_present(frames: DataFrame, quota: DataFrame) -> DataFrame:
-    """The present frames of a plan: those beside an absent run first, then others, each spread evenly."""
-    from reelmill.operators.timeline import runs
-
-    need = quota.select(*KEY, "anchor", (F.col("target") - F.col("absent")).alias("need")).where("need > 0")
-    after = frames.join(need, list(KEY)).where(F.col("frame_id") > F.col("anchor"))
-    present = after.where(F.col("gt_presence") == "present").select(*KEY, "frame_id", "need")
-    spans = runs(after.where(F.col("gt_presence") == "absent"))
-    sides = spans.select(*KEY, F.explode(F.array(F.col("start") - 1, F.col("end") + 1)).alias("frame_id")).distinct()
-    border = uniform_pick(present.join(sides, [*KEY, "frame_id"], "left_semi"), KEY, "frame_id", F.col("need")).select(*KEY, "frame_id")
-    have = border.groupBy(*KEY).agg(F.count(F.lit(1)).alias("a"))
-    rest = present.join(border, [*KEY, "frame_id"], "left_anti").join(have, list(KEY), "left").withColumn("left", F.col("need") - F.coalesce("a", F.lit(0))).where("left > 0")
-    return border.unionByName(uniform_pick(rest, KEY, "frame_id", F.col("left")).select(*KEY, "frame_id"))
+    """The present frames of a plan: those beside an absent run first, then others, each spread evenly; windows of one order, as for absent ones."""
+    need = quota.select(*KEY, "anchor", (F.col("target") - F.col("absent")).alias("k")).where("k > 0")
+    after = frames.select(*KEY, "frame_id", "gt_presence").join(need, list(KEY)).where(F.col("frame_id") > F.col("anchor"))
+    by, order = Window.partitionBy(*KEY), Window.partitionBy(*KEY).orderBy("frame_id")
+    each = order.rowsBetween(Window.unboundedPreceding, Window.currentRow)
+    absent_at = lambda d: F.count_if(F.col("gt_presence") == "absent").over(order.rangeBetween(d, d))
+    rows = after.withColumn("side", (absent_at(0) == 0) & ((absent_at(-1) > 0) | (absent_at(1) > 0))).where(F.col("gt_presence") == "present")
+    placed = lambda flag, p: {f"{p}_at": F.count_if(flag).over(each), f"{p}_n": F.count_if(flag).over(by)}
+    rows = rows.withColumns(placed(F.col("side"), "s"))
+    rows = rows.withColumn("border", F.col("side") & is_spread(F.col("s_n"), F.col("s_at") - 1, F.col("k")))
+    rows = rows.withColumns({"held": F.max("border").over(order.rangeBetween(0, 0)), "n_border": F.count_if("border").over(by)})
+    rows = rows.withColumns(placed(~F.col("held"), "r"))
+    rest = ~F.col("held") & is_spread(F.col("r_n"), F.col("r_at") - 1, F.col("k") - F.col("n_border"))
+    return rows.where(F.col("border") | rest).select(*KEY, "frame_id")
 
 
 def reuse_units(frames: DataFrame, count: int) -> DataFrame:

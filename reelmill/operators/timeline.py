@@ -41,6 +41,13 @@ def anchors(frames: DataFrame) -> DataFrame:
     return frames.groupBy(*KEY).agg(F.min(F.when(present, F.col("frame_id"))).alias("anchor")).where("anchor is not null")
 
 
+def with_anchor(frames: DataFrame) -> DataFrame:
+    """frames with their sequence's anchor as anchors() has it, by a window instead of a join; sequences without one are left out."""
+    present = (F.col("gt_presence") == "present") & is_valid(F.col("gt"))
+    first = F.min(F.when(present, F.col("frame_id"))).over(Window.partitionBy(*KEY))
+    return frames.where(F.col("dataset").isNotNull() & F.col("sequence").isNotNull()).withColumn("anchor", first).where("anchor is not null")
+
+
 def last_trusted(frames: DataFrame, k: int = 3) -> DataFrame:
     """frames with history (the k latest earlier present frames with a valid box, in time order), and last_trusted, the latest.
 

@@ -1,8 +1,9 @@
-"""How the library meets Spark: sessions for local work, and the input tables."""
+"""How the library meets Spark: sessions for local work, the input tables, and checkpoints."""
 
 from __future__ import annotations
 
 import os
+import tempfile
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -25,3 +26,24 @@ def local_session(cores: int | None = None, app: str = "reelmill") -> SparkSessi
 def table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     """One of the Parquet tables below sf_dir, by a path that may be in any store Spark reads."""
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
+
+
+def checkpoint_dir(spark: SparkSession) -> str:
+    """The folder that all executors share: the session's spark.checkpoint.dir.
+
+    Where the session names none, a folder of this machine does for a local master, as
+    in tests; on a cluster that is an error.
+    """
+    sc = spark.sparkContext
+    if not sc._jsc.sc().getCheckpointDir().isDefined():
+        shared = spark.conf.get("spark.checkpoint.dir", None)
+        if not shared and (not sc.master.startswith("local") or sc.master.startswith("local-cluster")):
+            raise ValueError("set spark.checkpoint.dir to a folder that all executors share")
+        sc.setCheckpointDir(shared or tempfile.mkdtemp("-checkpoint"))
+    return sc._jsc.sc().getCheckpointDir().get()
+
+
+def checkpoint(df: DataFrame) -> DataFrame:
+    """df computed once and kept in the cluster's checkpoint folder, with its lineage cut."""
+    checkpoint_dir(df.sparkSession)
+    return df.checkpoint(eager=True)
