@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from reelmill.functions.boxes import box
 from reelmill.functions.hashing import hash_byte, order_key
 from reelmill.operators.evaluation import KEY
+from reelmill.session import dealt
 
 #: The types in their order, with their shares; the first takes what rounding leaves.
 TYPES = (("pure_positive", 0.70), ("current_absent", 0.15), ("history_noisy", 0.10), ("mixed_hard", 0.05))
@@ -47,29 +48,42 @@ def placed_samples(frames: DataFrame, typed: DataFrame, seed: int, max_span: int
     is one, the others a present one. Frames are numbered within their sequence from 0.
     The n-th such frame of a range is found by counts up to its ends, not by a list.
     """
-    order = Window.partitionBy(*KEY).orderBy("frame_id")
-    kinds = frames.select(*KEY, "frame_id", F.coalesce(F.col("gt_presence") == "absent", F.lit(False)).alias("gone"))
-    counted = kinds.withColumns({"n_gone": F.sum(F.col("gone").cast("int")).over(order), "n_shown": F.sum((~F.col("gone")).cast("int")).over(order)})
-    sizes = frames.groupBy(*KEY).agg(F.count(F.lit(1)).cast("int").alias("length"))
+    # frames and samples are rows of one table, dealt by sequence once; what a join would look up, windows find
+    by, is_frame = Window.partitionBy(*KEY), F.col("frame_id").isNotNull()
+    kinds = frames.where(_named()).select(*KEY, "frame_id", F.coalesce(F.col("gt_presence") == "absent", F.lit(False)).alias("gone"))
+    rows = typed.select(*KEY, "sample", "sample_type").unionByName(kinds, allowMissingColumns=True)
+    rows = dealt(rows, rows.count(), *KEY)
+    order = by.orderBy("frame_id")
+    rows = rows.withColumns({"n_gone": F.count_if(F.col("gone")).over(order), "n_shown": F.count_if(~F.col("gone")).over(order)}).withColumn("length", F.count("frame_id").over(by).cast("int"))
     least = max(10, history * interval)
-    rows = typed.join(sizes, list(KEY))
     room = F.greatest(F.lit(0), F.col("length") - max_span - 1)
-    rows = rows.withColumn("init_id", F.floor(_share(seed, "init") * (room + 1)).cast("int"))
-    rows = rows.withColumns({"from_id": F.col("init_id") + least, "to_id": F.col("init_id") + F.least(F.lit(max_span), F.col("length") - F.col("init_id") - 1)}).where("to_id >= from_id")
-    before = counted.select(*KEY, (F.col("frame_id") + 1).alias("from_id"), F.col("n_gone").alias("gone_before"), F.col("n_shown").alias("shown_before"))
-    upto = counted.select(*KEY, F.col("frame_id").alias("to_id"), F.col("n_gone").alias("gone_upto"), F.col("n_shown").alias("shown_upto"))
-    rows = rows.join(before, [*KEY, "from_id"]).join(upto, [*KEY, "to_id"])
+    rows = rows.withColumn("init_id", F.when(~is_frame, F.floor(_share(seed, "init") * (room + 1)).cast("int")))
+    rows = rows.withColumns({"from_id": F.col("init_id") + least, "to_id": F.col("init_id") + F.least(F.lit(max_span), F.col("length") - F.col("init_id") - 1)}).where(is_frame | (F.col("to_id") >= F.col("from_id")))
+    counts = F.when(is_frame, F.struct("n_gone", "n_shown"))
+    rows = _looked_up(rows, {"at": F.when(is_frame, F.col("frame_id") + 1).otherwise(F.col("from_id"))}, counts, "before")
+    rows = _looked_up(rows, {"at": F.coalesce("frame_id", "to_id")}, counts, "upto")
     wants_gone = F.col("sample_type").isin("current_absent", "mixed_hard")
-    n_gone, n_shown = F.col("gone_upto") - F.col("gone_before"), F.col("shown_upto") - F.col("shown_before")
+    n_gone, n_shown = F.col("upto.n_gone") - F.col("before.n_gone"), F.col("upto.n_shown") - F.col("before.n_shown")
     # a range without a frame of the wanted kind gives any of its frames, which are then all of the other kind
-    rows = rows.withColumn("gone", F.when(wants_gone, n_gone > 0).otherwise(n_shown == 0))
-    nth = F.when(F.col("gone"), F.col("gone_before") + 1 + F.floor(_share(seed, "current") * n_gone)).otherwise(F.col("shown_before") + 1 + F.floor(_share(seed, "current") * n_shown))
-    named = counted.select(*KEY, "gone", F.when(F.col("gone"), F.col("n_gone")).otherwise(F.col("n_shown")).cast("long").alias("nth"), F.col("frame_id").alias("current_id"))
-    rows = rows.withColumn("nth", nth.cast("long")).join(named, [*KEY, "gone", "nth"])
+    gone = F.when(is_frame, F.col("gone")).otherwise(F.when(wants_gone, n_gone > 0).otherwise(n_shown == 0))
+    rows = rows.withColumn("gone", gone).where(is_frame | (F.col("before").isNotNull() & F.col("upto").isNotNull()))
+    drawn = lambda n, before: before + 1 + F.floor(_share(seed, "current") * n)
+    nth = F.when(F.col("gone"), drawn(n_gone, F.col("before.n_gone"))).otherwise(drawn(n_shown, F.col("before.n_shown")))
+    nth = F.when(is_frame, F.when(F.col("gone"), F.col("n_gone")).otherwise(F.col("n_shown"))).otherwise(nth).cast("long")
+    rows = _looked_up(rows, {"gone": F.col("gone"), "at": nth}, F.col("frame_id"), "current_id").where(~is_frame & F.col("current_id").isNotNull())
     ids = F.filter(F.transform(F.sequence(F.lit(history), F.lit(1), F.lit(-1)), lambda i: (F.col("current_id") - i * interval).cast("int")), lambda x: x > F.col("init_id"))
     return rows.withColumn("history", ids).where(F.size("history") > 0).select(*KEY, "sample", "sample_type", "init_id", "current_id", "history")
 
 
+def _named() -> Column:
+    return F.col("dataset").isNotNull() & F.col("sequence").isNotNull()
+
+
+def _looked_up(rows: DataFrame, at: dict[str, Column], value: Column, out: str) -> DataFrame:
+    """rows with out: the value, not null in one row at most, of the rows of their sequence with the same at."""
+    return rows.withColumns(at).withColumn(out, F.first(value, ignorenulls=True).over(Window.partitionBy(*KEY, *at)))
+
+
 def sample_frames(placed: DataFrame, frames: DataFrame, seed: int) -> DataFrame:
     """(dataset, sequence, sample, role, place, frame_id, box, visible, noise): the frames of each sample.
 
@@ -77,19 +91,25 @@ def sample_frames(placed: DataFrame, frames: DataFrame, seed: int) -> DataFrame:
     to a fifth and scaled by 0.7 to 1.3, or shown as absent. Absent types show no target
     in the current frame, whatever the truth says.
     """
+    noisy = F.col("sample_type").isin("history_noisy", "mixed_hard")
+    count = F.when(noisy, F.least(F.size("history"), 1 + hash_byte(order_key(f"{seed}:count", *KEY, "sample"), 0) % 2)).otherwise(0)
+    keys = F.when(noisy, F.transform("history", lambda x, i: order_key(f"{seed}:noisy", *KEY, "sample", i)))
+    role = lambda name, place, at, disturbed, hidden: F.struct(F.lit(name).alias("role"), place.alias("place"), at.alias("frame_id"), disturbed.alias("disturbed"), hidden.alias("hidden"))
+    no, none_here = F.lit(False), F.lit(0)
     roles = F.concat(
-        F.array(F.struct(F.lit("init").alias("role"), F.lit(0).alias("place"), F.col("init_id").alias("frame_id"))),
-        F.transform("history", lambda x, i: F.struct(F.lit("history").alias("role"), i.alias("place"), x.alias("frame_id"))),
-        F.array(F.struct(F.lit("current").alias("role"), F.lit(0).alias("place"), F.col("current_id").alias("frame_id"))),
+        F.array(role("init", none_here, F.col("init_id"), no, no)),
+        F.transform("history", lambda x, i: role("history", i, x, F.coalesce(F.size(F.filter("keys", lambda k: k < F.get("keys", i))) < F.col("count"), no), no)),
+        F.array(role("current", none_here, F.col("current_id"), no, F.col("sample_type").isin("current_absent", "mixed_hard"))),
     )
-    rows = placed.select(*KEY, "sample", "sample_type", F.size("history").alias("n"), F.explode(roles).alias("f")).select(*KEY, "sample", "sample_type", "n", "f.*")
-    rows = rows.join(frames.select(*KEY, "frame_id", "gt", (F.col("gt_presence") == "present").alias("shown")), [*KEY, "frame_id"])
-    noisy = F.col("sample_type").isin("history_noisy", "mixed_hard") & (F.col("role") == "history")
-    drawn = F.row_number().over(Window.partitionBy(*KEY, "sample", "role").orderBy(order_key(f"{seed}:noisy", *KEY, "sample", "place")))
-    rows = rows.withColumn("drawn", drawn).withColumn("count", F.least(F.col("n"), 1 + hash_byte(order_key(f"{seed}:count", *KEY, "sample"), 0) % 2))
-    kind = F.when(noisy & (F.col("drawn") <= F.col("count")), F.when(_share(seed, "kind", "place") < 0.5, "moved").otherwise("hidden"))
-    hidden = (F.col("role") == "current") & F.col("sample_type").isin("current_absent", "mixed_hard")
-    rows = rows.withColumn("noise", F.when(hidden, "hidden").otherwise(kind))
+    own = F.array(role(None, none_here, F.col("frame_id"), no, no))
+    # samples are dealt by sequence as one row each, together with the frames; their frames are found by a window
+    truth = frames.where(_named()).select(*KEY, "frame_id", F.struct("gt", (F.col("gt_presence") == "present").alias("shown")).alias("truth"))
+    both = placed.select(*KEY, "sample", "sample_type", "init_id", "current_id", "history").unionByName(truth, allowMissingColumns=True)
+    both = dealt(both, frames.count(), *KEY)
+    rows = both.withColumns({"count": count, "keys": keys}).select(*KEY, "sample", "truth", F.explode(F.when(F.col("truth").isNotNull(), own).otherwise(roles)).alias("f")).select(*KEY, "sample", "truth", "f.*")
+    rows = _looked_up(rows, {"frame_id": F.col("frame_id")}, F.col("truth"), "found").where("truth is null and found is not null").select(*KEY, "sample", "role", "place", "frame_id", "disturbed", "hidden", "found.*")
+    kind = F.when(F.col("disturbed"), F.when(_share(seed, "kind", "place") < 0.5, "moved").otherwise("hidden"))
+    rows = rows.withColumn("noise", F.when(F.col("hidden"), "hidden").otherwise(kind))
     gt, by = F.col("gt"), lambda what, lo, hi: lo + _share(seed, what, "place") * (hi - lo)
     scale = by("scale", 0.7, 1.3)
     moved = box(gt["x"] + by("x", -0.2, 0.2) * gt["w"], gt["y"] + by("y", -0.2, 0.2) * gt["h"], gt["w"] * scale, gt["h"] * scale)

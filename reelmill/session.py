@@ -47,3 +47,16 @@ def checkpoint(df: DataFrame) -> DataFrame:
     """df computed once and kept in the cluster's checkpoint folder, with its lineage cut."""
     checkpoint_dir(df.sparkSession)
     return df.checkpoint(eager=True)
+
+
+#: Frames, and about as many rows made of them, that one task of a chain of windows gets.
+TASK_FRAMES = 1 << 17
+
+
+def dealt(rows: DataFrame, n: int, *key: str) -> DataFrame:
+    """rows dealt by key to as many tasks as n frames need, or run at once, so that a task's memory doesn't follow the input.
+
+    Windows over key and more then shuffle nothing again, and small bytes don't make tasks
+    of many rows, as they do where Spark joins partitions by their compressed size.
+    """
+    return rows.repartition(max(n // TASK_FRAMES + 1, rows.sparkSession.sparkContext.defaultParallelism), *key)

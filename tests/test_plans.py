@@ -394,3 +394,20 @@ def test_a_capital_is_one_letter(spark, tmp_path):
     connection.execute(f"create view documents as select * from '{tmp_path}/documents.parquet/*.parquet'")
     assert got == sorted(connection.sql(plans.oracle_sql()["text_gate"]).fetchall())
     assert tx.SMALL[0] == "ß" and len(tx.SMALL) == len(tx.CAPITAL)
+
+
+def test_samples_meet_their_frames_without_a_join(spark):
+    frames = frames_of(spark, {"s": "T" * 40 + "F" * 20, "t": "TF" * 40}).withColumn("gt", F.struct(*[F.lit(1.0).alias(n) for n in "xywh"]))
+    typed = samples.sample_types(spark.createDataFrame([("mgit", "s", 30), ("mgit", "t", 30), ("mgit", "none", 5)], "dataset string, sequence string, n_samples int"), 3)
+    placed = samples.placed_samples(frames, typed, 3, max_span=50, history=2, interval=5)
+    drawn = samples.sample_frames(placed, frames, 3)
+    plan = drawn._jdf.queryExecution().optimizedPlan().toString()
+    # rows are dealt by sequence once in either step, as one row a sample; no join and no order of hashes shuffles them again
+    assert "Join" not in plan and plan.count("RepartitionByExpression") == 2
+    held = {(r.sequence, r.sample): r for r in placed.collect()}
+    rows = drawn.collect()
+    assert {(r.sequence, r.sample) for r in rows} == set(held) and len(rows) == sum(2 + len(r.history) for r in held.values())
+    noisy = {}
+    for r in rows:
+        noisy[r.sequence, r.sample] = noisy.get((r.sequence, r.sample), 0) + (r.role == "history" and r.noise is not None)
+    assert all((n in (1, 2)) if held[k].sample_type in ("history_noisy", "mixed_hard") else n == 0 for k, n in noisy.items())
