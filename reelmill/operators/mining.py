@@ -9,6 +9,7 @@ from reelmill.operators import labels as lb
 from reelmill.operators.evaluation import KEY
 from reelmill.operators.planning import uniform_pick, uniform_positions
 from reelmill.operators.timeline import runs
+from reelmill.session import dealt
 
 #: Where a mined label comes from, with an update and without one, and its origin.
 UPDATE_SOURCE, NULL_SOURCE, ORIGIN = "mgit_action_segment_v1", "mgit_action_segment_stable_v1", "official_mgit_action_segment"
@@ -38,7 +39,7 @@ def probes(frames: DataFrame, segments: DataFrame, margin: int = 30, per_segment
     shown = lb.boundary_distance(shown, edges).withColumn("stable", (F.coalesce(F.col("distance") >= margin, F.lit(True))).cast("int"))
     by_text = Window.partitionBy(*KEY, "state").orderBy("frame_id")
     shown = shown.select(*KEY, "state", "frame_id", "stable").withColumns({"nth": F.row_number().over(by_text), "nth_stable": F.sum("stable").over(by_text)})
-    ranges = _ranges(shown, anchored)
+    ranges = _ranges(shown, anchored, frames.count())
     first = ranges.where("hi > lo").select(*KEY, "state", (F.col("lo") + 1).alias("nth"))
     update = shown.join(first, [*KEY, "state", "nth"], "left_semi").select(*KEY, "frame_id", F.lit("update").alias("kind"))
     places = F.explode(uniform_positions((F.col("shi") - F.col("slo")).cast("int"), F.lit(per_segment)))
@@ -50,13 +51,14 @@ def probes(frames: DataFrame, segments: DataFrame, margin: int = 30, per_segment
     return update.unionByName(stable).unionByName(absent).distinct()
 
 
-def _ranges(shown: DataFrame, segments: DataFrame) -> DataFrame:
+def _ranges(shown: DataFrame, segments: DataFrame, n_frames: int) -> DataFrame:
     """(dataset, sequence, state, lo, hi, slo, shi) of each segment: how many frames, and stable frames, of its text come before its start and up to its end."""
     # twice the frame number leaves room for a start before its frame and an end behind its
     rows = shown.select(*KEY, "state", (F.col("frame_id") * 2).alias("at"), F.lit(1).alias("n"), "stable", F.lit(None).cast("long").alias("segment"), F.lit(None).cast("int").alias("side"))
     named = segments.select(*KEY, F.col("text").alias("state"), "start_frame", "end_frame").withColumn("segment", F.xxhash64("start_frame", "end_frame"))
     ends = named.select(*KEY, "state", "segment", F.explode(F.array(F.struct((F.col("start_frame") * 2 - 1).alias("at"), F.lit(0).alias("side")), F.struct((F.col("end_frame") * 2 + 1).alias("at"), F.lit(1).alias("side")))).alias("e"))
     both = rows.unionByName(ends.select(*KEY, "state", "e.at", F.lit(0).alias("n"), F.lit(0).alias("stable"), "segment", "e.side"))
+    both = dealt(both, n_frames, *KEY)
     upto = Window.partitionBy(*KEY, "state").orderBy("at").rangeBetween(Window.unboundedPreceding, Window.currentRow)
     summed = both.withColumns({"n": F.sum("n").over(upto), "stable": F.sum("stable").over(upto)}).where("side is not null")
     at = lambda side, c: F.max(F.when(F.col("side") == side, F.col(c)))

@@ -6,7 +6,13 @@ from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 from reelmill.functions.boxes import box
-from reelmill.session import table
+from reelmill.session import dealt, table
+
+
+def _events(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The events, dealt by user to as many tasks as they need: windows over a user follow."""
+    events = table(spark, sf_dir, "events")
+    return dealt(events.select("event_id", "user_id", "event_type", "ts"), events.count(), "user_id")
 
 
 def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -14,8 +20,7 @@ def frames(spark: SparkSession, sf_dir: str) -> DataFrame:
     eid, error = F.col("event_id"), F.col("event_type") == "error"
     d = lambda c: c.cast("double")
     numbered = (
-        table(spark, sf_dir, "events")
-        .select("event_id", "user_id", "event_type", "ts")
+        _events(spark, sf_dir)
         .withColumn("frame_id", (F.row_number().over(Window.partitionBy("user_id").orderBy("ts", "event_id")) - 1).cast("int"))
     )
     first = F.col("frame_id") == 0
@@ -43,8 +48,7 @@ def segments(spark: SparkSession, sf_dir: str) -> DataFrame:
     """(dataset, sequence, name, start_frame, end_frame, text): runs of one event type, every seventh also a frame longer, so that some overlap."""
     order = Window.partitionBy("user_id").orderBy("ts", "event_id")
     rows = (
-        table(spark, sf_dir, "events")
-        .select("event_id", "user_id", "event_type", "ts")
+        _events(spark, sf_dir)
         .withColumn("frame_id", (F.row_number().over(order) - 1).cast("int"))
         .withColumn("starts", (F.coalesce(F.lag("event_type").over(order), F.lit("")) != F.col("event_type")).cast("int"))
         .withColumn("run", F.sum("starts").over(order))
