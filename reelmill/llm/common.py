@@ -14,7 +14,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
-from reelmill.session import checkpoint, checkpoint_dir
+from reelmill.session import checkpoint, checkpoint_dir, freed
 
 #: Bytes of text that a Python task turns into objects at once, unless one row has more.
 SLICE = 2 << 20
@@ -53,7 +53,8 @@ def may_match(df: DataFrame, col: str, keys: DataFrame, key_col: str) -> DataFra
 def written(df: DataFrame) -> DataFrame:
     """df as Parquet in the shared folder, read again: for tables with whole texts, which checkpoints don't compress."""
     path = f"{checkpoint_dir(df.sparkSession)}/table-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    with freed(df.sparkSession):
+        df.write.parquet(path)
     return df.sparkSession.read.parquet(path)
 
 

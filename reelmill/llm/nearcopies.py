@@ -24,7 +24,7 @@ import xxhash
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
-from reelmill.llm.common import TASK_ROWS, _arrow, checkpoint, map_batches, may_match, settled, sliced, texts, written
+from reelmill.llm.common import TASK_ROWS, _arrow, checkpoint, freed, map_batches, may_match, settled, sliced, texts, written
 from reelmill.llm.components import connected_components
 from reelmill.llm.shingles import shingle_sets
 from reelmill.llm.simhash import half_variants, majority
@@ -69,7 +69,8 @@ def shingle_counts(own: DataFrame) -> np.ndarray:
                 sums[part] = sums.get(part, np.zeros(width, np.uint64)) + np.frombuffer(counts, np.uint16)
         yield batch_of(sums)
 
-    rows = map_batches(map_batches(own.select("text"), counted, schema).repartition(PARTS, "part"), summed, schema).orderBy("part").collect()
+    with freed(own.sparkSession):
+        rows = map_batches(map_batches(own.select("text"), counted, schema).repartition(PARTS, "part"), summed, schema).orderBy("part").collect()
     found = {r.part: np.frombuffer(bytes(r.counts), np.uint64) for r in rows}
     return np.concatenate([found.get(p, np.zeros(width, np.uint64)) for p in range(PARTS)])
 

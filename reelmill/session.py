@@ -4,6 +4,8 @@ from __future__ import annotations
 
 import os
 import tempfile
+from collections.abc import Iterator
+from contextlib import contextmanager
 
 from pyspark.sql import DataFrame, SparkSession
 
@@ -43,10 +45,34 @@ def checkpoint_dir(spark: SparkSession) -> str:
     return sc._jsc.sc().getCheckpointDir().get()
 
 
+#: Whether a query's shuffle files go as soon as it has run.
+FREED = "spark.sql.classic.shuffleDependency.fileCleanup.enabled"
+
+
+@contextmanager
+def freed(spark: SparkSession) -> Iterator[None]:
+    """Queries that are made and run inside leave no shuffle files behind.
+
+    Else those stay until the driver happens to collect its garbage, and a chain of
+    steps takes the disk of all of them together. It is for steps whose rows are kept
+    elsewhere: a query that runs once more has to shuffle once more.
+    """
+    before = spark.conf.get(FREED, None)
+    spark.conf.set(FREED, "true")
+    try:
+        yield
+    finally:
+        if before is None:
+            spark.conf.unset(FREED)
+        else:
+            spark.conf.set(FREED, before)
+
+
 def checkpoint(df: DataFrame) -> DataFrame:
-    """df computed once and kept in the cluster's checkpoint folder, with its lineage cut."""
+    """df computed once and kept in the cluster's checkpoint folder, with its lineage cut and its shuffle files gone."""
     checkpoint_dir(df.sparkSession)
-    return df.checkpoint(eager=True)
+    with freed(df.sparkSession):
+        return df.select("*").checkpoint(eager=True)  # as a query of its own, so that df may still be run
 
 
 #: Frames, and about as many rows made of them, that one task of a chain of windows gets.
